@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import chat, exact_dedup, mixing, secrets
+from changeloom.llm import chat, exact_dedup, media, mixing, secrets, sentencepiece_codec, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op2_exact_dedup_lsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", "text_sha256")
 
 
+def op5_sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_texts(docs))
+    return decoded.select("doc_id", "n_pieces", "n_byte_pieces", "ids", "decoded_sha256", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op6_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -30,6 +36,15 @@ def op6_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.prefix_examples(turns.unionByName(more)))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = media.write_archives(table(spark, sf_dir, "documents"))
+    return media.media_features(media.read_archives(spark, uri)).drop("text")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -37,7 +52,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_structure": op1_secret_structure,
     "op2_exact_dedup_lsm": op2_exact_dedup_lsm,
+    "op5_sentencepiece_unigram": op5_sentencepiece_unigram,
     "op6_chat_prefix_targets": op6_chat_prefix_targets,
+    "op8_token_counts": op8_token_counts,
+    "op9_media_columns": op9_media_columns,
     "op10_mix_sources": op10_mix_sources,
 }
 
