@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import chat, exact_dedup, media, mixing, secrets, sentencepiece_codec, token_counts
+from changeloom.llm import chat, exact_dedup, jaccard_join, media, mixing, quality, secrets, sentencepiece_codec, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,15 @@ def op2_exact_dedup_lsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", "text_sha256")
 
 
+def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels"))).drop("row_key")
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.find_repeats(table(spark, sf_dir, "documents")).drop("row_key", "tag")
+
+
 def op5_sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     decoded = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_texts(docs))
@@ -36,6 +45,10 @@ def op6_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.prefix_examples(turns.unionByName(more)))
 
 
+def op7_jaccard_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -52,8 +65,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_structure": op1_secret_structure,
     "op2_exact_dedup_lsm": op2_exact_dedup_lsm,
+    "op3_quality_cotraining": op3_quality_cotraining,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_sentencepiece_unigram": op5_sentencepiece_unigram,
     "op6_chat_prefix_targets": op6_chat_prefix_targets,
+    "op7_jaccard_bayes": op7_jaccard_bayes,
     "op8_token_counts": op8_token_counts,
     "op9_media_columns": op9_media_columns,
     "op10_mix_sources": op10_mix_sources,
