@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows handed to Python at once are regrouped into chunks of about this many characters.
 CHUNK_CHARS = 4_000_000
@@ -49,6 +50,13 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shielded(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all other columns under names that clash with nothing, and what gives them back their own."""
+    names = {c: c if c in needed else f"__other{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(names[c]) for c in docs.columns])
+    return renamed, lambda out: out.select(*[F.col(names[c]).alias(c) for c in docs.columns])
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts hold about `limit` bytes; one longer text is a slice of its own."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()

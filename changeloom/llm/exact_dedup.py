@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import by_chunk, discard, new_path, stage
+from changeloom.llm.common import by_chunk, discard, new_path, shielded, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RUN_SCHEMA = "run string, digest binary, ident long, tag long, n long"
@@ -189,5 +189,6 @@ def find_copies(docs: DataFrame, *, keep: str = "last", digest_bytes: int = 16,
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows that find_copies does not keep; all columns stay."""
-    kept = find_copies(docs, **options).where("kept").select(F.col("row_key").alias("_key"))
-    return docs.withColumn("_key", row_key()).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    mine, restore = shielded(docs, ("doc_id", "text"))
+    kept = find_copies(mine, **options).where("kept").select(F.col("row_key").alias("_key"))
+    return restore(mine.withColumn("_key", row_key()).join(kept, "_key", "left_semi").dropDuplicates(["_key"]))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import by_chunk, stage
+from changeloom.llm.common import by_chunk, shielded, stage
 
 WORD = re.compile(r"\w+")
 STEP = 32
@@ -342,8 +342,9 @@ def jaccard_join(
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class of near copies; all columns stay."""
+    docs, restore = shielded(docs, ("doc_id", "text"))
     kept = jaccard_join(docs, **options).where("kept").groupBy("row_key").agg(F.count("*").alias("_n")).withColumnRenamed("row_key", "_key")
     mine = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(kept, "_key")
-    # Repeated rows of a kept text without words are all kept; other repeats give one row.
+    # Repeated rows of a text without words are all kept; other repeats give one row.
     once = mine.where(F.col("_n") == 1).dropDuplicates(["_key"])
-    return once.unionByName(mine.where(F.col("_n") > 1)).drop("_key", "_n")
+    return restore(once.unionByName(mine.where(F.col("_n") > 1)))

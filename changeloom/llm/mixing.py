@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import stage
+from changeloom.llm.common import shielded, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources up to this many are joined by broadcast (about 100 bytes each), more by a shuffle.
@@ -172,6 +172,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Of a document taken t times a part and t + 1 times another, t rows hold the whole text and one row the
     other part's words, joined by single spaces. Documents that no block takes are left out.
     """
+    docs, restore = shielded(docs, ("doc_id", "text", "source", "n_chars"))
     mix = mix_sources(docs, **options)
     # Of each document: the blocks' words that are taken one time more than the whole epochs take them.
     whole, last_part = F.col("last") - F.col("first"), F.greatest(F.lit(0), F.least("last", "fill") - F.col("first"))
@@ -192,4 +193,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     copies = F.expr("array_repeat(text, cast(_copies + IF(_all, 1, 0) as int))")
     parts = F.when(F.col("_words").isNotNull(), F.array(rest)).otherwise(F.array().cast("array<string>"))
     out = joined.withColumn("_words", words).withColumn("_out", F.explode(F.concat(copies, parts)))
-    return out.select(*[F.col("_out").alias(c) if c == "text" else F.length("_out").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return restore(out.select(*[F.col("_out").alias(c) if c == "text" else F.length("_out").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import by_chunk, stage
+from changeloom.llm.common import by_chunk, shielded, stage
 
 BREAKS = {"sentence": re.compile(r"[.!?]+\s+|\n+"), "line": re.compile(r"\n"), "paragraph": re.compile(r"\n\s*\n")}
 UNIT_SCHEMA = "doc_id long, row_key long, start int, `end` int, n_words int, digest binary"
@@ -72,8 +72,9 @@ def find_repeats(docs: DataFrame, *, unit: str = "sentence", min_words: int = 8)
 
 def strip_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs without the units that find_repeats names; n_chars, if there, follows the text. All rows stay."""
+    docs, restore = shielded(docs, ("doc_id", "text", "n_chars"))
     spans = find_repeats(docs, **options).groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     joined = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(spans, F.col("_key") == F.col("row_key"), "left")
     cut = F.expr("aggregate(_spans, named_struct('at', 0, 'out', ''), (a, s) -> named_struct('at', s.end, 'out', concat(a.out, substring(text, a.at + 1, s.start - a.at))), a -> concat(a.out, substring(text, a.at + 1)))")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)
-    return joined.withColumn("_text", text).select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    return restore(joined.withColumn("_text", text).select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]))
