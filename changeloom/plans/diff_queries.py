@@ -57,15 +57,15 @@ def _two_sides(spark, sf_dir):
 
 
 @query("""
-WITH b AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_linenumber = 1), h AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_linenumber = 2),
-n AS (SELECT src AS id FROM h UNION SELECT l_suppkey FROM lineitem)
+WITH b AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_linenumber = 1), h AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_linenumber = 5),
+n AS (SELECT src AS id FROM h UNION SELECT p_partkey FROM part)
 SELECT DISTINCT dst AS id FROM (SELECT * FROM b EXCEPT SELECT * FROM h) WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n) AND dst NOT IN (SELECT dst FROM h)
 """)
 def orphans(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    side = lambda n: lines.where(f"l_linenumber = {n}").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
-    nodes = side(2).select(F.col("src").alias("id")).union(lines.select("l_suppkey")).distinct()
-    return relational.orphans(side(1), side(2), nodes)
+    side = lambda n: lines.where(f"l_linenumber = {n}").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    nodes = side(5).select(F.col("src").alias("id")).union(table(spark, sf_dir, "part").select("p_partkey")).distinct()
+    return relational.orphans(side(1), side(5), nodes)
 
 
 @query("""
@@ -95,9 +95,10 @@ def semi_exists(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(late, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_missing(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, sf_dir, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query(f"""

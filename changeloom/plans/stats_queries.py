@@ -9,7 +9,10 @@ from changeloom.plans.registry import query, table
 from changeloom.plans.standins import longs
 
 LINES_SQL = "CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END"
-DAY = F.to_date("ts")
+
+
+def _day():
+    return F.to_date("ts")
 
 
 @query(f"""
@@ -59,13 +62,13 @@ def stats_contributors(spark, sf_dir):
     return stats.contributors(commits)
 
 
-NET = F.sum(F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(0))
 NET_SQL = "CAST(sum(CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) AS BIGINT)"
 LATER_SQL = "greatest(0, 100 - coalesce(sum(net) OVER (PARTITION BY user_id ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0))"
 
 
 def _by_user_day(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id", DAY.alias("day")).agg(F.count("*").alias("n"), NET.alias("net"))
+    net = F.sum(F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(0))
+    return table(spark, sf_dir, "events").groupBy("user_id", _day().alias("day")).agg(F.count("*").alias("n"), net.alias("net"))
 
 
 @query(f"""
@@ -92,7 +95,7 @@ def stats_timeline_dense(spark, sf_dir):
 SELECT CAST(ts AS DATE) AS "day", count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'purchase') AS passed FROM events GROUP BY 1
 """)
 def stats_ci_daily(spark, sf_dir):
-    return stats.daily(table(spark, sf_dir, "events"), DAY, failed=F.col("event_type") == "error", passed=F.col("event_type") == "purchase")
+    return stats.daily(table(spark, sf_dir, "events"), _day(), failed=F.col("event_type") == "error", passed=F.col("event_type") == "purchase")
 
 
 @query("""
@@ -135,7 +138,7 @@ SELECT event_type, CAST(ts AS DATE) AS "day", count(*) AS n, round(100.0 * count
 def daily_shares(spark, sf_dir):
     from changeloom.functions.numbers import share
 
-    counted = table(spark, sf_dir, "events").groupBy("event_type", DAY.alias("day")).agg(F.count("*").alias("n"))
+    counted = table(spark, sf_dir, "events").groupBy("event_type", _day().alias("day")).agg(F.count("*").alias("n"))
     return counted.withColumn("share", share(F.col("n"), "day"))
 
 

@@ -149,7 +149,7 @@ def grep_lines(spark, sf_dir):
 
 @query()
 def fuzzy_topk(spark, sf_dir):
-    return longs(search.ranked_search(table(spark, sf_dir, "part"), "bl st", kind="p_brand", title="p_name").select("p_brand", "p_partkey", "p_name", "score", "rank"), "rank")
+    return longs(search.ranked_search(table(spark, sf_dir, "part"), "r wi", kind="p_brand", title="p_name").select("p_brand", "p_partkey", "p_name", "score", "rank"), "rank")
 
 
 @query("""
