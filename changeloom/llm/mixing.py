@@ -154,7 +154,8 @@ def mix_sources(
             (F.greatest(F.col("offset"), F.col("block") * block_words) - F.col("offset")).alias("word"),
         )
     )
-    taken = pieces.join(chosen, ["rank", "block"]).select("tag", "block", "word", "first", "last", "times", "fill")
+    # The hint: rows that sequences expand to are not in Spark's estimates, which would broadcast all slots.
+    taken = pieces.join(chosen.hint("merge"), ["rank", "block"]).select("tag", "block", "word", "first", "last", "times", "fill")
     words = F.col("times") * (F.col("last") - F.col("first")) + F.greatest(F.lit(0), F.least("last", "fill") - F.col("first"))
     sums = taken.groupBy("tag").agg(F.sum(words).alias("taken"))
     documents = (
