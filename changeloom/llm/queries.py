@@ -33,9 +33,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_texts(docs))
-    return decoded.select("doc_id", "n_pieces", "n_byte_pieces", "ids", "decoded_sha256", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    return sentencepiece_codec.encode_texts(table(spark, sf_dir, "documents"), keep=["doc_id"], decoded=True)
 
 
 def op6_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from changeloom.llm.common import slices
 from changeloom.llm.pieces import DEFAULT_MODEL, MARKER, DoubleArray, Segmenter, Vocabulary
 
 #: Words that a task remembers, about 150 bytes each; beyond, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 class WordCodes(dict):
@@ -77,7 +77,7 @@ def decode(ids: list[int], strings: list[bytes]) -> str:
     return b"".join(map(strings.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
 
 
-def _encoder(vocabulary, trie, keep: list[str], n_first: int):
+def _encoder(vocabulary, trie, keep: list[str], decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value, trie.value)
         byte_id = np.zeros(len(vocabulary.value.strings), bool)
@@ -90,20 +90,33 @@ def _encoder(vocabulary, trie, keep: list[str], n_first: int):
                 none = pa.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=none)
                 n_bytes = np.diff(np.concatenate([[0], np.cumsum(byte_id[ids])])[offsets])
-                columns = [part.column(c) for c in keep]
-                yield pa.record_batch([*columns, lists, pa.array(counts, pa.int64()), pa.array(n_bytes, pa.int64())], names=[*keep, "ids", "n_pieces", "n_byte_pieces"])
+                columns = [*(part.column(c) for c in keep), lists, pa.array(counts, pa.int64()), pa.array(n_bytes, pa.int64())]
+                if decoded:
+                    strings, back = vocabulary.value.strings, []
+                    for i, text in enumerate(texts):
+                        back.append(None if text is None else decode(ids[offsets[i] : offsets[i + 1]].tolist(), strings))
+                    columns += [pa.array([None if t is None else hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()), pa.array([a == b for a, b in zip(texts, back, strict=True)])]
+                yield pa.record_batch(columns, names=[*keep, *NEW, *(CHECKED if decoded else ())])
 
     return run
 
 
-def encode_texts(docs: DataFrame, *, model: str = DEFAULT_MODEL) -> DataFrame:
-    """docs (with text) plus ids array<int>, n_pieces and n_byte_pieces."""
+NEW, CHECKED = ("ids", "n_pieces", "n_byte_pieces"), ("decoded_sha256", "round_trip")
+
+
+def encode_texts(docs: DataFrame, *, model: str = DEFAULT_MODEL, keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """docs (with text) plus ids array<int>, n_pieces and n_byte_pieces.
+
+    keep: the columns of docs to return (all if None). decoded: the ids are decoded as well, and the digest of
+    that and whether it is the text are returned, in the same pass.
+    """
     spark, vocabulary = docs.sparkSession, Vocabulary.load(model)
-    keep = [c for c in docs.columns if c not in ("ids", "n_pieces", "n_byte_pieces")]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (*NEW, *(CHECKED if decoded else ()))]
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     both = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(DoubleArray.build(vocabulary.pieces))
-    run = _encoder(*both, keep, len(keep))
-    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, f"{fields}, ids array<int>, n_pieces long, n_byte_pieces long")
+    needed = keep if "text" in keep else [*keep, "text"]
+    schema = f"{fields}ids array<int>, n_pieces long, n_byte_pieces long" + ", decoded_sha256 string, round_trip boolean" * decoded
+    return docs.select(*[f"`{c}`" for c in needed]).mapInArrow(_encoder(*both, keep, decoded), schema)
 
 
 def _decoder(strings, keep: list[str]):

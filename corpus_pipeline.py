@@ -35,7 +35,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode_texts(docs).drop("text")
+    return sentencepiece_codec.encode_texts(docs, keep=[c for c in docs.columns if c != "text"])
 
 
 STAGES: list[tuple[str, Stage]] = [
