@@ -141,18 +141,30 @@ def merged(runs: list[DataFrame]) -> DataFrame:
     return all_runs.groupBy("digest").agg(best.alias("best"), F.sum("n").alias("n")).select("digest", "best.ident", "best.tag", "n")
 
 
-def verified_splits(docs: DataFrame, log: DataFrame, entries: DataFrame) -> DataFrame:
-    """Digests of the index under which more than one text lies: (digest, variants, hashes).
+def verified_splits(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """Digests under which more than one text lies: (digest, variants, hashes). marked: rows with the count of their digest.
 
     Only texts behind hits are compared. Equal texts are combined before they are shuffled, so a group of
     any size sends one text from each task.
     """
-    hits = log.join(entries.where("n > 1").select("digest"), "digest").select("row_key", "digest").distinct()
+    hits = marked.where("n > 1").select("row_key", "digest").distinct()
     texts = docs.select(row_key().alias("row_key"), "text").join(hits, "row_key").groupBy("digest", "text").agg(F.count("*").alias("n"))
     variants = texts.groupBy("digest", folded(F.col("text")).alias("text")).agg(F.sum("n").alias("n"))
     return variants.groupBy("digest").agg(F.count("*").alias("variants"), F.count_distinct(F.sha2("text", 256)).alias("hashes")).where("variants > 1")
 
 
+def with_entries(log: DataFrame, entries: DataFrame) -> DataFrame:
+    """The log with best, best_tag and n of each digest.
+
+    Digests that a thousandth of all rows or more have are a thousand at most; they are broadcast, so that no
+    task gets all rows of one.
+    """
+    named = entries.select("digest", F.col("ident").alias("best"), F.col("tag").alias("best_tag"), "n")
+    least = max(1000, log.count() // 1000)
+    hot, cold = F.broadcast(named.where(F.col("n") >= least)), named.where(F.col("n") < least)
+    return log.join(hot, "digest").unionByName(log.join(hot, "digest", "left_anti").join(cold, "digest"))
+
+
 def find_copies(docs: DataFrame, *, keep: str = "last", digest_bytes: int = 16, memtable_rows: int = 200_000) -> DataFrame:
     """docs (doc_id, text) to doc_id, row_key, tag, keep_id, group_size, kept, text_sha256; one row each."""
     ident = F.bitwise_not("doc_id") if keep == "last" else F.col("doc_id")
@@ -164,25 +176,17 @@ def find_copies(docs: DataFrame, *, keep: str = "last", digest_bytes: int = 16,
     index = MergeIndex(memtable_rows)
     index.insert(log)
     index.compact()
-    entries = index.entries()
-    apart = stage(verified_splits(docs, log, entries), "digest-splits")
+    marked = stage(with_entries(log, index.entries()), "digest-marked")
+    apart = stage(verified_splits(docs, marked), "digest-splits")
     wrong = apart.agg(F.count("*").alias("n"), F.count_if(F.col("hashes") < F.col("variants")).alias("same")).first()
     if wrong["same"]:
         raise ValueError("different texts share their whole SHA-256; they can't be told apart by it")
-    # Entries with a thousandth of all rows or more are a thousand at most, and are broadcast.
-    rows = log.count()
-    entries = entries.withColumn("hot", F.col("n") >= max(1000, rows // 1000))
-    found = None
+    all_rows = marked
     if wrong["n"]:
-        by_text = log.join(apart.select("digest"), "digest").groupBy("digest", "text_sha256").agg(F.min(F.struct(F.col("ident").isNull().alias("none"), "ident", "tag")).alias("best"), F.count("*").alias("n"))
-        found = log.join(by_text.select("digest", "text_sha256", F.col("best.ident").alias("best"), F.col("best.tag").alias("best_tag"), "n"), ["digest", "text_sha256"])
-        log, entries = log.join(apart, "digest", "left_anti"), entries.join(apart, "digest", "left_anti")
-    named = entries.select("digest", F.col("ident").alias("best"), F.col("tag").alias("best_tag"), "n", "hot")
-    hot = F.broadcast(named.where("hot").drop("hot"))
-    parts = [log.join(hot, "digest"), log.join(hot, "digest", "left_anti").join(named.where("NOT hot").drop("hot"), "digest"), *([found] if found is not None else [])]
-    all_rows = parts[0]
-    for part in parts[1:]:
-        all_rows = all_rows.unionByName(part)
+        split = log.join(apart.select("digest"), "digest")
+        best = F.min(F.struct(F.col("ident").isNull().alias("none"), "ident", "tag")).alias("best")
+        by_text = split.groupBy("digest", "text_sha256").agg(best, F.count("*").alias("n")).select("digest", "text_sha256", F.col("best.ident").alias("best"), F.col("best.tag").alias("best_tag"), "n")
+        all_rows = marked.join(apart, "digest", "left_anti").unionByName(split.join(by_text, ["digest", "text_sha256"]))
     keep_id = F.bitwise_not("best") if keep == "last" else F.col("best")
     return all_rows.select("doc_id", "row_key", "tag", keep_id.alias("keep_id"), F.col("n").alias("group_size"), (F.col("tag") == F.col("best_tag")).alias("kept"), "text_sha256")
 
