@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What a local master uses where spark.checkpoint.dir is unset; it goes when the process ends.
+OWN = f"/tmp/checkpoints/{os.getpid()}"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a local master gets /tmp/checkpoints and others are refused."""
+    """spark.checkpoint.dir; where it is unset, a local master gets a folder of its own and others are refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file:///tmp/checkpoints"
+    if not os.path.isdir(OWN):
+        os.makedirs(OWN)
+        atexit.register(shutil.rmtree, OWN, ignore_errors=True)
+    return f"file://{OWN}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/changeloom/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a table of the shared folder, which survives lost executors; what reads it starts there."""
-    path = f"{shared_dir(df.sparkSession)}/changeloom/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that cut lineage; to be called when the results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/changeloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

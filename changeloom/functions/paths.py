@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Segments that say nothing about the resource (fixed values).
 GROUP_SKIP = r"(?i)^(api|rest|v\d+|public|internal|\{.*\}|…)$"
 
+#: Parameter syntaxes of routes, in order, and what becomes of them (fixed values).
+ROUTE_SYNTAX = [(r"\(\?P<(\w+)>[^)]*\)", "{$1}"), (r"<(?:\w+:)?(\w+)>", "{$1}"), (r":(\w+)\??(\([^)]*\))?", "{$1}"), (r"\{(\w+):[^}]*\}", "{$1}"), ("/{2,}", "/")]
+
 
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
@@ -66,7 +69,7 @@ def under_folder(path: Column, folder: Column) -> Column:
 def route_path(path: Column) -> Column:
     """One parameter syntax, `{name}`, for `:name`, `<type:name>`, `{name:regex}` and `(?P<name>...)`; no anchors."""
     p = F.regexp_replace(F.trim(path), r"^\^|\$$", "")
-    for pattern, to in ((r"\(\?P<(\w+)>[^)]*\)", "{$1}"), (r"<(?:\w+:)?(\w+)>", "{$1}"), (r":(\w+)\??(\([^)]*\))?", "{$1}"), (r"\{(\w+):[^}]*\}", "{$1}"), ("/{2,}", "/")):
+    for pattern, to in ROUTE_SYNTAX:
         p = F.regexp_replace(p, pattern, to)
     p = F.when(p.startswith("/") | p.startswith("…"), p).otherwise(F.concat(F.lit("/"), p))
     return F.when((F.length(p) > 1) & p.endswith("/"), F.left(p, F.length(p) - 1)).otherwise(p)

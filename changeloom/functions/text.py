@@ -37,6 +37,7 @@ def singular(word: Column) -> Column:
 def name_stem(path: Column) -> Column:
     """The words that a file's name leads with: one, or two when the first has three letters or fewer."""
     stem = F.split_part(F.substring_index(path, "/", -1), F.lit("."), F.lit(1))
+    # Affixes of tests and hooks (fixed values).
     stem = F.regexp_replace(stem, "^(smoke[-_]?)?tests?[-_]|[-_](test|spec)s?$|(Tests?|Spec|IT)$", "")
     stem = F.regexp_replace(stem, "^use(?=[A-Z_-])", "")
     spaced = F.regexp_replace(F.regexp_replace(stem, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")

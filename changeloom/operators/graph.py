@@ -6,6 +6,8 @@ table of the shared folder, so lineage stays short and a lost executor costs one
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,9 +84,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def hubs(edges: DataFrame, least: int = 6, share: float = 0.25) -> DataFrame:
     """Nodes whose fan-in or fan-out is the larger of `least` and that share of all nodes, or more."""
-    found = degrees(edges)
-    total = found.agg(F.greatest(F.lit(least), F.ceil(F.count("*") * share)).alias("threshold"))
-    return found.crossJoin(F.broadcast(total)).where("fan_in >= threshold OR fan_out >= threshold")  # one row
+    found = cut(degrees(edges), "degrees")
+    threshold = max(least, math.ceil(found.count() * share))
+    return found.withColumn("threshold", F.lit(threshold)).where("fan_in >= threshold OR fan_out >= threshold")
 
 
 def rolled_up(edges: DataFrame, owners: DataFrame) -> DataFrame:

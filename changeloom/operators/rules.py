@@ -10,11 +10,8 @@ from changeloom.functions.paths import ancestors
 from changeloom.operators.relational import keep_newest
 
 
-def checklist(items: DataFrame, facts: DataFrame) -> DataFrame:
-    """items (item_id, kind, limit) on facts (target, is_pr, description, n_issues, n_files, n_lines, touched): a status each.
-
-    items is a small table of rules and is broadcast; every target meets every rule, which is the result's size.
-    """
+def checklist(items: list[tuple[int, str, int | None]], facts: DataFrame) -> DataFrame:
+    """items (item_id, kind, limit) on facts (target, is_pr, description, n_issues, n_files, n_lines, touched): a status each."""
     of_pr = lambda ok: F.when(~F.col("is_pr"), "not_applicable").when(ok, "pass").otherwise("fail")
     plain = lambda ok: F.when(ok, "pass").otherwise("fail")
     status = (
@@ -25,7 +22,8 @@ def checklist(items: DataFrame, facts: DataFrame) -> DataFrame:
         .when(F.col("kind") == "protected-paths", F.when(F.col("touched").isNull(), "unknown").otherwise(plain(F.col("touched") == 0)))
         .otherwise("unknown")
     )
-    return facts.join(F.broadcast(items)).withColumn("status", status)
+    rules = F.array(*[F.struct(F.lit(i).alias("item_id"), F.lit(kind).alias("kind"), F.lit(limit).cast("int").alias("limit")) for i, kind, limit in items])
+    return facts.select("*", F.inline(rules)).withColumn("status", status)
 
 
 def migration_findings(ops: DataFrame, indexes: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ SELECT f.target, item_id, CASE kind WHEN 'description' THEN CASE WHEN NOT is_pr
 FROM f JOIN l ON f.target = l.target, (VALUES (1, 'description', 6), (2, 'linked-issue', 0), (3, 'max-files', 4), (4, 'max-lines', 120), (5, 'protected-paths', 0)) i(item_id, kind, lim)
 """)
 def checklist_eval(spark, sf_dir):
-    items = spark.createDataFrame([(1, "description", 6), (2, "linked-issue", 0), (3, "max-files", 4), (4, "max-lines", 120), (5, "protected-paths", 0)], "item_id int, kind string, limit int")
+    items = [(1, "description", 6), (2, "linked-issue", None), (3, "max-files", 4), (4, "max-lines", 120), (5, "protected-paths", None)]
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("target")).agg(F.count("*").alias("n_files"), F.sum(F.col("l_quantity").cast("long")).alias("n_lines"), F.count_if(F.col("l_returnflag") == "R").alias("touched"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("target"), (F.col("o_orderstatus") != "F").alias("is_pr"), F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.col("o_orderpriority")).alias("description"), (F.col("o_custkey") % 3).alias("n_issues"))
     return rules.checklist(items, orders.join(lines, "target")).select("target", "item_id", "status")
