@@ -1,38 +1,19 @@
-"""What the operators share: the shared folder, tables that cut lineage, and Arrow helpers."""
+"""What the operators share: tables that cut lineage, and Arrow helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changeloom.checkpoints import new_path
+
 #: Rows handed to Python at once are regrouped into chunks of about this many characters.
 CHUNK_CHARS = 4_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where the session has none, a local master gets a folder of its own under /tmp/checkpoints; any
-    other master is refused, because its executors could not see a machine-local folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = f"{tempfile.gettempdir()}/checkpoints"
-    return f"file://{own}" if own.startswith("/tmp/") else "file:///tmp/checkpoints"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/changeloom/{name}-{uuid.uuid4().hex}"
-
-
 def stage(df: DataFrame, name: str, partitioned_by: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: the lineage ends here, on files that outlive executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)

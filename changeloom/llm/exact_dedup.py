@@ -25,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import by_chunk, discard, new_path, shielded, stage
+from changeloom.checkpoints import new_path
+from changeloom.llm.common import by_chunk, discard, shielded, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RUN_SCHEMA = "run string, digest binary, ident long, tag long, n long"

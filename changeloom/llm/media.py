@@ -34,7 +34,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from changeloom.llm.common import new_path, slices
+from changeloom.checkpoints import new_path
+from changeloom.llm.common import slices
 
 WIDTH = 64
 PNG = b"\x89PNG\r\n\x1a\n"
