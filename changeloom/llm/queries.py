@@ -81,6 +81,22 @@ WITH folded AS (
 SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size,
     doc_id = max(doc_id) OVER (PARTITION BY text) AS kept, sha256(text) AS text_sha256
 FROM folded
+""",
+    "op4_substring_dedup": r"""
+WITH cut AS (
+    SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[.!?]+\s+|\n+') AS us, list_append(regexp_extract_all(coalesce(text, ''), '[.!?]+\s+|\n+'), '') AS ss FROM documents
+), rows AS (
+    SELECT doc_id, unnest(generate_series(1, len(us))) AS k, unnest(us) AS u, unnest(ss) AS s FROM cut
+), placed AS (
+    SELECT doc_id, u || regexp_extract(s, '^[.!?]+') AS raw, coalesce(sum(length(u) + length(s)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM rows
+), units AS (
+    SELECT doc_id, CAST(place + length(raw) - length(ltrim(raw, E' \t\n\r')) AS INTEGER) AS "start", length(trim(raw, E' \t\n\r')) AS n, regexp_split_to_array(lower(trim(raw, E' \t\n\r')), '\s+') AS words FROM placed
+), keyed AS (
+    SELECT doc_id, "start", CAST("start" + n AS INTEGER) AS "end", CAST(len(words) AS INTEGER) AS n_words, rtrim(array_to_string(words, ' '), '.!?') AS unit FROM units WHERE len(words) >= 8
+), ranked AS (
+    SELECT *, first_value(doc_id) OVER w AS first_doc_id, first_value("start") OVER w AS first_start, row_number() OVER w AS nth FROM keyed WINDOW w AS (PARTITION BY unit ORDER BY doc_id, "start")
+)
+SELECT doc_id, "start", "end", n_words, first_doc_id, first_start FROM ranked WHERE nth > 1
 """,
     "op6_chat_prefix_targets": r"""
 WITH turns AS (
@@ -103,5 +119,28 @@ SELECT conv_id, count(*) AS n_turns,
     sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE target), '')) AS loss_sha256,
     CAST(sum(so_far) FILTER (WHERE target OR n = of_n) AS BIGINT) AS formatted_chars
 FROM summed GROUP BY conv_id
+""",
+    "op7_jaccard_bayes": r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents
+), shingled AS (
+    SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM words
+), sets AS (
+    SELECT doc_id, len(sh) AS n, md5(array_to_string(list_sort(sh), '|')) AS set_id FROM shingled WHERE len(sh) > 0
+), flat AS (
+    SELECT doc_id, unnest(sh) AS g FROM shingled
+), common AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT x, y, a.set_id <> b.set_id AS other, b.set_id FROM common c JOIN sets a ON x = a.doc_id JOIN sets b ON y = b.doc_id WHERE c.n >= 0.8 * (a.n + b.n - c.n) - 1e-9
+), reached AS (
+    SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.y, r.root FROM reached r JOIN links l ON l.x = r.doc_id
+), classes AS (
+    SELECT doc_id, min(root) AS class_id, count(*) AS class_size FROM reached GROUP BY doc_id
+), degrees AS (
+    SELECT x AS doc_id, count(*) AS n_links, count(DISTINCT CASE WHEN other THEN set_id END) AS n_text_links FROM links GROUP BY x
+)
+SELECT c.doc_id, class_id, class_size, coalesce(n_links, 0) AS n_links, coalesce(n_text_links, 0) AS n_text_links, c.doc_id = class_id AS kept FROM classes c LEFT JOIN degrees d ON c.doc_id = d.doc_id
 """,
 }
