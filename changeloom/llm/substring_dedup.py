@@ -5,6 +5,12 @@ of a line is found as well. Units are lower-cased, white space becomes single sp
 go; a unit of fewer than `min_words` words is never removed. Digests of 128 bits are grouped over all
 documents. Of a digest's occurrences the one of the smallest (doc_id, start) stays, null ids last.
 
+With unit="passage" the floor holds for runs of sentences instead of for each: a unit is the shortest run of
+sentences of at least `min_words` words from each sentence on, and up to each sentence. Every run of whole
+sentences of that many words that is found twice is covered by such units, whatever the length of its
+sentences, and so is every repeated line and paragraph. These units may overlap; where one overlaps its own
+first occurrence, only what lies behind that goes.
+
 Edge cases. Null and empty texts: no units. Repeated rows: the first keeps its units, the others lose
 theirs. Ties: by the order in which rows were read. No rows: no rows. Extra columns are ignored by
 find_repeats and kept by strip_repeats. Texts are read whole. Offsets are code points, the end exclusive.
@@ -22,7 +28,7 @@ from pyspark.sql import functions as F
 from changeloom.llm.common import by_chunk, shielded, stage
 
 BREAKS = {"sentence": re.compile(r"[.!?]+\s+|\n+"), "line": re.compile(r"\n"), "paragraph": re.compile(r"\n\s*\n")}
-UNIT_SCHEMA = "doc_id long, row_key long, start int, `end` int, n_words int, digest binary"
+UNIT_SCHEMA = "doc_id long, row_key long, tag long, start int, `end` int, n_words int, digest binary"
 
 
 def units_of(text: str, unit: str, min_words: int) -> list[tuple[int, int, int, str]]:
@@ -39,14 +45,39 @@ def units_of(text: str, unit: str, min_words: int) -> list[tuple[int, int, int,
     return found
 
 
+def passages_of(text: str, min_words: int) -> list[tuple[int, int, int, str]]:
+    """As units_of: from each sentence on, and up to each, the shortest run of sentences that is long enough."""
+    atoms = units_of(text, "sentence", 1)
+    runs, first, words = set(), 0, 0
+    for last, atom in enumerate(atoms):  # the shortest run that ends here
+        words += atom[2]
+        while words - atoms[first][2] >= min_words:
+            words -= atoms[first][2]
+            first += 1
+        if words >= min_words:
+            runs.add((first, last))
+    last, words = -1, 0
+    for first, atom in enumerate(atoms):  # the shortest run that starts here
+        while words < min_words and last + 1 < len(atoms):
+            last += 1
+            words += atoms[last][2]
+        if words < min_words:
+            break
+        runs.add((first, last))
+        words -= atom[2]
+    return [(atoms[a][0], atoms[b][1], sum(x[2] for x in atoms[a : b + 1]), "\n".join(x[3] for x in atoms[a : b + 1])) for a, b in sorted(runs)]
+
+
 def _units(unit: str, min_words: int):
+    cut = (lambda text: passages_of(text, min_words)) if unit == "passage" else (lambda text: units_of(text, unit, min_words))
+
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for doc_id, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rows += [(doc_id, key, start, end, n, xxhash.xxh3_128_digest(plain)) for start, end, n, plain in units_of(text or "", unit, min_words)]
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "row_key", "start", "end", "n_words", "digest"])
+            for doc_id, key, tag, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "row_key", "tag", "text")], strict=True):
+                rows += [(doc_id, key, tag, start, end, n, xxhash.xxh3_128_digest(plain)) for start, end, n, plain in cut(text or "")]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "row_key", "tag", "start", "end", "n_words", "digest"])
 
         return each
 
@@ -56,25 +87,26 @@ def _units(unit: str, min_words: int):
 def find_repeats(docs: DataFrame, *, unit: str = "sentence", min_words: int = 8) -> DataFrame:
     """docs (doc_id, text) to the units that go: doc_id, row_key, tag, start, end, n_words, first_doc_id, first_start.
 
-    tag tells rows of the same doc_id and text apart.
+    tag tells rows of the same doc_id and text apart. n_words counts the whole unit.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    units = stage(rows.mapInArrow(_units(unit, min_words), UNIT_SCHEMA).select(F.monotonically_increasing_id().alias("tag"), "*"), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "tag")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), F.monotonically_increasing_id().alias("tag"), "text")
+    units = stage(rows.mapInArrow(_units(unit, min_words), UNIT_SCHEMA), "units")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "tag", "end")
     groups = stage(units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1"), "unit-groups")
     # Digests with a thousandth of all units or more are a thousand at most, and are broadcast.
     hot_from = max(1000, units.count() // 1000)
-    named = groups.select("digest", "n", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), F.col("first.tag").alias("first_tag"))
+    named = groups.select("digest", "n", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "start", "tag", "end")])
     hot, cold = F.broadcast(named.where(F.col("n") >= hot_from)), named.where(F.col("n") < hot_from)
-    found = units.join(hot, "digest").unionByName(units.join(hot, "digest", "left_anti").join(cold, "digest"))
-    return found.where("tag <> first_tag").select("doc_id", "row_key", "tag", "start", "end", "n_words", "first_doc_id", "first_start")
+    found = units.join(hot, "digest").unionByName(units.join(hot, "digest", "left_anti").join(cold, "digest")).where("tag <> first_tag OR start <> first_start")
+    start = F.when(F.col("tag") == F.col("first_tag"), F.greatest("start", "first_end")).otherwise(F.col("start"))
+    return found.select("doc_id", "row_key", "tag", start.alias("start"), "end", "n_words", "first_doc_id", "first_start")
 
 
-def strip_repeats(docs: DataFrame, **options) -> DataFrame:
+def strip_repeats(docs: DataFrame, *, unit: str = "passage", **options) -> DataFrame:
     """docs without the units that find_repeats names; n_chars, if there, follows the text. All rows stay."""
     docs, restore = shielded(docs, ("doc_id", "text", "n_chars"))
-    spans = find_repeats(docs, **options).groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    spans = find_repeats(docs, unit=unit, **options).groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     joined = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(spans, F.col("_key") == F.col("row_key"), "left")
-    cut = F.expr("aggregate(_spans, named_struct('at', 0, 'out', ''), (a, s) -> named_struct('at', s.end, 'out', concat(a.out, substring(text, a.at + 1, s.start - a.at))), a -> concat(a.out, substring(text, a.at + 1)))")
+    cut = F.expr("aggregate(_spans, named_struct('at', 0, 'out', ''), (a, s) -> named_struct('at', greatest(a.at, s.end), 'out', concat(a.out, substring(text, a.at + 1, greatest(0, s.start - a.at)))), a -> concat(a.out, substring(text, a.at + 1)))")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)
     return restore(joined.withColumn("_text", text).select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]))

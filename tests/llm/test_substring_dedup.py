@@ -45,3 +45,46 @@ def test_repeated_rows_keep_one(make_docs):
     out = S.find_repeats(make_docs([(1, PASSAGE), (1, PASSAGE), (1, PASSAGE)])).collect()
     assert len(out) == 4 and all(r.first_doc_id == 1 for r in out)
     assert S.find_repeats(make_docs([])).count() == 0
+
+
+def brute_runs(rows, min_words):
+    """Marks (row, sentence) that any repeated run of whole sentences covers, by all runs of all lengths."""
+    atoms = [S.units_of(t or "", "sentence", 1) for _, t in rows]
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0, r))
+    first, gone = {}, set()
+    places = [(r, a) for r in order for a in range(len(atoms[r]))]
+    for r, a in places:
+        words, key = 0, ()
+        for b in range(a, len(atoms[r])):
+            words, key = words + atoms[r][b][2], (*key, atoms[r][b][3])
+            if words < min_words:
+                continue
+            if key not in first:
+                first[key] = (r, b)
+            else:
+                gone |= {(r, k) for k in range(a, b + 1) if first[key][0] != r or k > first[key][1]}
+    return atoms, gone
+
+
+def test_passages_of_short_sentences_against_brute_force(make_docs):
+    import random
+
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice("ab cd efg hi jk lmn".split()) for _ in range(n)) + rng.choice([". ", "!! ", "? ", "\n"])
+    shared = ["".join(say(rng.choice([1, 2, 3, 5, 9])) for _ in range(6)) for _ in range(5)]
+    rows = [(i, "".join(rng.choice([rng.choice(shared), say(rng.randrange(1, 12))]) for _ in range(5))) for i in range(40)] + [(None, shared[0]), (50, "Ha. " * 40), (51, None)]
+    atoms, gone = brute_runs(rows, 8)
+    covered = set()
+    at = {i: r for r, (i, _) in enumerate(rows)}
+    for f in S.find_repeats(make_docs(rows), unit="passage").collect():
+        r = at[f.doc_id]
+        covered |= {(r, k) for k, (start, end, _, _) in enumerate(atoms[r]) if f.start <= start and end <= f.end}
+    assert covered == gone and len(gone) > 50
+    assert {k for r, k in gone if rows[r][0] == 50} == set(range(8, 40))
+
+
+def test_repeated_line_of_short_sentences_goes(make_docs):
+    line = "One two. Three four!! Five six? Seven eight. Nine."
+    rows = [(1, f"Head of the first\n{line}\nits tail"), (2, f"Another head\n{line}\nanother tail")]
+    texts = {r.doc_id: r.text for r in S.strip_repeats(make_docs(rows)).collect()}
+    assert texts[1] == rows[0][1] and texts[2].split() == ["Another", "head", "another", "tail"]
