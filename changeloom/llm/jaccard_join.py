@@ -203,16 +203,18 @@ def components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _group_links(settings: dict, threshold: float, tolerance: float):
-    """A mapInArrow function over rows (task, side, set_key, n_docs, text) in the order of their task."""
+    """A mapInArrow function over rows (task, within, side, set_key, n_docs, text) in the order of their task.
 
-    def solve(verifier: Verifier, group: list[tuple]) -> pa.RecordBatch | None:
+    within: the task is one block with itself. Of two blocks one may be without sets; then nothing meets.
+    """
+
+    def solve(verifier: Verifier, within: bool, group: list[tuple]) -> pa.RecordBatch | None:
         rows = list({(side, key): (side, key, n, text) for side, key, n, text in group}.values())
         rows.sort(key=lambda r: r[1])
         sides, docs = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
         sets = [verifier.sketcher.shingles(r[3]) for r in rows]
         left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-        within = len(right) == 0
-        if len(left) < 1 + within:
+        if len(left) < 1 + within or not within and not len(right):
             return None
         i, j = verifier.links(sets, left, None if within else right)
         if not len(i):
@@ -227,16 +229,16 @@ def _group_links(settings: dict, threshold: float, tolerance: float):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        verifier, group, current = Verifier(settings, threshold, tolerance), [], None
+        verifier, group, current, within = Verifier(settings, threshold, tolerance), [], None, False
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("task", "side", "set_key", "n_docs", "text")]
-            for task, *row in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("task", "within", "side", "set_key", "n_docs", "text")]
+            for task, inside, *row in zip(*columns, strict=True):
                 if task != current:
-                    if group and (found := solve(verifier, group)) is not None:
+                    if group and (found := solve(verifier, within, group)) is not None:
                         yield found
-                    group, current = [], task
+                    group, current, within = [], task, inside
                 group.append(tuple(row))
-        if group and (found := solve(verifier, group)) is not None:
+        if group and (found := solve(verifier, within, group)) is not None:
             yield found
 
     return run
@@ -301,15 +303,15 @@ def jaccard_join(
     placed = cell_of.join(cells, "cell").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("parts")))
     each = F.explode(F.expr("sequence(0L, parts - 1)")).alias("b")
     own = placed.where("n_sets > 1").select("set_key", "n_docs", "row_key", "cell", F.col("cell").alias("other"), "block", each)
-    own = own.select("set_key", "n_docs", "row_key", F.xxhash64("cell", "other", F.least("block", "b"), F.greatest("block", "b")).alias("task"), F.when(F.col("block") <= F.col("b"), 0).otherwise(1).alias("side"))
+    own = own.select("set_key", "n_docs", "row_key", F.xxhash64("cell", "other", F.least("block", "b"), F.greatest("block", "b")).alias("task"), (F.col("block") == F.col("b")).alias("within"), F.when(F.col("block") <= F.col("b"), 0).otherwise(1).alias("side"))
     over = F.explode(F.expr("sequence(0L, other_parts - 1)")).alias("b")
     here = placed.select("set_key", "n_docs", "row_key", "cell", "block")
-    to_right = here.join(sized.drop("parts"), "cell").select("set_key", "n_docs", "row_key", "cell", "other", "block", over).select("set_key", "n_docs", "row_key", F.xxhash64("cell", "other", "block", "b").alias("task"), F.lit(0).alias("side"))
+    to_right = here.join(sized.drop("parts"), "cell").select("set_key", "n_docs", "row_key", "cell", "other", "block", over).select("set_key", "n_docs", "row_key", F.xxhash64("cell", "other", "block", "b").alias("task"), F.lit(False).alias("within"), F.lit(0).alias("side"))
     turned = sized.select(F.col("other").alias("cell"), F.col("cell").alias("left"), F.col("parts").alias("other_parts"))
-    to_left = here.join(turned, "cell").select("set_key", "n_docs", "row_key", "left", "cell", "block", over).select("set_key", "n_docs", "row_key", F.xxhash64("left", "cell", "b", "block").alias("task"), F.lit(1).alias("side"))
+    to_left = here.join(turned, "cell").select("set_key", "n_docs", "row_key", "left", "cell", "block", over).select("set_key", "n_docs", "row_key", F.xxhash64("left", "cell", "b", "block").alias("task"), F.lit(False).alias("within"), F.lit(1).alias("side"))
     work = own.unionByName(to_right).unionByName(to_left)
 
-    grouped = texts.select("row_key", "text").join(work, "row_key").select("task", "side", "set_key", "n_docs", "text")
+    grouped = texts.select("row_key", "text").join(work, "row_key").select("task", "within", "side", "set_key", "n_docs", "text")
     links = stage(grouped.repartition("task").sortWithinPartitions("task").mapInArrow(_group_links(settings, threshold, tolerance), LINK_SCHEMA), "links")
     degrees = links.groupBy("set_key").agg(F.sum("links").alias("links"), F.sum("link_docs").alias("link_docs"))
     labels = connected(links)

@@ -62,6 +62,14 @@ def test_against_brute_force(make_docs, options):
     assert found == {rows[i][0]: w for i, w in want.items()}
 
 
+def test_blocks_without_sets(make_docs):
+    rows = list(enumerate(t for seed in range(6) for t in near_copies(2 + seed % 2, edits=3, seed=20 + seed)))
+    want = brute(rows)
+    out = J.jaccard_join(make_docs(rows), block_shingles=25).collect()
+    assert {r.doc_id: (r.class_id, r.class_size, r.n_links) for r in out} == {rows[i][0]: w for i, w in want.items()}
+    assert {r.doc_id: r.n_text_links for r in out} == {rows[i][0]: w[2] for i, w in want.items()} and max(w[2] for w in want.values()) > 0
+
+
 def test_on_the_tables(small):
     rows = [(r.doc_id, r.text) for r in small.collect()]
     want = brute(rows)
