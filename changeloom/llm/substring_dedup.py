@@ -22,7 +22,7 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.llm.common import by_chunk, shielded, stage
@@ -105,8 +105,15 @@ def find_repeats(docs: DataFrame, *, unit: str = "sentence", min_words: int = 8)
 def strip_repeats(docs: DataFrame, *, unit: str = "passage", **options) -> DataFrame:
     """docs without the units that find_repeats names; n_chars, if there, follows the text. All rows stay."""
     docs, restore = shielded(docs, ("doc_id", "text", "n_chars"))
-    spans = find_repeats(docs, unit=unit, **options).groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(spans, F.col("_key") == F.col("row_key"), "left")
+    spans = F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")
+    per_row = find_repeats(docs, unit=unit, **options).groupBy("row_key", "tag").agg(spans)
+    # Of rows of one doc_id and text all but the first lose every unit; the first, of the least tag, may lose none and be missing here.
+    per_text = per_row.groupBy("row_key").agg(F.count("*").alias("_n_cut"), F.min_by("spans", "tag").alias("_of_first"), F.max_by("spans", "tag").alias("_of_rest"))
+    same = Window.partitionBy("_key")
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text")).withColumn("_row", F.monotonically_increasing_id())
+    keyed = keyed.withColumn("_nth", F.row_number().over(same.orderBy("_row"))).withColumn("_of", F.count("*").over(same))
+    joined = keyed.join(per_text, F.col("_key") == F.col("row_key"), "left")
+    joined = joined.withColumn("_spans", F.when(F.col("_nth") > 1, F.col("_of_rest")).when(F.col("_n_cut") == F.col("_of"), F.col("_of_first")))
     cut = F.expr("aggregate(_spans, named_struct('at', 0, 'out', ''), (a, s) -> named_struct('at', greatest(a.at, s.end), 'out', concat(a.out, substring(text, a.at + 1, greatest(0, s.start - a.at)))), a -> concat(a.out, substring(text, a.at + 1)))")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)
     return restore(joined.withColumn("_text", text).select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]))

@@ -88,3 +88,11 @@ def test_repeated_line_of_short_sentences_goes(make_docs):
     rows = [(1, f"Head of the first\n{line}\nits tail"), (2, f"Another head\n{line}\nanother tail")]
     texts = {r.doc_id: r.text for r in S.strip_repeats(make_docs(rows)).collect()}
     assert texts[1] == rows[0][1] and texts[2].split() == ["Another", "head", "another", "tail"]
+
+
+def test_strip_keeps_the_passage_of_repeated_rows_once(make_docs):
+    own = "Words that only this row has got and that nobody repeats."
+    rows = [(1, PASSAGE), (1, PASSAGE), (1, PASSAGE), (2, f"{PASSAGE} {own}"), (2, f"{PASSAGE} {own}"), (3, "no stop"), (3, "no stop")]
+    for unit in ("sentence", "passage"):
+        texts = sorted((r.doc_id, " ".join(r.text.split())) for r in S.strip_repeats(make_docs(rows), unit=unit).collect())
+        assert texts == [(1, ""), (1, ""), (1, PASSAGE), (2, ""), (2, own), (3, "no stop"), (3, "no stop")]
