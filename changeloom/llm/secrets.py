@@ -22,6 +22,10 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +37,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{3,40})-----\s([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
+#: A PEM block is a BEGIN, characters of its body only, and the next END of the same label.
+PEM_BEGIN, PEM_END = (re.compile(rf"(?=-----{word} ([A-Z0-9 ]{{3,40}})-----{after})") for word, after in (("BEGIN", r"\s"), ("END", "")))
+NOT_PEM_BODY = re.compile(r"[^A-Za-z0-9+/=\s:,.-]+")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_ONLY = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
@@ -132,17 +138,40 @@ def key_kind(data: bytes | None, depth: int = 0) -> str | None:
         return "der"
     if is_private_ssh(data):
         return "ssh"
-    if depth == 0 and data.startswith(b"-----BEGIN ") and (m := PEM.search(data.decode("latin-1"))) and pem_is_private(m):
+    if depth == 0 and data.startswith(b"-----BEGIN ") and (block := next(pem_blocks(data.decode("latin-1")), None)) and pem_is_private(*block[2:]):
         return "der"
     return None
 
 
-def pem_is_private(m: re.Match) -> bool:
-    body = "".join(line for line in m[2].split("\n") if ":" not in line)  # without the headers of old encrypted keys
-    data = decoded("".join(body.split()))
-    if data is None or "PRIVATE KEY" not in m[1]:
+def pem_blocks(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, label, body) of the PEM blocks, leftmost first and apart from each other.
+
+    The places of all ENDs and of what no body can hold are found once, so that many BEGINs without an END
+    cost a search each and not a scan.
+    """
+    begins = [(m.start(), m[1]) for m in PEM_BEGIN.finditer(text)]
+    if not begins:
+        return
+    ends, foreign, at = defaultdict(list), [m.start() for m in NOT_PEM_BODY.finditer(text)], 0
+    for m in PEM_END.finditer(text):
+        ends[m[1]].append(m.start())
+    for start, label in begins:
+        body, places = start + len(f"-----BEGIN {label}-----") + 1, ends[label]
+        if start < at or (i := bisect_left(places, body)) == len(places):
+            continue
+        # A run of foreign characters starts after the BEGIN, which holds none.
+        if (j := bisect_left(foreign, body)) < len(foreign) and foreign[j] < places[i]:
+            continue
+        at = places[i] + len(f"-----END {label}-----")
+        yield start, at, label, text[body : places[i]]
+
+
+def pem_is_private(label: str, body: str) -> bool:
+    if "PRIVATE KEY" not in label:
         return False
-    return key_kind(data, 1) is not None or "DEK-Info:" in m[2] and len(data) >= 64 and len(data) % 8 == 0
+    encoded = "".join(line for line in body.split("\n") if ":" not in line)  # without the headers of old encrypted keys
+    data = decoded("".join(encoded.split()))
+    return data is not None and (key_kind(data, 1) is not None or "DEK-Info:" in body and len(data) >= 64 and len(data) % 8 == 0)
 
 
 def is_signed_token(token: str) -> bool:
@@ -169,11 +198,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the confirmed kinds: what lies in a PEM block or a token is reported once."""
-    found = [(m.start(), KINDS.index("pem"), m.end()) for m in PEM.finditer(text) if pem_is_private(m)]
+    found = [(start, KINDS.index("pem"), end) for start, end, label, body in pem_blocks(text) if pem_is_private(label, body)]
     found += [(m.start(), KINDS.index("jwt"), m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
     taken = sorted((a, b) for a, _, b in found)
+    reach = list(accumulate((b for _, b in taken), max))
     for m in RUN.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b in taken):
+        before = bisect_left(taken, (m.end(),))
+        if before and reach[before - 1] > m.start():
             continue
         run = m[0]
         kind = key_kind(bytes.fromhex(run)) if HEX_ONLY.match(run) and len(run) % 2 == 0 else None
