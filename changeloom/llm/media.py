@@ -1,11 +1,12 @@
 """Media columns: texts as images in archives, and a data source that streams the images back.
 
 Writing. A payload becomes a PNG of 8-bit grey samples, 64 a row. Tasks write ZIP archives of stored members
-through an Arrow writer of the data source; an archive ends at about `archive_bytes`. The commit writes a
-manifest that names the archives of the tasks that succeeded, so what a lost or repeated task left behind
-is never read.
+through an Arrow writer of the data source; an archive ends at about `archive_bytes`. Each commit writes a
+manifest of its own that names the archives of the tasks that succeeded, so what a lost or repeated task left
+behind is never read, and appending adds a manifest. Overwriting writes one that also names the manifests it
+replaces: from then on those are not read, and their files are deleted.
 
-Reading. The driver plans byte ranges over the archives of the manifest, without opening them. A task reads
+Reading. The driver plans byte ranges over the archives of the manifests, without opening them. A task reads
 its archive's directory, takes the members that start within its range, fetches neighbours with one request
 and yields Arrow batches of bounded size. A member whose request fails or whose CRC is wrong is fetched
 again by itself, by its offset, a few times with pauses; other members are not touched by that.
@@ -39,7 +40,7 @@ from changeloom.llm.common import slices
 
 WIDTH = 64
 PNG = b"\x89PNG\r\n\x1a\n"
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"
 MEMBER_SCHEMA = "doc_id long, n_bytes long, archive string, offset long, tries int, media binary"
 
 
@@ -97,14 +98,25 @@ def folder(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
+def manifests(system: pyarrow.fs.FileSystem, path: str) -> dict[str, list]:
+    """The archives [name, size] by manifest, without the manifests that others replace."""
+    files = system.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True))
+    found = {}
+    for name in sorted(f.base_name for f in files if f.base_name.startswith(MANIFEST)):
+        with system.open_input_stream(f"{path}/{name}") as stream:
+            found[name] = json.loads(stream.read())
+    gone = {name for m in found.values() for name in m["replaces"]}
+    return {name: m["archives"] for name, m in found.items() if name not in gone}
+
+
 @dataclass
 class Written(WriterCommitMessage):
     archives: list
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, uri: str, archive_bytes: int):
-        self.uri, self.archive_bytes = uri, archive_bytes
+    def __init__(self, uri: str, archive_bytes: int, overwrite: bool):
+        self.uri, self.archive_bytes, self.overwrite = uri, archive_bytes, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, path = folder(self.uri)
@@ -137,8 +149,15 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         system, path = folder(self.uri)
         archives = sorted(a for m in messages if m is not None for a in m.archives)
-        with system.open_output_stream(f"{path}/{MANIFEST}") as out:
-            out.write(json.dumps(archives).encode())
+        old = manifests(system, path) if self.overwrite else {}
+        name = f"{MANIFEST}{uuid.uuid4().hex}.json"
+        with system.open_output_stream(f"{path}/.{name}") as out:
+            out.write(json.dumps({"archives": archives, "replaces": sorted(old)}).encode())
+        system.move(f"{path}/.{name}", f"{path}/{name}")  # a manifest is there whole or not at all
+        for manifest, replaced in old.items():
+            for archive, _ in replaced:
+                system.delete_file(f"{path}/{archive}")
+            system.delete_file(f"{path}/{manifest}")
 
     def abort(self, messages: list) -> None:
         system, path = folder(self.uri)
@@ -159,9 +178,7 @@ class ArchiveReader(DataSourceReader):
         self.uri, self.range_bytes, self.batch_bytes, self.tries = uri, range_bytes, batch_bytes, tries
 
     def partitions(self) -> list[InputPartition]:
-        system, path = folder(self.uri)
-        with system.open_input_stream(f"{path}/{MANIFEST}") as stream:
-            archives = json.loads(stream.read())
+        archives = [a for of_one in manifests(*folder(self.uri)).values() for a in of_one]
         return [ByteRange(name, start, min(size, start + self.range_bytes)) for name, size in archives for start in range(0, size, self.range_bytes)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
@@ -238,7 +255,7 @@ class MediaArchive(DataSource):
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         system, path = folder(self.options["path"])
         system.create_dir(path, recursive=True)
-        return ArchiveWriter(self.options["path"], self._number("archive_bytes", 64 << 20))
+        return ArchiveWriter(self.options["path"], self._number("archive_bytes", 64 << 20), overwrite)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,14 +266,14 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
-def write_archives(docs: DataFrame, uri: str | None = None, **options) -> str:
-    """docs (doc_id, text) as images in archives of the folder; its URI."""
+def write_archives(docs: DataFrame, uri: str | None = None, *, mode: str = "append", **options) -> str:
+    """docs (doc_id, text) as images in archives of the folder, beside what is there or (mode="overwrite") in place of it; its URI."""
     spark = docs.sparkSession
     spark.dataSource.register(MediaArchive)
     uri = uri or new_path(spark, "media")
     uri = uri if "://" in uri or uri.startswith("file:") else f"file://{uri}"
     images = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_encoded, "doc_id long, n_bytes long, media binary")
-    images.write.format("media_archive").mode("append").option("path", uri).options(**options).save()
+    images.write.format("media_archive").mode(mode).option("path", uri).options(**options).save()
     return uri
 
 

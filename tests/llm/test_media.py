@@ -90,7 +90,53 @@ def test_what_failed_tasks_left_is_not_read(spark, make_docs, uri):
     with open(archive_of(uri), "rb") as a, open(f"{folder}/left-over.zip", "wb") as b:
         b.write(a.read())
     assert media.read_archives(spark, uri).count() == len(ROWS)
-    assert all(n != "left-over.zip" for n, _ in json.load(open(f"{folder}/{media.MANIFEST}")))
+    manifests = [x for x in os.listdir(folder) if x.startswith(media.MANIFEST)]
+    assert len(manifests) == 1 and all(n != "left-over.zip" for n, _ in json.load(open(f"{folder}/{manifests[0]}"))["archives"])
+
+
+def test_append_adds_and_overwrite_replaces(spark, make_docs, uri):
+    ids = lambda: sorted(r.doc_id for r in media.read_archives(spark, uri).collect())
+    media.write_archives(make_docs([(1, "a"), (2, "b")]), uri)
+    media.write_archives(make_docs([(3, "c")]), uri)
+    media.write_archives(make_docs([]), uri)
+    assert ids() == [1, 2, 3]
+    media.write_archives(make_docs([(4, "d")]), uri, mode="overwrite")
+    assert ids() == [4]
+    media.write_archives(make_docs([(5, "e")]), uri)
+    assert ids() == [4, 5]
+    files = os.listdir(uri.removeprefix("file://"))
+    assert sum(x.startswith(media.MANIFEST) for x in files) == 2 and sum(x.endswith(".zip") for x in files) == 2
+    media.write_archives(make_docs([]), uri, mode="overwrite")
+    assert ids() == []
+
+
+def test_reading_and_features_against_other_libraries(spark, make_docs, uri):
+    """zipfile and zlib alone, without this module's readers: what lies in the archives, and what the features should be."""
+    import statistics
+    import zipfile
+
+    media.write_archives(make_docs(ROWS), uri)
+    folder, found = uri.removeprefix("file://"), {}
+    for name in (x for x in os.listdir(folder) if x.endswith(".zip")):
+        with zipfile.ZipFile(f"{folder}/{name}") as archive:
+            for member in archive.namelist():
+                png = archive.read(member)
+                assert png[:8] == b"\x89PNG\r\n\x1a\n" and png[12:16] == b"IHDR"
+                width, height = (int.from_bytes(png[a : a + 4], "big") for a in (16, 20))
+                at = png.index(b"IDAT")
+                lines = zlib.decompress(png[at + 4 : at + 4 + int.from_bytes(png[at - 4 : at], "big")])
+                assert width == 64 and len(lines) == 65 * height
+                found.setdefault(b"".join(lines[65 * k + 1 : 65 * k + 65] for k in range(height)), set()).add(hashlib.sha256(png).hexdigest())
+    want = {media.payload_of((t or "").encode()) for _, t in ROWS}
+    assert set(found) == want and all(len(v) == 1 for v in found.values())
+    for r in media.media_features(media.read_archives(spark, uri)).collect():
+        payload = next(p for p in want if hashlib.sha256(p).hexdigest() == r.payload_sha256)
+        assert r.media_sha256 in found[payload] and r.tail_crc32 == zlib.crc32(payload[-64:]) and r.payload_bytes == len(payload)
+        parts = dict((x[0], x[1:]) for x in r.feature.split())
+        steps = [abs(b - a) for a, b in zip(payload, payload[1:], strict=False)]
+        assert int(parts["h"]) == len(payload) // 64 and abs(float(parts["m"]) - statistics.fmean(payload)) < 1e-3
+        assert abs(float(parts["d"]) - statistics.pstdev(payload)) < 1e-2 and abs(float(parts["s"]) - statistics.fmean(steps)) < 1e-3
+        assert [int(x) for x in parts["b"].split("-")] == [sum(32 * k <= v < 32 * k + 32 for v in payload) * 1000 // len(payload) for k in range(8)]
 
 
 def test_no_rows(spark, make_docs, uri):
