@@ -1,11 +1,12 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 The words of each source form one stream (documents in a fixed pseudorandom order) that is cut into
-blocks of `block_words`. A source's target is met by slots: slot k of a source takes the block that the
-source's pseudorandom permutation of epoch k div n gives for k mod n, so no block is taken more than
-once an epoch and no document more than `cap` times. Slots are thrown over the output shards with equal
-chances: a source's counts by shard are one multinomial draw, and the sum over shards is the target
-exactly. Slots and documents meet by (source, block).
+blocks of `block_words`. A source's target is a number of slots. How many of them each output shard gets is a
+multinomial draw: the shards are halved again and again, and of the slots of a range a binomial draw falls to
+its left half. So every shard has its count of each source, the counts of a source add up to its target, and
+no slot is touched for that. The count of a shard and source names a run of slots; slot k of a source takes
+the block that the source's pseudorandom permutation of epoch k div n gives for k mod n, so no block is taken
+more than once an epoch and no document more than `cap` times. Slots and documents meet by (source, block).
 
 Edge cases. Null text: size 0, nothing taken. Null source: a source of its own, last in order. A source
 of size 0 gets target 0. Repeated rows are documents of their own. No rows: no rows. Extra columns are
@@ -24,17 +25,18 @@ from changeloom.llm.common import shielded, stage
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources up to this many are joined by broadcast (about 100 bytes each), more by a shuffle.
 BROADCAST_SOURCES = 10_000
-#: Slots that one row of the slot plan expands to.
-SLOT_RUN = 4096
+#: Up to this many slots a half's share is drawn slot by slot, beyond by the normal curve that binomials then follow.
+EXACT_DRAWS = 4096
 
 
 @dataclass(frozen=True)
 class Mix:
     sources: DataFrame  #: rank, source, weight, source_size, n_docs, target, blocks, epochs, rest
     placed: DataFrame  #: tag, doc_id, text_hash, rank, size, offset: where each document lies in its stream
+    counts: DataFrame  #: rank, shard, first_slot, n: the draw, where n > 0
     slots: DataFrame  #: shard, rank, epoch, block, fill
-    taken: DataFrame  #: tag, block, first, last, times, fill: the parts of blocks that documents fill
-    documents: DataFrame  #: doc_id, source, text_hash, size, source_size, target, taken
+    taken: DataFrame  #: tag, block, word, first, last, times, fill, shard: the parts of blocks that documents fill
+    documents: DataFrame  #: doc_id, source, text_hash, size, source_size, target, taken, first_shard
     broadcast: bool  #: whether the sources are few enough to be broadcast
 
 
@@ -73,6 +75,41 @@ def permuted(df: DataFrame, index: str, size: str, key: list[Column], rounds: in
     return df.withColumn(index, F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), F.col(index), one))
 
 
+def uniform(*key: str) -> str:
+    """SQL of a number in [0, 1) that the key determines."""
+    return f"(shiftrightunsigned(xxhash64({', '.join(key)}), 11) / 9007199254740992D)"
+
+
+def halved(levels: int, seed: int) -> str:
+    """SQL that splits `nodes`, an array of (lo, hi, at, n), that many times.
+
+    Of the n slots of the shards from lo to hi, a binomial draw falls to those below the middle; `at` is the
+    first of the slots. Shards without slots are left out, and ranges of one shard are left alone.
+    """
+    key, chance = (str(seed), "rank", "v.lo", "v.hi"), "((v.lo + v.hi) div 2 - v.lo) / (v.hi - v.lo)"
+    drawn = f"aggregate(sequence(1L, v.n), 0L, (a, i) -> a + IF({uniform(*key, 'i')} < {chance}, 1L, 0L))"
+    wave = f"sqrt(-2 * ln(1 - {uniform(*key, '0L')})) * cos(2 * pi() * {uniform(*key, '-1L')})"
+    curve = f"cast(round(v.n * {chance} + {wave} * sqrt(v.n * {chance} * (1 - {chance}))) AS bigint)"
+    left = f"IF(v.n <= {EXACT_DRAWS}, {drawn}, least(v.n, greatest(0L, {curve})))"
+    pair = "array(named_struct('lo', v.lo, 'hi', (v.lo + v.hi) div 2, 'at', v.at, 'n', k), named_struct('lo', (v.lo + v.hi) div 2, 'hi', v.hi, 'at', v.at + k, 'n', v.n - k))"
+    split = f"IF(v.hi - v.lo <= 1, array(v), flatten(transform(array({left}), k -> filter({pair}, x -> x.n > 0))))"
+    return f"aggregate(sequence(1, {levels}), nodes, (a, i) -> flatten(transform(a, v -> {split})))" if levels else "nodes"
+
+
+def shard_counts(quotas: DataFrame, shards: int, tasks: int, seed: int) -> DataFrame:
+    """quotas (rank, n_slots, and others that stay) to (..., shard, first_slot, n): each source's slots by shard.
+
+    Half of the levels come before the rows are dealt over `tasks`, so no row holds more than about the square
+    root of the number of shards.
+    """
+    levels = max(0, shards - 1).bit_length()
+    root = F.expr(f"array(named_struct('lo', 0L, 'hi', {shards}L, 'at', 0L, 'n', n_slots))")
+    begun = quotas.where("n_slots > 0").withColumn("nodes", root).withColumn("node", F.explode(F.expr(halved(levels // 2, seed)))).drop("nodes")
+    dealt = begun.repartition(tasks, "rank", "node.lo")
+    done = dealt.withColumn("nodes", F.array("node")).withColumn("node", F.explode(F.expr(halved(levels - levels // 2, seed)))).drop("nodes")
+    return done.select(*quotas.columns, F.col("node.lo").alias("shard"), F.col("node.at").alias("first_slot"), F.col("node.n").alias("n"))
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -126,21 +163,18 @@ def mix_sources(
 
     total_slots = sources.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
     shards = max(1, -(-total_slots // slots_per_shard))
-    runs = sources.where("n_slots > 0").select("rank", "blocks", "epochs", "rest", "n_slots", F.explode(F.expr(f"sequence(0L, (n_slots - 1) div {SLOT_RUN})")).alias("run"))
+    counts = shard_counts(sources.select("rank", "blocks", "epochs", "rest", "n_slots"), shards, max(1, min(4096, total_slots // 65_536 + 1)), seed)
     k = (
-        runs.repartition(max(1, min(4096, total_slots // (16 * SLOT_RUN) + 1)))
-        .select("rank", "blocks", "epochs", "rest", F.explode(F.expr(f"sequence(run * {SLOT_RUN}, least(n_slots, (run + 1) * {SLOT_RUN}) - 1)")).alias("k"))
+        counts.withColumn("k", F.explode(F.sequence("first_slot", F.col("first_slot") + F.col("n") - 1)))
         .withColumn("epoch", F.expr("k div blocks"))
         .withColumn("block", F.col("k") % F.col("blocks"))
         .withColumn("fill", F.when(F.col("epoch") < F.col("epochs"), F.lit(block_words)).otherwise(F.least(F.lit(block_words), F.col("rest") - F.col("block") * block_words)).cast("long"))
     )
-    slots = permuted(k, "block", "blocks", [F.lit(seed), F.col("rank"), F.col("epoch")], rounds).select(
-        F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "rank", "k"), F.lit(shards)).alias("shard"), "rank", "epoch", "block", "fill"
-    )
+    slots = permuted(k, "block", "blocks", [F.lit(seed), F.col("rank"), F.col("epoch")], rounds).select("shard", "rank", "epoch", "block", "fill")
 
-    # One row for each block: how often it is taken whole, and the words of it that the last epoch takes.
+    # One row for each block: how often it is taken whole, the words of it that the last epoch takes, and the first shard that has it.
     chosen = slots.groupBy("rank", "block").agg(
-        F.count_if(F.col("fill") == block_words).alias("times"), F.coalesce(F.max(F.when(F.col("fill") < block_words, F.col("fill"))), F.lit(0)).alias("fill")
+        F.count_if(F.col("fill") == block_words).alias("times"), F.coalesce(F.max(F.when(F.col("fill") < block_words, F.col("fill"))), F.lit(0)).alias("fill"), F.min("shard").alias("shard")
     )
     pieces = (
         placed.where("size > 0")
@@ -155,15 +189,15 @@ def mix_sources(
         )
     )
     # The hint: rows that sequences expand to are not in Spark's estimates, which would broadcast all slots.
-    taken = pieces.join(chosen.hint("merge"), ["rank", "block"]).select("tag", "block", "word", "first", "last", "times", "fill")
+    taken = pieces.join(chosen.hint("merge"), ["rank", "block"]).select("tag", "block", "word", "first", "last", "times", "fill", "shard")
     words = F.col("times") * (F.col("last") - F.col("first")) + F.greatest(F.lit(0), F.least("last", "fill") - F.col("first"))
-    sums = taken.groupBy("tag").agg(F.sum(words).alias("taken"))
+    sums = taken.groupBy("tag").agg(F.sum(words).alias("taken"), F.min(F.when(words > 0, F.col("shard"))).alias("first_shard"))
     documents = (
         placed.join(sums, "tag", "left")
         .join(side, "rank")
-        .select("doc_id", "source", "text_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "tag")
+        .select("doc_id", "source", "text_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard", "tag")
     )
-    return Mix(sources, placed, slots, taken, documents, few)
+    return Mix(sources, placed, counts, slots, taken, documents, few)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -171,7 +205,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     once with the words of its blocks that were taken one time more. n_chars, if there, follows the text.
 
     Of a document taken t times a part and t + 1 times another, t rows hold the whole text and one row the
-    other part's words, joined by single spaces. Documents that no block takes are left out.
+    other part's words with the white space before each, as they stand in the text. Documents that no block
+    takes are left out.
     """
     docs, restore = shielded(docs, ("doc_id", "text", "source", "n_chars"))
     mix = mix_sources(docs, **options)
@@ -189,8 +224,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     known = known.withColumn("_all", F.expr("aggregate(_parts, 0L, (a, p) -> a + p.n) = size")).drop("size")
     mine = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(F.lit(0))))
     joined = mine.join(known, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")) & (F.col("_nth") == F.col("_n")))
-    words = F.when(~F.col("_all") & (F.size("_parts") > 0), F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
-    rest = F.expr("array_join(flatten(transform(_parts, m -> slice(_words, cast(m.word + 1 as int), cast(m.n as int)))), ' ')")
+    words = F.when(~F.col("_all") & (F.size("_parts") > 0), F.regexp_extract_all("text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1)))
+    rest = F.regexp_replace(F.expr("array_join(flatten(transform(_parts, m -> slice(_words, cast(m.word + 1 as int), cast(m.n as int)))), '')"), r"^[\x20\x09-\x0D]+", "")
     copies = F.expr("array_repeat(text, cast(_copies + IF(_all, 1, 0) as int))")
     parts = F.when(F.col("_words").isNotNull(), F.array(rest)).otherwise(F.array().cast("array<string>"))
     out = joined.withColumn("_words", words).withColumn("_out", F.explode(F.concat(copies, parts)))

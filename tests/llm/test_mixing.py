@@ -49,16 +49,58 @@ def test_targets_and_taken_words(small):
 def test_blocks_and_shards(small):
     mix = mixing.mix_sources(small, block_words=16, slots_per_shard=64)
     sources = {r["rank"]: r for r in mix.sources.collect()}
-    used = Counter((r["rank"], r.epoch, r.block) for r in mix.slots.collect())
+    slots = mix.slots.collect()
+    used = Counter((r["rank"], r.epoch, r.block) for r in slots)
     assert max(used.values()) == 1  # a permutation: no block twice in an epoch
     for rank, s in sources.items():
         for epoch in range(s.epochs):
             assert {b for r, e, b in used if (r, e) == (rank, epoch)} == set(range(s.blocks))
-    shards = Counter(r.shard for r in mix.slots.collect())
-    assert len(shards) == -(-sum(used.values()) // 64) and min(shards.values()) > 25
-    spread = Counter((r.shard, r["rank"]) for r in mix.slots.collect())
-    biggest = max(sources, key=lambda r: sources[r].n_slots)
-    assert sum(n for (_, r), n in spread.items() if r == biggest) == sources[biggest].n_slots
+    shards = Counter(r.shard for r in slots)
+    assert len(shards) == -(-len(slots) // 64) and min(shards.values()) > 25
+    spread = Counter((r.shard, r["rank"]) for r in slots)
+    assert spread == {(r.shard, r["rank"]): r.n for r in mix.counts.collect()}  # the slots are those that the draw names
+    for rank, s in sources.items():
+        assert sum(n for (_, r), n in spread.items() if r == rank) == s.n_slots
+
+
+@pytest.mark.parametrize(("shards", "n"), [(7, 3000), (64, 200), (5, 200_000)])
+def test_counts_by_shard_are_multinomial(spark, shards, n):
+    """400 sources drawn alike: mean, variance and sum of the counts of each shard, exact draws and the normal curve."""
+    quotas = spark.range(400).select(F.col("id").alias("rank"), F.lit(n).cast("long").alias("n_slots"))
+    table = defaultdict(dict)
+    for r in mixing.shard_counts(quotas, shards, 2, 7).collect():
+        table[r["rank"]][r.shard] = (r.first_slot, r.n)
+    assert len(table) == 400
+    for row in table.values():
+        runs = [row[s] for s in sorted(row)]
+        assert sum(c for _, c in runs) == n and [a for a, _ in runs] == [sum(c for _, c in runs[:i]) for i in range(len(runs))]
+    p = 1 / shards
+    for s in range(shards):
+        counts = [row.get(s, (0, 0))[1] for row in table.values()]
+        mean = sum(counts) / 400
+        variance = sum((c - mean) ** 2 for c in counts) / 399
+        assert abs(mean - n * p) < 5 * (n * p * (1 - p) / 400) ** 0.5 and 0.6 < variance / (n * p * (1 - p)) < 1.5
+
+
+def test_taken_against_plain_python(small):
+    """Streams, blocks and slots in plain Python, from the sources' quotas, the draw and where documents lie."""
+    size = 16
+    mix = mixing.mix_sources(small, block_words=size, slots_per_shard=64)
+    sources, placed = {r["rank"]: r for r in mix.sources.collect()}, mix.placed.collect()
+    streams = defaultdict(dict)
+    for r in placed:
+        for w in range(r.size):
+            assert streams[r["rank"]].setdefault(r.offset + w, r.tag) == r.tag  # documents do not overlap
+    assert {k: len(v) for k, v in streams.items()} == {k: s.source_size for k, s in sources.items() if s.source_size}
+    taken, first = Counter(), {}
+    for slot in mix.slots.collect():
+        words = [streams[slot["rank"]][x] for x in range(slot.block * size, slot.block * size + slot.fill) if x in streams[slot["rank"]]]
+        taken.update(words)
+        for tag in words:
+            first[tag] = min(slot.shard, first.get(tag, slot.shard))
+    found = {r.tag: r for r in mix.documents.collect()}
+    assert {t: r.taken for t, r in found.items() if r.taken} == taken and {t: r.first_shard for t, r in found.items() if r.taken} == first
+    assert len(set(first.values())) > 5 and "shard" in mix.documents._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_permutation_is_one(spark):
@@ -94,19 +136,21 @@ def test_mixture_is_what_was_taken(small):
     taken = {r.doc_id: r.taken for r in mixing.mix_sources(docs, block_words=32).documents.collect()}
     out = mixing.mixed_documents(docs, block_words=32)
     assert out.columns == docs.columns
-    texts, words = {r.doc_id: r.text for r in docs.collect()}, Counter()
+    texts, words, broken = {r.doc_id: r.text for r in docs.collect()}, Counter(), 0
     for r in out.collect():
         assert r.n_chars == len(r.text) and r._words == "mine"
         got = WORD.findall(r.text)
         words[r.doc_id] += len(got)
         assert r.text == texts[r.doc_id] or set(got) <= set(WORD.findall(texts[r.doc_id]))
+        broken += r.text != texts[r.doc_id] and "\n" in r.text
     assert words == Counter({i: n for i, n in taken.items() if n})
+    assert broken > 0  # partly taken texts keep their lines
     odd = mixing.mixed_documents(mixing_docs := docs.limit(0))
     assert odd.count() == 0 and odd.columns == mixing_docs.columns
 
 
 def test_plans_are_native(make_docs):
     mix = mixing.mix_sources(make_docs(ODD))
-    for df in (mix.documents, mix.slots, mix.sources, mixing.mixed_documents(make_docs(ODD))):
+    for df in (mix.documents, mix.slots, mix.counts, mix.sources, mixing.mixed_documents(make_docs(ODD))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
