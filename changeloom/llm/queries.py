@@ -29,7 +29,7 @@ def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.find_repeats(table(spark, sf_dir, "documents")).drop("row_key", "tag")
+    return substring_dedup.find_repeats(table(spark, sf_dir, "documents")).drop("tag")
 
 
 def op5_sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,15 +88,29 @@ WITH cut AS (
 ), rows AS (
     SELECT doc_id, unnest(generate_series(1, len(us))) AS k, unnest(us) AS u, unnest(ss) AS s FROM cut
 ), placed AS (
-    SELECT doc_id, u || regexp_extract(s, '^[.!?]+') AS raw, coalesce(sum(length(u) + length(s)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM rows
-), units AS (
-    SELECT doc_id, CAST(place + length(raw) - length(ltrim(raw, E' \t\n\r')) AS INTEGER) AS "start", length(trim(raw, E' \t\n\r')) AS n, regexp_split_to_array(lower(trim(raw, E' \t\n\r')), '\s+') AS words FROM placed
+    SELECT doc_id, k, u || regexp_extract(s, '^[.!?]+') AS raw,
+        coalesce(sum(length(u) + length(s)) OVER before, 0) AS place,
+        coalesce(sum(length(s) - length(replace(s, chr(10), ''))) OVER before, 0) AS line
+    FROM rows WINDOW before AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), sentences AS (
+    SELECT doc_id, k, line, CAST(place + length(raw) - length(ltrim(raw, E' \t\n\r')) AS INTEGER) AS "start", length(trim(raw, E' \t\n\r')) AS n, regexp_split_to_array(lower(trim(raw, E' \t\n\r')), '\s+') AS words FROM placed
+), atoms AS (
+    SELECT doc_id, line, "start", "start" + n AS "end", len(words) AS n_words, rtrim(array_to_string(words, ' '), '.!?') AS plain,
+        row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, sum(len(words)) OVER (PARTITION BY doc_id ORDER BY k) AS upto
+    FROM sentences WHERE n > 0
+), runs AS (
+    SELECT a.doc_id, a.i AS a, b.i AS b FROM atoms a ASOF JOIN atoms b ON a.doc_id = b.doc_id AND a.upto - a.n_words + 16 <= b.upto
+    UNION SELECT b.doc_id, a.i, b.i FROM atoms b ASOF JOIN (SELECT doc_id, i, upto - n_words AS ahead FROM atoms) a ON a.doc_id = b.doc_id AND b.upto - 16 >= a.ahead
+    UNION SELECT doc_id, min(i), max(i) FROM atoms GROUP BY doc_id, line HAVING sum(n_words) >= 16
+), lists AS (
+    SELECT doc_id, list(plain ORDER BY i) AS plains FROM atoms GROUP BY doc_id
 ), keyed AS (
-    SELECT doc_id, "start", CAST("start" + n AS INTEGER) AS "end", CAST(len(words) AS INTEGER) AS n_words, rtrim(array_to_string(words, ' '), '.!?') AS unit FROM units WHERE len(words) >= 8
+    SELECT doc_id, x."start", CAST(y."end" AS INTEGER) AS "end", CAST(y.upto - x.upto + x.n_words AS INTEGER) AS n_words, array_to_string(plains[a:b], chr(10)) AS unit
+    FROM runs JOIN lists USING (doc_id) JOIN atoms x USING (doc_id) JOIN atoms y USING (doc_id) WHERE x.i = a AND y.i = b
 ), ranked AS (
-    SELECT *, first_value(doc_id) OVER w AS first_doc_id, first_value("start") OVER w AS first_start, row_number() OVER w AS nth FROM keyed WINDOW w AS (PARTITION BY unit ORDER BY doc_id, "start")
+    SELECT *, first_value(doc_id) OVER w AS first_doc_id, first_value("start") OVER w AS first_start, first_value("end") OVER w AS first_end, row_number() OVER w AS nth FROM keyed WINDOW w AS (PARTITION BY unit ORDER BY doc_id, "start")
 )
-SELECT doc_id, "start", "end", n_words, first_doc_id, first_start FROM ranked WHERE nth > 1
+SELECT doc_id, CASE WHEN doc_id = first_doc_id THEN greatest("start", first_end) ELSE "start" END AS "start", "end", n_words, first_doc_id, first_start FROM ranked WHERE nth > 1
 """,
     "op6_chat_prefix_targets": r"""
 WITH turns AS (

@@ -1,15 +1,14 @@
-"""Substring deduplication by unit hashing: the earliest occurrence of a repeated unit stays, the rest go.
+"""Substring deduplication by line hashing: the earliest occurrence of a repeated unit stays, the rest go.
 
-A unit is a paragraph, a line, or (the default) a sentence of a line, so that a passage set into the middle
-of a line is found as well. Units are lower-cased, white space becomes single spaces, and stops at the end
-go; a unit of fewer than `min_words` words is never removed. Digests of 128 bits are grouped over all
-documents. Of a digest's occurrences the one of the smallest (doc_id, start) stays, null ids last.
+Units are the lines of a text (unit="paragraph": what blank lines part) of at least `min_words` words, and
+within them and across them runs of sentences, so that a passage set into the middle of a line is found as
+well: from each sentence on, and up to each, the shortest run of `min_words` words or more. Every repeated
+line, and every run of whole sentences of that many words that is found twice, is covered by such units,
+whatever the length of its sentences. unit="sentence" takes single sentences of `min_words` words only.
 
-With unit="passage" the floor holds for runs of sentences instead of for each: a unit is the shortest run of
-sentences of at least `min_words` words from each sentence on, and up to each sentence. Every run of whole
-sentences of that many words that is found twice is covered by such units, whatever the length of its
-sentences, and so is every repeated line and paragraph. These units may overlap; where one overlaps its own
-first occurrence, only what lies behind that goes.
+Units are normalised: lower case, single spaces, no stops at the ends of sentences. Digests of 128 bits are
+grouped over all documents. Of a digest's occurrences the one of the smallest (doc_id, start) stays, null ids
+last. Units may overlap; where one overlaps its own first occurrence, only what lies behind that goes.
 
 Edge cases. Null and empty texts: no units. Repeated rows: the first keeps its units, the others lose
 theirs. Ties: by the order in which rows were read. No rows: no rows. Extra columns are ignored by
@@ -19,16 +18,19 @@ find_repeats and kept by strip_repeats. Texts are read whole. Offsets are code p
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import by_chunk, shielded, stage
+from changeloom.llm.common import by_chunk, shielded, slices, stage
 
 BREAKS = {"sentence": re.compile(r"[.!?]+\s+|\n+"), "line": re.compile(r"\n"), "paragraph": re.compile(r"\n\s*\n")}
-UNIT_SCHEMA = "doc_id long, row_key long, tag long, start int, `end` int, n_words int, digest binary"
+UNIT_SCHEMA = "doc_id long, tag long, start int, `end` int, n_words int, digest binary"
 
 
 def units_of(text: str, unit: str, min_words: int) -> list[tuple[int, int, int, str]]:
@@ -45,51 +47,43 @@ def units_of(text: str, unit: str, min_words: int) -> list[tuple[int, int, int,
     return found
 
 
-def passages_of(text: str, min_words: int) -> list[tuple[int, int, int, str]]:
-    """As units_of: from each sentence on, and up to each, the shortest run of sentences that is long enough."""
+def passages_of(text: str, unit: str, min_words: int) -> list[tuple[int, int, int, str]]:
+    """As units_of, the long enough lines or paragraphs and the shortest runs of sentences that are long enough."""
     atoms = units_of(text, "sentence", 1)
-    runs, first, words = set(), 0, 0
-    for last, atom in enumerate(atoms):  # the shortest run that ends here
-        words += atom[2]
-        while words - atoms[first][2] >= min_words:
-            words -= atoms[first][2]
-            first += 1
-        if words >= min_words:
+    sums = [0, *accumulate(atom[2] for atom in atoms)]
+    runs = set()
+    for first in range(len(atoms)):  # the shortest run that starts here
+        last = bisect_left(sums, sums[first] + min_words) - 1
+        if last < len(atoms):
             runs.add((first, last))
-    last, words = -1, 0
-    for first, atom in enumerate(atoms):  # the shortest run that starts here
-        while words < min_words and last + 1 < len(atoms):
-            last += 1
-            words += atoms[last][2]
-        if words < min_words:
-            break
-        runs.add((first, last))
-        words -= atom[2]
-    return [(atoms[a][0], atoms[b][1], sum(x[2] for x in atoms[a : b + 1]), "\n".join(x[3] for x in atoms[a : b + 1])) for a, b in sorted(runs)]
+    for last in range(len(atoms)):  # the shortest run that ends here
+        first = bisect_right(sums, sums[last + 1] - min_words) - 1
+        if first >= 0:
+            runs.add((first, last))
+    starts = [atom[0] for atom in atoms]
+    for start, end, _, _ in units_of(text, unit, min_words):
+        runs.add((bisect_left(starts, start), bisect_left(starts, end) - 1))
+    return [(atoms[a][0], atoms[b][1], sums[b + 1] - sums[a], "\n".join(x[3] for x in atoms[a : b + 1])) for a, b in sorted(runs)]
 
 
 def _units(unit: str, min_words: int):
-    cut = (lambda text: passages_of(text, min_words)) if unit == "passage" else (lambda text: units_of(text, unit, min_words))
+    cut = (lambda text: units_of(text, unit, min_words)) if unit == "sentence" else (lambda text: passages_of(text, unit, min_words))
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for doc_id, key, tag, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "row_key", "tag", "text")], strict=True):
-                rows += [(doc_id, key, tag, start, end, n, xxhash.xxh3_128_digest(plain)) for start, end, n, plain in cut(text or "")]
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "row_key", "tag", "start", "end", "n_words", "digest"])
+            for doc_id, tag, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "tag", "text")], strict=True):
+                rows += [(doc_id, tag, start, end, n, xxhash.xxh3_128_digest(plain)) for start, end, n, plain in cut(text or "")]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "tag", "start", "end", "n_words", "digest"])
 
         return each
 
     return by_chunk(make)
 
 
-def find_repeats(docs: DataFrame, *, unit: str = "sentence", min_words: int = 8) -> DataFrame:
-    """docs (doc_id, text) to the units that go: doc_id, row_key, tag, start, end, n_words, first_doc_id, first_start.
-
-    tag tells rows of the same doc_id and text apart. n_words counts the whole unit.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), F.monotonically_increasing_id().alias("tag"), "text")
+def _repeats(rows: DataFrame, unit: str, min_words: int) -> DataFrame:
+    """As find_repeats, of rows (doc_id, tag, text)."""
     units = stage(rows.mapInArrow(_units(unit, min_words), UNIT_SCHEMA), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "tag", "end")
     groups = stage(units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1"), "unit-groups")
@@ -99,21 +93,45 @@ def find_repeats(docs: DataFrame, *, unit: str = "sentence", min_words: int = 8)
     hot, cold = F.broadcast(named.where(F.col("n") >= hot_from)), named.where(F.col("n") < hot_from)
     found = units.join(hot, "digest").unionByName(units.join(hot, "digest", "left_anti").join(cold, "digest")).where("tag <> first_tag OR start <> first_start")
     start = F.when(F.col("tag") == F.col("first_tag"), F.greatest("start", "first_end")).otherwise(F.col("start"))
-    return found.select("doc_id", "row_key", "tag", start.alias("start"), "end", "n_words", "first_doc_id", "first_start")
+    return found.select("doc_id", "tag", start.alias("start"), "end", "n_words", "first_doc_id", "first_start")
 
 
-def strip_repeats(docs: DataFrame, *, unit: str = "passage", **options) -> DataFrame:
-    """docs without the units that find_repeats names; n_chars, if there, follows the text. All rows stay."""
+def find_repeats(docs: DataFrame, *, unit: str = "line", min_words: int = 16) -> DataFrame:
+    """docs (doc_id, text) to the units that go: doc_id, tag, start, end, n_words, first_doc_id, first_start.
+
+    tag tells rows of the same doc_id and text apart. n_words counts the whole unit.
+    """
+    return _repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("tag"), "text"), unit, min_words)
+
+
+def without(text: str | None, spans: list[dict] | None) -> str | None:
+    """The text without the spans, which may overlap."""
+    if text is None or not spans:
+        return text
+    kept, at = [], 0
+    for start, end in sorted((x["start"], x["end"]) for x in spans):
+        kept.append(text[at : max(at, start)])
+        at = max(at, end)
+    return "".join((*kept, text[at:]))
+
+
+def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            texts = [without(t, x) for t, x in zip(part.column("text").to_pylist(), part.column("_spans").to_pylist(), strict=True)]
+            columns = {c: part.column(c) for c in part.schema.names if c != "_spans"} | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns["n_chars"].type)
+            yield pa.record_batch(list(columns.values()), names=list(columns))
+
+
+def strip_repeats(docs: DataFrame, *, unit: str = "line", min_words: int = 16) -> DataFrame:
+    """docs without the units that find_repeats names; n_chars, if there, follows the text. All rows stay.
+
+    The rows are numbered in a table of the shared folder first, so repeated rows are told apart.
+    """
     docs, restore = shielded(docs, ("doc_id", "text", "n_chars"))
-    spans = F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")
-    per_row = find_repeats(docs, unit=unit, **options).groupBy("row_key", "tag").agg(spans)
-    # Of rows of one doc_id and text all but the first lose every unit; the first, of the least tag, may lose none and be missing here.
-    per_text = per_row.groupBy("row_key").agg(F.count("*").alias("_n_cut"), F.min_by("spans", "tag").alias("_of_first"), F.max_by("spans", "tag").alias("_of_rest"))
-    same = Window.partitionBy("_key")
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text")).withColumn("_row", F.monotonically_increasing_id())
-    keyed = keyed.withColumn("_nth", F.row_number().over(same.orderBy("_row"))).withColumn("_of", F.count("*").over(same))
-    joined = keyed.join(per_text, F.col("_key") == F.col("row_key"), "left")
-    joined = joined.withColumn("_spans", F.when(F.col("_nth") > 1, F.col("_of_rest")).when(F.col("_n_cut") == F.col("_of"), F.col("_of_first")))
-    cut = F.expr("aggregate(_spans, named_struct('at', 0, 'out', ''), (a, s) -> named_struct('at', greatest(a.at, s.end), 'out', concat(a.out, substring(text, a.at + 1, greatest(0, s.start - a.at)))), a -> concat(a.out, substring(text, a.at + 1)))")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)
-    return restore(joined.withColumn("_text", text).select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]))
+    rows = stage(docs.withColumn("_tag", F.monotonically_increasing_id()), "numbered")
+    found = _repeats(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_tag").alias("tag"), "text"), unit, min_words)
+    spans = found.groupBy(F.col("tag").alias("_tag")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    return restore(rows.join(spans, "_tag", "left").select(*docs.columns, "_spans").mapInArrow(_stripped, docs.schema))

@@ -1,3 +1,5 @@
+import pytest
+
 from changeloom.llm import substring_dedup as S
 
 PASSAGE = "The quick brown fox jumps over the lazy dog tonight. Every good boy deserves fudge and a second helping too."
@@ -23,7 +25,7 @@ def brute(rows, min_words):
 
 def test_against_brute_force(small):
     rows = [(r.doc_id, r.text) for r in small.collect()]
-    out = S.find_repeats(small).collect()
+    out = S.find_repeats(small, unit="sentence", min_words=8).collect()
     assert sorted(((r.doc_id, r.start, r.end, r.first_doc_id, r.first_start) for r in out), key=repr) == brute(rows, 8)
     assert len(out) > 50
 
@@ -31,7 +33,7 @@ def test_against_brute_force(small):
 def test_passage_inside_lines_and_odd_rows(make_docs):
     rows = [(3, f"Alpha beta. {PASSAGE} Gamma."), (1, f"start of it\n{PASSAGE.upper()}"), (None, PASSAGE), (2, "clean words that nobody else has written here today"), (4, None), (5, ""), (6, "word " * 100_000)]
     docs = make_docs(rows, ("start", "digest", "_spans"))
-    out = S.find_repeats(docs).collect()
+    out = S.find_repeats(docs, unit="sentence", min_words=8).collect()
     assert {r.doc_id for r in out} == {3, None} and all(r.first_doc_id == 1 for r in out) and len(out) == 4
     assert all(rows[0][1][r.start : r.end] in PASSAGE for r in out if r.doc_id == 3)
     stripped = S.strip_repeats(docs)
@@ -43,7 +45,7 @@ def test_passage_inside_lines_and_odd_rows(make_docs):
 
 def test_repeated_rows_keep_one(make_docs):
     out = S.find_repeats(make_docs([(1, PASSAGE), (1, PASSAGE), (1, PASSAGE)])).collect()
-    assert len(out) == 4 and all(r.first_doc_id == 1 for r in out)
+    assert len(out) == 2 and all(r.first_doc_id == 1 for r in out)
     assert S.find_repeats(make_docs([])).count() == 0
 
 
@@ -66,7 +68,8 @@ def brute_runs(rows, min_words):
     return atoms, gone
 
 
-def test_passages_of_short_sentences_against_brute_force(make_docs):
+@pytest.mark.parametrize("unit", ["line", "paragraph"])
+def test_passages_of_short_sentences_against_brute_force(make_docs, unit):
     import random
 
     rng = random.Random(5)
@@ -76,7 +79,7 @@ def test_passages_of_short_sentences_against_brute_force(make_docs):
     atoms, gone = brute_runs(rows, 8)
     covered = set()
     at = {i: r for r, (i, _) in enumerate(rows)}
-    for f in S.find_repeats(make_docs(rows), unit="passage").collect():
+    for f in S.find_repeats(make_docs(rows), unit=unit, min_words=8).collect():
         r = at[f.doc_id]
         covered |= {(r, k) for k, (start, end, _, _) in enumerate(atoms[r]) if f.start <= start and end <= f.end}
     assert covered == gone and len(gone) > 50
@@ -86,13 +89,35 @@ def test_passages_of_short_sentences_against_brute_force(make_docs):
 def test_repeated_line_of_short_sentences_goes(make_docs):
     line = "One two. Three four!! Five six? Seven eight. Nine."
     rows = [(1, f"Head of the first\n{line}\nits tail"), (2, f"Another head\n{line}\nanother tail")]
-    texts = {r.doc_id: r.text for r in S.strip_repeats(make_docs(rows)).collect()}
+    texts = {r.doc_id: r.text for r in S.strip_repeats(make_docs(rows), min_words=8).collect()}
     assert texts[1] == rows[0][1] and texts[2].split() == ["Another", "head", "another", "tail"]
 
 
 def test_strip_keeps_the_passage_of_repeated_rows_once(make_docs):
     own = "Words that only this row has got and that nobody repeats."
     rows = [(1, PASSAGE), (1, PASSAGE), (1, PASSAGE), (2, f"{PASSAGE} {own}"), (2, f"{PASSAGE} {own}"), (3, "no stop"), (3, "no stop")]
-    for unit in ("sentence", "passage"):
-        texts = sorted((r.doc_id, " ".join(r.text.split())) for r in S.strip_repeats(make_docs(rows), unit=unit).collect())
+    for unit in ("sentence", "line", "paragraph"):
+        texts = sorted((r.doc_id, " ".join(r.text.split())) for r in S.strip_repeats(make_docs(rows), unit=unit, min_words=8).collect())
         assert texts == [(1, ""), (1, ""), (1, PASSAGE), (2, ""), (2, own), (3, "no stop"), (3, "no stop")]
+
+
+def test_repeated_lines_are_units_whole(small):
+    """Every line of 16 words or more that stands in an earlier document, or earlier in its own, is a unit of its own."""
+    rows = [(r.doc_id, r.text) for r in small.collect()]
+    first, want = {}, set()
+    for doc_id, text in sorted(rows):
+        for start, end, n, plain in S.units_of(text or "", "line", 16):
+            want |= {(doc_id, start, end, n)} if plain in first else set()
+            first.setdefault(plain, doc_id)
+    found = {(r.doc_id, r.start, r.end, r.n_words) for r in S.find_repeats(small).collect()}
+    assert len(want) > 20 and want <= found
+
+
+def test_long_text_of_repeated_lines_is_cut_in_linear_time():
+    import time
+
+    text = "".join(f"line {i} of many\n" for i in range(200_000))
+    spans = [{"start": k, "end": k + 9} for k in range(0, len(text), 18)]
+    start = time.process_time()
+    assert len(S.without(text, spans)) == len(text) - sum(min(len(text), x["end"]) - x["start"] for x in spans)
+    assert time.process_time() - start < 5
