@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.checkpoints import new_path
@@ -32,6 +32,19 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The type of row_key().
+ROW_KEY = "struct<a: long, b: long>"
+
+
+def half_key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def row_key() -> Column:
+    """A 128-bit hash of doc_id and text, by which a row is found again; only equal rows are expected to share one."""
+    return F.struct(half_key(1).alias("a"), half_key(2).alias("b"))
+
+
 def shielded(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs with all other columns under names that clash with nothing, and what gives them back their own."""
     names = {c: c if c in needed else f"__other{i}" for i, c in enumerate(docs.columns)}

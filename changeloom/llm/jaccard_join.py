@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import by_chunk, shielded, stage
+from changeloom.llm.common import ROW_KEY, by_chunk, row_key, shielded, stage
 
 WORD = re.compile(r"\w+")
 STEP = 32
@@ -281,8 +281,8 @@ def jaccard_join(
     kept marks one row of each class.
     """
     settings = {"shingle": shingle, "bands": bands, "rows": rows}
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    sketched = texts.mapInArrow(_sketch(settings), "doc_id long, row_key long, set_key binary, n_shingles int, bands array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
+    sketched = texts.mapInArrow(_sketch(settings), f"doc_id long, row_key {ROW_KEY}, set_key binary, n_shingles int, bands array<long>")
     sketch = stage(sketched.select(F.monotonically_increasing_id().alias("tag"), "*"), "sketch")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "row_key")).alias("first")
     sets = stage(sketch.where("set_key IS NOT NULL").groupBy("set_key").agg(first, F.count("*").alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "sets")
@@ -346,7 +346,7 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class of near copies; all columns stay."""
     docs, restore = shielded(docs, ("doc_id", "text"))
     kept = jaccard_join(docs, **options).where("kept").groupBy("row_key").agg(F.count("*").alias("_n")).withColumnRenamed("row_key", "_key")
-    mine = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(kept, "_key")
+    mine = docs.withColumn("_key", row_key()).join(kept, "_key")
     # Repeated rows of a text without words are all kept; other repeats give one row.
     once = mine.where(F.col("_n") == 1).dropDuplicates(["_key"])
     return restore(once.unionByName(mine.where(F.col("_n") > 1)))

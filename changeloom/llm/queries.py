@@ -105,8 +105,8 @@ WITH cut AS (
 ), lists AS (
     SELECT doc_id, list(plain ORDER BY i) AS plains FROM atoms GROUP BY doc_id
 ), keyed AS (
-    SELECT doc_id, x."start", CAST(y."end" AS INTEGER) AS "end", CAST(y.upto - x.upto + x.n_words AS INTEGER) AS n_words, array_to_string(plains[a:b], chr(10)) AS unit
-    FROM runs JOIN lists USING (doc_id) JOIN atoms x USING (doc_id) JOIN atoms y USING (doc_id) WHERE x.i = a AND y.i = b
+    SELECT r.doc_id, x."start", CAST(y."end" AS INTEGER) AS "end", CAST(y.upto - x.upto + x.n_words AS INTEGER) AS n_words, array_to_string(plains[a:b], chr(10)) AS unit
+    FROM runs r JOIN lists l ON r.doc_id = l.doc_id JOIN atoms x ON x.doc_id = r.doc_id AND x.i = r.a JOIN atoms y ON y.doc_id = r.doc_id AND y.i = r.b
 ), ranked AS (
     SELECT *, first_value(doc_id) OVER w AS first_doc_id, first_value("start") OVER w AS first_start, first_value("end") OVER w AS first_end, row_number() OVER w AS nth FROM keyed WINDOW w AS (PARTITION BY unit ORDER BY doc_id, "start")
 )

@@ -2,8 +2,9 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from changeloom.llm import exact_dedup
+from changeloom.llm import common, exact_dedup
 
 FOLD = str.maketrans(exact_dedup.UPPER, exact_dedup.LOWER)
 
@@ -50,16 +51,50 @@ def test_drop_keeps_columns_and_one_row_of_each_text(make_docs):
 
 
 def test_levels_compact(spark, make_docs):
-    from pyspark.sql import functions as F
-
-    index = exact_dedup.MergeIndex(memtable_rows=3, fan_in=2)
+    index, known = exact_dedup.MergeIndex(memtable_rows=3, fan_in=2), []
     for part in range(5):
-        rows = [(10 * part + i, f"text {i}") for i in range(7)]
+        rows = [(10 * part + i, f"text {i + part}") for i in range(7)]
         log = make_docs(rows).select(F.col("doc_id").alias("tag"), F.col("doc_id").alias("ident"), F.unhex(F.md5("text")).alias("digest"))
-        index.insert(log)
+        known.append(index.insert(log).count())
+    assert known == [0, 6, 6, 6, 6]  # the text that each batch has beside those of the one before
     assert len(index.levels[0]) == 1 and sum(map(len, index.levels)) < 5
-    assert sorted((r.ident, r.n) for r in index.entries().collect()) == [(i, 5) for i in range(7)]
+    want = {}
+    for i, text in ((10 * part + i, i + part) for part in range(5) for i in range(7)):
+        want[text] = (min(i, want.get(text, (i, 0))[0]), want.get(text, (i, 0))[1] + 1)
+    assert sorted((r.ident, r.n) for r in index.entries().collect()) == sorted(want.values())
     index.compact()
-    assert sum(map(len, index.levels)) == 1 and index.entries().count() == 7
+    assert sum(map(len, index.levels)) == 1 and index.entries().count() == 11
     probe = make_docs([(1, "text 3"), (2, "text 99")]).select("doc_id", F.unhex(F.md5("text")).alias("digest"))
-    assert [(r.doc_id, r.ident) for r in index.lookup(probe).collect()] == [(1, 3)]
+    assert [r.doc_id for r in index.lookup(probe).collect()] == [1]
+
+
+def test_filters_pass_what_a_run_holds_and_little_else(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FILTER_DIGESTS", 2000)
+    key = lambda low, high: spark.range(low, high).select(F.col("id").alias("tag"), F.col("id").alias("ident"), F.unhex(F.md5(F.col("id").cast("string"))).alias("digest"))
+    index = exact_dedup.MergeIndex()
+    index.insert(key(0, 20_000))
+    (run,) = index.runs
+    assert run.buckets == 10
+    assert run.may_hold(key(0, 20_000)).count() == 20_000
+    assert run.may_hold(key(20_000, 40_000)).count() < 200
+    for most in (0, 2048):  # joined by a shuffle, and broadcast
+        monkeypatch.setattr(exact_dedup, "BROADCAST_BUCKETS", most)
+        assert index.lookup(key(19_990, 20_010)).count() == 10
+
+
+def test_shuffled_joins_agree_with_broadcast_ones(small, monkeypatch):
+    rows = lambda: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.find_copies(small).collect())
+    want = rows()
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BUCKETS", 0)
+    assert rows() == want
+
+
+def test_rows_that_share_half_of_their_key(make_docs, monkeypatch):
+    """All rows collide in one 64-bit hash: no document is lost or swapped."""
+    half = common.half_key
+    monkeypatch.setattr(common, "half_key", lambda seed: F.lit(7).cast("long") if seed == 1 else half(seed))
+    docs = make_docs(ROWS)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in exact_dedup.drop_copies(docs).collect()) == sorted((i is None, i or 0) for i in [2, 3, 5, 6, 7, 9, None, -2])
+    found = exact_dedup.find_copies(docs, digest_bytes=1).collect()
+    assert len(found) == len(ROWS) and all(brute(ROWS)[r.doc_id, r.text_sha256] == (r.keep_id, r.group_size) for r in found)
