@@ -10,7 +10,9 @@ Where pairs meet. Each set joins the smallest set that it shares a band with; th
 are a cell. A cell is cut into blocks of bounded numbers of sets and shingles, and each pair of blocks of a
 cell, or of two cells that share a band, is one group of work. So every candidate pair meets once, a group of
 any size is spread over many small tasks, and no pairs are written: a task returns for each set the number
-of its links and the smallest set that it is connected with, from which components are found.
+of its links and the smallest set that it is connected with, from which components are found. The groups of
+work of a cell go to partitions one after the other, so no partition gets many of them by chance. Blocks grow
+with their cell up to eight times, so a text of a cell of n sets is sent to n / 8192 groups at most, or to 64.
 
 With 24 bands of 4 values, a pair at 0.8 shares no band with probability 3e-6.
 
@@ -203,7 +205,7 @@ def components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _group_links(settings: dict, threshold: float, tolerance: float):
-    """A mapInArrow function over rows (task, within, side, set_key, n_docs, text) in the order of their task.
+    """A mapInArrow function over rows (task, within, side, set_key, n_docs, text) in the order of their task, a pair of numbers.
 
     within: the task is one block with itself. Of two blocks one may be without sets; then nothing meets.
     """
@@ -292,27 +294,39 @@ def jaccard_join(
     shared = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("set_key").alias("lead")).where("n > 1").drop("n")
     members = stage(buckets.join(shared, "band"), "band-members")
     cell_of = stage(members.groupBy("set_key").agg(F.min("lead").alias("cell")).join(sets.select("set_key", "n_docs", "n_shingles", F.col("first.row_key").alias("row_key")), "set_key"), "cells")
-    parts = F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n_shingles") / block_shingles))
+    grown = F.least(F.lit(8.0), F.greatest(F.lit(1.0), F.count("*") / (64 * block_sets)))
+    parts = F.greatest(F.ceil(F.count("*") / (grown * block_sets)), F.ceil(F.sum("n_shingles") / (grown * block_shingles)))
     cells = stage(cell_of.groupBy("cell").agg(parts.alias("parts"), F.count("*").alias("n_sets")), "cell-sizes")
     in_cells = members.join(cell_of.select("set_key", "cell"), "set_key").select("band", "cell").distinct()
     pairs = in_cells.join(in_cells.withColumnRenamed("cell", "other"), "band").where("cell < other").select("cell", "other").distinct()
     sized = pairs.join(cells.select("cell", "parts"), "cell").join(cells.select(F.col("cell").alias("other"), F.col("parts").alias("other_parts")), "other")
     sized = stage(sized, "cell-pairs")
 
-    # Which block of work each set goes to.
+    # Which block of work each set goes to: a group of work is that of two cells (or one) and the number of two blocks.
     placed = cell_of.join(cells, "cell").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("parts")))
-    each = F.explode(F.expr("sequence(0L, parts - 1)")).alias("b")
-    own = placed.where("n_sets > 1").select("set_key", "n_docs", "row_key", "cell", F.col("cell").alias("other"), "block", each)
-    own = own.select("set_key", "n_docs", "row_key", F.xxhash64("cell", "other", F.least("block", "b"), F.greatest("block", "b")).alias("task"), (F.col("block") == F.col("b")).alias("within"), F.when(F.col("block") <= F.col("b"), 0).otherwise(1).alias("side"))
+    group = lambda left, right, number: F.struct((F.xxhash64(left, right) + number).alias("a"), (F.xxhash64(F.lit(1), left, right) + number).alias("b")).alias("task")
+    low, high = F.least("block", "b"), F.greatest("block", "b")
+    own = placed.where("n_sets > 1").select("set_key", "n_docs", "row_key", "cell", "block", F.explode(F.expr("sequence(0L, parts - 1)")).alias("b"))
+    own = own.select("set_key", "n_docs", "row_key", group("cell", "cell", F.expr("greatest(block, b) * (greatest(block, b) + 1) div 2") + low), (low == high).alias("within"), F.when(F.col("block") <= F.col("b"), 0).otherwise(1).alias("side"))
     over = F.explode(F.expr("sequence(0L, other_parts - 1)")).alias("b")
-    here = placed.select("set_key", "n_docs", "row_key", "cell", "block")
-    to_right = here.join(sized.drop("parts"), "cell").select("set_key", "n_docs", "row_key", "cell", "other", "block", over).select("set_key", "n_docs", "row_key", F.xxhash64("cell", "other", "block", "b").alias("task"), F.lit(False).alias("within"), F.lit(0).alias("side"))
+    here = placed.select("set_key", "n_docs", "row_key", "cell", "block", "parts")
+    to_right = here.join(sized.drop("parts"), "cell").select("set_key", "n_docs", "row_key", "cell", "other", "block", "other_parts", over)
+    to_right = to_right.select("set_key", "n_docs", "row_key", group("cell", "other", F.col("block") * F.col("other_parts") + F.col("b")), F.lit(False).alias("within"), F.lit(0).alias("side"))
     turned = sized.select(F.col("other").alias("cell"), F.col("cell").alias("left"), F.col("parts").alias("other_parts"))
-    to_left = here.join(turned, "cell").select("set_key", "n_docs", "row_key", "left", "cell", "block", over).select("set_key", "n_docs", "row_key", F.xxhash64("left", "cell", "b", "block").alias("task"), F.lit(False).alias("within"), F.lit(1).alias("side"))
+    to_left = here.join(turned, "cell").select("set_key", "n_docs", "row_key", "left", "cell", "block", "parts", over)
+    to_left = to_left.select("set_key", "n_docs", "row_key", group("left", "cell", F.col("b") * F.col("parts") + F.col("block")), F.lit(False).alias("within"), F.lit(1).alias("side"))
     work = own.unionByName(to_right).unionByName(to_left)
 
+    # A partition for about 4096 sets that are sent, and as many as other shuffles have at least.
+    sizes = cells.select("cell", "n_sets")
+    across = sized.join(sizes, "cell").join(sizes.select(F.col("cell").alias("other"), F.col("n_sets").alias("other_sets")), "other")
+    sent = cells.agg(F.sum(F.col("n_sets") * F.col("parts"))).first()[0] or 0
+    sent += across.agg(F.sum(F.col("n_sets") * F.col("other_parts") + F.col("other_sets") * F.col("parts"))).first()[0] or 0
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, sent // 4096))
+
     grouped = texts.select("row_key", "text").join(work, "row_key").select("task", "within", "side", "set_key", "n_docs", "text")
-    links = stage(grouped.repartition("task").sortWithinPartitions("task").mapInArrow(_group_links(settings, threshold, tolerance), LINK_SCHEMA), "links")
+    dealt = grouped.repartitionById(partitions, F.pmod("task.a", F.lit(partitions)).cast("int")).sortWithinPartitions("task")
+    links = stage(dealt.mapInArrow(_group_links(settings, threshold, tolerance), LINK_SCHEMA), "links")
     degrees = links.groupBy("set_key").agg(F.sum("links").alias("links"), F.sum("link_docs").alias("link_docs"))
     labels = connected(links)
     known = stage(
