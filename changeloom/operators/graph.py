@@ -1,35 +1,45 @@
 """Graph operators on edge tables (src, dst): loops of joins, one frontier a round.
 
-Each round joins the frontier with the edges and drops what has been seen; what is kept between rounds is a
-table of the shared folder, so lineage stays short and a lost executor costs one round.
+Edges are written once before a loop; each round joins the frontier with them and drops what has been seen. What
+is kept between rounds is a table of the shared folder, so lineage stays short and a lost executor costs one round.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.checkpoints import cut
 
 
-def reach(edges: DataFrame, seeds: DataFrame, *, max_hops: int | None = None, reverse: bool = False, barrier: DataFrame | None = None, keyed: bool = False) -> DataFrame:
+#: Rounds of a loop over all nodes between two writes.
+ROUNDS_AT_ONCE = 3
+
+
+def reach(edges: DataFrame, seeds: DataFrame, *, max_hops: int | None = None, reverse: bool = False, barrier: DataFrame | None = None, keyed: bool = False, via: bool = False) -> DataFrame:
     """Nodes reached from seeds (id, or origin and id if keyed) with the fewest hops; seeds have 0.
 
-    barrier (id): nodes that are reached but not passed. reverse: against the edges.
+    barrier (id): nodes that are reached but not passed. reverse: against the edges. via: the node before each on
+    a shortest path, of several the smallest; null for seeds.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
     key = ["origin", "id"] if keyed else ["id"]
     steps = edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
     if barrier is not None:
         steps = steps.join(barrier.select("id"), "id", "left_anti")
-    seen = frontier = cut(seeds.select(*key).distinct().withColumn("hops", F.lit(0)), "reach")
+    steps = cut(steps, "steps")
+    start = seeds.select(*key).distinct().withColumn("hops", F.lit(0))
+    seen = frontier = cut(start.withColumn("via", F.lit(None).cast(steps.schema["id"].dataType)) if via else start, "reach")
     hops = 0
     while max_hops is None or hops < max_hops:
         hops += 1
-        near = frontier.join(steps, "id").drop("id").withColumnRenamed("next", "id").select(*key).distinct().join(seen, key, "left_anti")
-        frontier = cut(near.withColumn("hops", F.lit(hops)), "reach")
+        near = frontier.drop("hops", "via").join(steps, "id").withColumnRenamed("id", "via").withColumnRenamed("next", "id")
+        near = near.groupBy(*key).agg(F.min("via").alias("via")) if via else near.select(*key).distinct()
+        frontier = cut(near.join(seen.select(*key), key, "left_anti").withColumn("hops", F.lit(hops)), "reach")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -38,42 +48,115 @@ def reach(edges: DataFrame, seeds: DataFrame, *, max_hops: int | None = None, re
     return seen
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 12) -> DataFrame:
-    """pairs (src, dst) with the least number of hops between them, up to max_hops; pairs without a path are left out."""
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = 12) -> DataFrame:
+    """pairs (src, dst) with the least number of hops between them; pairs without a path of max_hops (None: any) are left out."""
     seeds = pairs.select(F.col("src").alias("origin"), F.col("src").alias("id")).distinct()
     found = reach(edges, seeds, max_hops=max_hops, keyed=True)
     return pairs.distinct().join(found.select(F.col("origin").alias("src"), F.col("id").alias("dst"), "hops"), ["src", "dst"])
 
 
-def functional_cycles(edges: DataFrame, max_hops: int = 12) -> DataFrame:
-    """Cycles of at most max_hops edges that start and end at an edge: id (members in order, joined), length.
+def cycle_groups(edges: DataFrame) -> DataFrame:
+    """(id, group): nodes that lie on cycles, and the smallest node of those that reach each other; cycles of any length.
 
-    For graphs of small out-degree: every simple path from an edge's head back to its tail is followed.
+    Edges that no cycle can use go first. Then each node takes the largest node that reaches it as its colour;
+    the nodes of a colour that reach its namesake are one group. What is left starts anew.
     """
-    steps = edges.select("src", "dst").where("src <> dst").distinct()
-    paths = cut(steps.where("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src", "dst").alias("path")), "cycles")
-    closed = None
-    for _ in range(2, max_hops + 1):
-        longer = paths.join(steps, F.col("at") == F.col("src")).select("start", F.col("dst").alias("at"), "path", (F.col("dst") == F.col("start")).alias("closes"))
-        done = longer.where("closes").select(F.array_join(F.array_sort(F.array_distinct("path")), "|").alias("id"), F.size("path").alias("length"))
-        closed = cut(done if closed is None else closed.unionByName(done).distinct(), "cycles")
-        # Only the smallest member starts a cycle, so each is followed once.
-        paths = cut(longer.where("NOT closes AND at > start").where(~F.array_contains("path", F.col("at"))).select("start", "at", F.array_append("path", F.col("at")).alias("path")), "cycles")
-        if paths.isEmpty():
-            break
-    return closed.distinct()
+    left, groups = cut(edges.select("src", "dst").where("src <> dst").distinct(), "cycles"), None
+    while True:
+        n = left.count()
+        while n:  # an edge of a cycle starts where another ends, and ends where another starts
+            for _ in range(ROUNDS_AT_ONCE):
+                left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            left = cut(left, "cycles")
+            before, n = n, left.count()
+            if n == before:
+                break
+        if not n:
+            return groups if groups is not None else left.select(F.col("src").alias("id"), F.col("src").alias("group"))
+        colours = cut(left.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")), "colours")
+        while True:
+            new = colours.withColumn("was", F.col("colour"))
+            for _ in range(ROUNDS_AT_ONCE):
+                near = left.join(new.select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("near"))
+                new = new.join(near, "id", "left").select("id", F.greatest("colour", "near").alias("colour"), "was")
+            new = cut(new, "colours")
+            colours = new.select("id", "colour")
+            if new.where("colour > was").isEmpty():
+                break
+        ends = [colours.select(F.col("id").alias(end), F.col("colour").alias(f"_{end}")) for end in ("src", "dst")]
+        inside = left.join(ends[0], "src").join(ends[1], "dst").where("_src = _dst").select("src", "dst")
+        members = reach(inside, colours.where("id = colour").select("id"), reverse=True).select("id").join(colours, "id")
+        smallest = F.min("id").over(Window.partitionBy("colour"))
+        found = cut(members.select("id", smallest.alias("group"), F.count("*").over(Window.partitionBy("colour")).alias("n")), "cycles")
+        rows = found.where("n > 1").select("id", "group")
+        groups = rows if groups is None else groups.unionByName(rows)
+        left = left.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti")
+        left = cut(left, "cycles")
 
 
 def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, level: peeled from the sources; nodes of cycles, and what lies behind them, have no level."""
-    left, deps, out, level = cut(nodes.select("id").distinct(), "topo"), edges.select("src", "dst").where("src <> dst").distinct(), None, 0
+    deps, out, level = cut(edges.select("src", "dst").where("src <> dst").distinct(), "deps"), None, 0
+    left = cut(nodes.select("id").distinct(), "topo")
     while True:
-        blocked = deps.join(left.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        free = cut(left.join(blocked, "id", "left_anti").withColumn("level", F.lit(level)), "topo")
+        blocked = deps.join(left.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"), F.lit(True).alias("blocked")).distinct()
+        marked = cut(left.join(blocked, "id", "left"), "topo")
+        free = marked.where("blocked IS NULL").select("id", F.lit(level).alias("level"))
+        left = marked.where("blocked").select("id")
         if free.isEmpty():
-            return left.withColumn("level", F.lit(None).cast("int")) if out is None else out.unionByName(left.withColumn("level", F.lit(None).cast("int")))
-        out = free if out is None else out.unionByName(free)
-        left, level = cut(left.join(free, "id", "left_anti"), "topo"), level + 1
+            rest = left.withColumn("level", F.lit(None).cast("int"))
+            return rest if out is None else out.unionByName(rest)
+        out, level = free if out is None else out.unionByName(free), level + 1
+
+
+def _kahn(rows: pd.DataFrame) -> pd.DataFrame:
+    behind, waits = {}, {}
+    for node, dep in zip(rows["id"], rows["dep"], strict=True):
+        waits.setdefault(node, 0)
+        if isinstance(dep, str):
+            behind.setdefault(dep, []).append(node)
+            waits[node] += 1
+    ready = [n for n, w in waits.items() if not w]
+    heapq.heapify(ready)
+    order = []
+    while ready:
+        order.append(node := heapq.heappop(ready))
+        for n in behind.get(node, []):
+            waits[n] -= 1
+            if not waits[n]:
+                heapq.heappush(ready, n)
+    place = {n: i + 1 for i, n in enumerate(order)}
+    return pd.DataFrame({"chain": rows["chain"].iloc[0], "id": list(waits), "position": pd.array([place.get(n) for n in waits], dtype="Int64")})
+
+
+def chain_order(nodes: DataFrame, deps: DataFrame) -> DataFrame:
+    """chain, id, position: each chain's nodes (chain, id: strings) after what they depend on (chain, id, dep), the smallest free one first.
+
+    Nodes on cycles and behind them have no position. A chain (the migrations of one database) is one task's.
+    """
+    known = deps.join(nodes.select("chain", F.col("id").alias("dep")), ["chain", "dep"], "left_semi").select("chain", "id", "dep").distinct()
+    rows = nodes.select("chain", "id").distinct().join(known, ["chain", "id"], "left")
+    return rows.groupBy("chain").applyInPandas(_kahn, "chain string, id string, position long")
+
+
+def chain_problems(nodes: DataFrame, deps: DataFrame) -> DataFrame:
+    """chain, problem, id: missing parents, and, where there are several, the heads and the roots of each chain."""
+    ids = nodes.select("chain", "id").distinct()
+    missing = deps.join(ids.withColumnRenamed("id", "dep"), ["chain", "dep"], "left_anti").select("chain", F.lit("missing-parent").alias("problem"), "id").distinct()
+
+    def several(rows: DataFrame, problem: str) -> DataFrame:
+        counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy("chain")))
+        return counted.where("_n > 1").select("chain", F.lit(problem).alias("problem"), "id")
+
+    heads = several(ids.join(deps.select("chain", F.col("dep").alias("id")), ["chain", "id"], "left_anti"), "several-heads")
+    roots = several(ids.join(deps.select("chain", "id"), ["chain", "id"], "left_anti"), "several-roots")
+    return missing.unionByName(heads).unionByName(roots)
+
+
+def chain_roots(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes (id) that no edge leads to; all of them where there is none such."""
+    free = cut(nodes.select("id").join(edges.select(F.col("dst").alias("id")), "id", "left_anti"), "roots")
+    return nodes.select("id") if free.isEmpty() else free
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -95,6 +178,11 @@ def rolled_up(edges: DataFrame, owners: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").where("src_owner <> dst_owner").groupBy("src_owner", "dst_owner").agg(F.sum("weight").alias("weight"), F.count("*").alias("n_edges"))
 
 
+def edge_weights(uses: DataFrame) -> DataFrame:
+    """uses (src, dst, lines: an array of a use's lines) to src, dst, weight: the lines of all uses, one at least for each."""
+    return uses.groupBy("src", "dst").agg(F.sum(F.greatest(F.lit(1), F.coalesce(F.size("lines"), F.lit(0)))).alias("weight"))
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """(id, neighbour) in both directions, each once."""
     return edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbour")).union(edges.select("dst", "src")).distinct()
@@ -107,12 +195,42 @@ def key_nodes(edges: DataFrame, owners: DataFrame, n: int = 3) -> DataFrame:
     return into.join(owners, "id").withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def new_cycles(base: DataFrame, head: DataFrame, max_hops: int = 12) -> DataFrame:
-    """Cycles of head through an edge that base has not, unless base already led from its ends to each other."""
+def card_edges(edges: DataFrame, owners: DataFrame, samples: int = 3) -> DataFrame:
+    """Edges (src, dst, weight) between cards (id, owner): weight, and the first few pairs of members as samples."""
+    a, b = (owners.select(F.col("id").alias(end), F.col("owner").alias(f"{end}_owner")) for end in ("src", "dst"))
+    between, pair = edges.join(a, "src").join(b, "dst").where("src_owner <> dst_owner"), ["src_owner", "dst_owner"]
+    ranked = between.withColumn("_n", F.row_number().over(Window.partitionBy(*pair).orderBy(F.desc("weight"), "src", "dst"))).where(F.col("_n") <= samples)
+    shown = ranked.groupBy(*pair).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.concat_ws(">", "src", "dst").alias("pair")))), lambda x: x["pair"]).alias("samples"))
+    return between.groupBy(*pair).agg(F.sum("weight").alias("weight")).join(shown, pair)
+
+
+def reach_of_tests(edges: DataFrame, tests: DataFrame, support: DataFrame, sources: DataFrame, first: int = 20) -> DataFrame:
+    """Of each source (id): how many tests (id) reach it along the edges, the fewest hops, and the first tests by hops and name.
+
+    A test's paths run through support files and sources, but never on through another test.
+    """
+    found = reach(edges.join(tests.select(F.col("id").alias("dst")), "dst", "left_anti"), tests.select(F.col("id").alias("origin"), "id"), keyed=True)
+    hit = found.where("hops > 0").join(sources.select("id"), "id", "left_semi").join(support.select("id"), "id", "left_anti")
+    ranked = hit.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("hops", "origin")))
+    return ranked.groupBy("id").agg(
+        F.count("*").alias("n_tests"), F.min("hops").alias("min_hops"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= first, F.struct("_n", "origin")))), lambda x: x["origin"]).alias("tests"),
+    )
+
+
+def new_cycles(base: DataFrame, head: DataFrame, max_hops: int | None = 12) -> DataFrame:
+    """Cycles of head through an edge that base has not, unless base already led from its ends to each other.
+
+    Which edges close a cycle is seen from the groups of nodes that reach each other, whatever their lengths;
+    length is that of the shortest cycle through the edge, null if it is longer than max_hops.
+    """
     added = head.select("src", "dst").distinct().join(base, ["src", "dst"], "left_anti")
-    back = shortest_paths(head, added.select(F.col("dst").alias("src"), F.col("src").alias("dst")), max_hops)
-    closing = added.join(back.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "hops"), ["src", "dst"])
-    both = closing.select("src", "dst").unionByName(closing.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    mutual = shortest_paths(base, both, max_hops).select("src", "dst")
-    there, and_back = mutual, mutual.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return closing.join(there.join(and_back, ["src", "dst"]), ["src", "dst"], "left_anti").withColumn("length", F.col("hops") + 1).drop("hops")
+
+    def within(edges: DataFrame, groups: DataFrame) -> DataFrame:
+        a, b = (groups.select(F.col("id").alias(end), F.col("group").alias(f"_{end}")) for end in ("src", "dst"))
+        return edges.join(a, "src").join(b, "dst").where("_src = _dst").select("src", "dst")
+
+    closing = cut(within(added, cycle_groups(head)), "closing")
+    fresh = closing.join(within(closing, cycle_groups(base)), ["src", "dst"], "left_anti")
+    back = shortest_paths(head, fresh.select(F.col("dst").alias("src"), F.col("src").alias("dst")), max_hops)
+    return fresh.join(back.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "hops"), ["src", "dst"], "left").withColumn("length", F.col("hops") + 1).drop("hops")

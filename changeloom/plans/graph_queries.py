@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from changeloom.operators import graph
@@ -33,12 +34,16 @@ def shortest_path_len(spark, sf_dir):
     return longs(found.join(ends, "id").select(F.col("origin").alias("src"), F.col("id").alias("dst"), "hops"), "hops")
 
 
+#: Pairs of nodes of which the first reaches the second by an edge or more.
+CLOSURE_SQL = "closure AS (SELECT src AS a, dst AS b FROM {0} UNION SELECT c.a, e.dst FROM closure c JOIN {0} e ON e.src = c.b)"
+
+
 @query(f"""
-WITH RECURSIVE {EDGES_SQL}, w AS (SELECT src AS first_node, dst AS node, [src, dst] AS path FROM edges UNION ALL SELECT w.first_node, e.dst, list_append(w.path, e.dst) FROM w JOIN edges e ON e.src = w.node WHERE w.node > w.first_node AND len(w.path) <= 12 AND (e.dst = w.first_node OR NOT list_contains(w.path, e.dst)))
-SELECT DISTINCT array_to_string(list_sort(list_distinct(path)), '|') AS id, CAST(len(path) - 1 AS BIGINT) AS length FROM w WHERE node = first_node
+WITH RECURSIVE {EDGES_SQL}, {CLOSURE_SQL.format("edges")}
+SELECT x.a AS id, min(x.b) AS "group" FROM closure x JOIN closure y ON x.a = y.b AND x.b = y.a GROUP BY x.a
 """)
 def import_cycles(spark, sf_dir):
-    return longs(graph.functional_cycles(edges(spark, sf_dir)), "length")
+    return graph.cycle_groups(edges(spark, sf_dir))
 
 
 @query(f"""
@@ -52,11 +57,14 @@ def closure_with_barrier(spark, sf_dir):
 
 
 @query(f"""
-WITH RECURSIVE {EDGES_SQL}, up AS (SELECT src, dst FROM edges WHERE src < dst), l AS (SELECT p_partkey AS id, 0 AS level FROM part UNION SELECT u.dst, l.level + 1 FROM l JOIN up u ON u.src = l.id) SELECT id, CAST(max(level) AS BIGINT) AS level FROM l GROUP BY id
+WITH RECURSIVE {EDGES_SQL}, up AS (SELECT src, dst FROM edges WHERE src < dst OR src % 7 = 0), {CLOSURE_SQL.format("up")},
+behind AS (SELECT a AS id FROM closure WHERE a = b UNION SELECT c.b FROM closure c JOIN closure d ON d.a = c.a AND d.b = c.a),
+l AS (SELECT p_partkey AS id, 0 AS level FROM part WHERE p_partkey NOT IN (SELECT id FROM behind) UNION SELECT u.dst, l.level + 1 FROM l JOIN up u ON u.src = l.id WHERE u.dst NOT IN (SELECT id FROM behind))
+SELECT id, CAST(max(level) AS BIGINT) AS level FROM l GROUP BY id UNION ALL SELECT id, NULL FROM behind
 """)
 def topo_levels(spark, sf_dir):
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
-    return longs(graph.topo_levels(edges(spark, sf_dir).where("src < dst"), nodes), "level")
+    return longs(graph.topo_levels(edges(spark, sf_dir).where("src < dst OR src % 7 = 0"), nodes), "level")
 
 
 @query(f"""
@@ -99,11 +107,10 @@ def untested_sources(spark, sf_dir):
 
 @query(f"""
 WITH RECURSIVE {EDGES_SQL}, base AS (SELECT src, dst FROM edges WHERE src % 5 <> 0), added AS (SELECT src, dst FROM edges WHERE src % 5 = 0),
-back AS (SELECT dst AS origin, dst AS id, 0 AS hops FROM added UNION SELECT b.origin, e.dst, b.hops + 1 FROM back b JOIN edges e ON e.src = b.id WHERE b.hops < 12),
-closing AS (SELECT a.src, a.dst, min(b.hops) AS hops FROM added a JOIN back b ON b.origin = a.dst AND b.id = a.src GROUP BY 1, 2),
-ends AS (SELECT src AS o FROM closing UNION SELECT dst FROM closing),
-old AS (SELECT o AS origin, o AS id, 0 AS hops FROM ends UNION SELECT b.origin, e.dst, b.hops + 1 FROM old b JOIN base e ON e.src = b.id WHERE b.hops < 12)
-SELECT src, dst, CAST(hops + 1 AS BIGINT) AS length FROM closing c WHERE NOT (EXISTS (SELECT 1 FROM old WHERE origin = c.src AND id = c.dst) AND EXISTS (SELECT 1 FROM old WHERE origin = c.dst AND id = c.src))
+{CLOSURE_SQL.format("base")}, back AS (SELECT dst AS origin, dst AS id FROM added UNION SELECT b.origin, e.dst FROM back b JOIN edges e ON e.src = b.id),
+near AS (SELECT dst AS origin, dst AS id, 0 AS hops FROM added UNION SELECT b.origin, e.dst, b.hops + 1 FROM near b JOIN edges e ON e.src = b.id WHERE b.hops < 12),
+fresh AS (SELECT a.src, a.dst FROM added a JOIN back b ON b.origin = a.dst AND b.id = a.src WHERE NOT (EXISTS (SELECT 1 FROM closure c WHERE c.a = a.src AND c.b = a.dst) AND EXISTS (SELECT 1 FROM closure c WHERE c.a = a.dst AND c.b = a.src)))
+SELECT f.src, f.dst, CAST(min(n.hops) + 1 AS BIGINT) AS length FROM fresh f LEFT JOIN near n ON n.origin = f.dst AND n.id = f.src GROUP BY 1, 2
 """)
 def new_cycles(spark, sf_dir):
     e = edges(spark, sf_dir)
@@ -120,9 +127,75 @@ def folder_clusters(spark, sf_dir):
 
 
 @query("""
-SELECT src, count(*) AS fan_out, CAST(sum(weight) AS BIGINT) AS weight FROM (
-    SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS dst, 1 AS w FROM lineitem
-) n, LATERAL (SELECT 1 AS weight) x WHERE dst IS NOT NULL AND src <> dst GROUP BY src HAVING count(*) > 0
+SELECT l_partkey AS src, l_suppkey AS dst, CAST(sum(greatest(1, n)) AS BIGINT) AS weight FROM (
+    SELECT l_partkey, l_suppkey, l_orderkey, count(CASE WHEN l_returnflag <> 'R' THEN 1 END) AS n FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1, 2
 """)
 def edge_weights(spark, sf_dir):
-    return all_edges(spark, sf_dir).groupBy("src").agg(F.sum("weight").alias("fan_out"), F.sum("weight").alias("weight"))
+    uses = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), "l_orderkey").agg(F.collect_list(F.when(F.col("l_returnflag") != "R", F.col("l_linenumber"))).alias("lines"))
+    return longs(graph.edge_weights(uses), "weight")
+
+
+@query(f"""
+WITH RECURSIVE {EDGES_SQL}, r AS (SELECT p_partkey AS origin, p_partkey AS id, 0 AS hops FROM part WHERE p_size = 50 UNION SELECT r.origin, e.dst, r.hops + 1 FROM r JOIN edges e ON e.src = r.id WHERE r.hops < 6),
+best AS (SELECT origin, id, min(hops) AS hops FROM r GROUP BY 1, 2)
+SELECT b.origin, b.id, CAST(b.hops AS BIGINT) AS hops, min(p.id) AS via FROM best b LEFT JOIN edges e ON e.dst = b.id AND b.hops > 0
+LEFT JOIN best p ON p.origin = b.origin AND p.id = e.src AND p.hops = b.hops - 1 GROUP BY 1, 2, 3
+""")
+def reach_via(spark, sf_dir):
+    seeds = table(spark, sf_dir, "part").where("p_size = 50").select(F.col("p_partkey").alias("origin"), F.col("p_partkey").alias("id"))
+    return longs(graph.reach(edges(spark, sf_dir), seeds, max_hops=6, keyed=True, via=True), "hops").select("origin", "id", "hops", "via")
+
+
+@query(f"""
+WITH RECURSIVE {EDGES_SQL}, tests AS (SELECT p_partkey AS id FROM part WHERE p_size <= 3), support AS (SELECT p_partkey AS id FROM part WHERE p_size = 4),
+r AS (SELECT id AS origin, id, 0 AS hops FROM tests UNION SELECT r.origin, e.dst, r.hops + 1 FROM r JOIN edges e ON e.src = r.id WHERE e.dst NOT IN (SELECT id FROM tests) AND r.hops < 60),
+best AS (SELECT origin, id, min(hops) AS hops FROM r WHERE hops > 0 AND id NOT IN (SELECT id FROM support) GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hops, origin) AS n FROM best)
+SELECT id, count(*) AS n_tests, CAST(min(hops) AS BIGINT) AS min_hops, array_to_string(list(origin ORDER BY n) FILTER (WHERE n <= 5), ',') AS tests FROM ranked GROUP BY id
+""")
+def test_reach(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    found = graph.reach_of_tests(edges(spark, sf_dir), parts.where("p_size <= 3").select("id"), parts.where("p_size = 4").select("id"), parts.where("p_size > 4").select("id"), first=5)
+    return longs(found.withColumn("tests", F.array_join(F.transform("tests", lambda x: x.cast("string")), ",")), "min_hops")
+
+
+@query(f"""
+WITH {EDGES_SQL}, e AS (SELECT a.p_brand AS src_owner, b.p_brand AS dst_owner, src, dst, weight, row_number() OVER (PARTITION BY a.p_brand, b.p_brand ORDER BY weight DESC, src, dst) AS n
+    FROM edges JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_brand <> b.p_brand)
+SELECT src_owner, dst_owner, CAST(sum(weight) AS BIGINT) AS weight, string_agg(src || '>' || dst, ',' ORDER BY n) FILTER (WHERE n <= 3) AS samples FROM e GROUP BY 1, 2
+""")
+def card_edges(spark, sf_dir):
+    return longs(graph.card_edges(edges(spark, sf_dir), owners(spark, sf_dir)).withColumn("samples", F.array_join("samples", ",")), "weight")
+
+
+CHAIN_SQL = "SELECT CAST(o_custkey AS STRING) AS chain, CAST(o_orderkey AS STRING) AS id, CAST(CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey + 3 WHEN o_orderkey % 17 = 0 THEN -1 ELSE (SELECT max(b.o_orderkey) FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderkey < a.o_orderkey) END AS STRING) AS dep FROM orders a WHERE o_custkey < 400"
+
+
+def _chains(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").where("o_custkey < 400")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    dep = F.when(F.col("o_orderkey") % 11 == 0, F.col("o_orderkey") + 3).when(F.col("o_orderkey") % 17 == 0, -1).otherwise(before)
+    found = rows.select(F.col("o_custkey").cast("string").alias("chain"), F.col("o_orderkey").cast("string").alias("id"), dep.cast("string").alias("dep"))
+    return found.select("chain", "id"), found.where("dep IS NOT NULL")
+
+
+@query(f"""
+WITH RECURSIVE c AS ({CHAIN_SQL}), ids AS (SELECT chain, id FROM c), deps AS (SELECT c.* FROM c WHERE (chain, dep) IN (SELECT chain, id FROM ids)),
+up AS (SELECT chain, id, dep FROM deps UNION SELECT u.chain, u.id, d.dep FROM up u JOIN deps d ON d.chain = u.chain AND d.id = u.dep),
+stuck AS (SELECT chain, id FROM up WHERE id = dep UNION SELECT u.chain, u.id FROM up u JOIN up v ON v.chain = u.chain AND v.id = u.dep AND v.dep = u.dep)
+SELECT i.chain, i.id, (s.id IS NOT NULL) AS stuck FROM ids i LEFT JOIN stuck s ON s.chain = i.chain AND s.id = i.id
+""")
+def chain_order(spark, sf_dir):
+    found = graph.chain_order(*_chains(spark, sf_dir))
+    return found.select("chain", "id", F.col("position").isNull().alias("stuck"))
+
+
+@query(f"""
+WITH c AS ({CHAIN_SQL}), deps AS (SELECT * FROM c WHERE dep IS NOT NULL),
+heads AS (SELECT chain, id FROM c WHERE (chain, id) NOT IN (SELECT chain, dep FROM deps)), roots AS (SELECT chain, id FROM c WHERE dep IS NULL)
+SELECT chain, 'missing-parent' AS problem, id FROM deps WHERE (chain, dep) NOT IN (SELECT chain, id FROM c)
+UNION ALL SELECT chain, 'several-heads', id FROM heads WHERE chain IN (SELECT chain FROM heads GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT chain, 'several-roots', id FROM roots WHERE chain IN (SELECT chain FROM roots GROUP BY 1 HAVING count(*) > 1)
+""")
+def chain_problems(spark, sf_dir):
+    return graph.chain_problems(*_chains(spark, sf_dir))

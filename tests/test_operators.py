@@ -129,7 +129,7 @@ def test_reach_against_brute_force(df, random_graph):
 
 def test_cycles_and_levels(df):
     edges = df([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "b"), ("x", "x"), ("e", "a")], "src string, dst string")
-    assert rows(graph.functional_cycles(edges)) == [("a|b", 2), ("b|c|d", 3)]
+    assert rows(graph.cycle_groups(edges)) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a")]
     nodes = df([(c,) for c in "abcdefx"], "id string")
     levels = {r.id: r.level for r in graph.topo_levels(edges, nodes).collect()}
     assert levels == {"e": 0, "f": 0, "x": 0, "a": None, "b": None, "c": None, "d": None}
@@ -139,6 +139,31 @@ def test_cycles_and_levels(df):
     assert rows(graph.new_cycles(head, head)) == []
 
 
+def test_cycle_groups_against_brute_force(df):
+    """Random graphs with branching and long cycles: groups are those of mutual reachability."""
+    rng = random.Random(4)
+    for n, m in ((12, 18), (30, 36), (40, 45)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)} | {(100 + i, 100 + (i + 1) % 25) for i in range(25)}
+        ahead = {a: set(hops(edges, a)) for a in {x for e in edges for x in e}}
+        want = {a: min(b for b in ahead if b in ahead[a] and a in ahead[b]) for a in ahead if any(b != a and b in ahead[a] and a in ahead[b] for b in ahead)}
+        got = {r["id"]: r["group"] for r in graph.cycle_groups(df(sorted(edges), "src int, dst int")).collect()}
+        assert got == want and got[100] == 100
+    base = df([(100 + i, 101 + i) for i in range(24)], "src int, dst int")
+    long = graph.new_cycles(base, base.union(df([(124, 100)], "src int, dst int")))
+    assert rows(long, "src", "dst", "length") == [(124, 100, None)]  # found, though longer than 12
+
+
+def test_chain_order(df):
+    nodes = df([("db", c) for c in "abcdefg"] + [("other", "a")], "chain string, id string")
+    deps = df([("db", "a", "c"), ("db", "b", "a"), ("db", "e", "f"), ("db", "f", "e"), ("db", "g", "zz"), ("other", "a", "b")], "chain string, id string, dep string")
+    got = {(r.chain, r.id): r.position for r in graph.chain_order(nodes, deps).collect()}
+    assert got == {("db", "c"): 1, ("db", "a"): 2, ("db", "b"): 3, ("db", "d"): 4, ("db", "g"): 5, ("db", "e"): None, ("db", "f"): None, ("other", "a"): 1}
+    problems = rows(graph.chain_problems(nodes, deps))
+    assert ("db", "missing-parent", "g") in problems and ("other", "missing-parent", "a") in problems and not any(p == "several-heads" and c == "other" for c, p, _ in problems)
+    assert rows(graph.chain_roots(df([("a", "b"), ("b", "a")], "src string, dst string"), df([("a",), ("b",)], "id string"))) == [("a",), ("b",)]
+    assert rows(graph.chain_roots(df([("a", "b")], "src string, dst string"), df([("a",), ("b",)], "id string"))) == [("a",)]
+
+
 DIFF = """diff --git a/x.py b/x.py
 --- a/x.py
 +++ b/x.py
