@@ -10,14 +10,17 @@ import heapq
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from changeloom.checkpoints import cut
 
 
-#: Rounds of a loop over all nodes between two writes.
-ROUNDS_AT_ONCE = 3
+def counted_cut(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """df as a table, and how many of its rows met the condition, counted while it was written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count_if(condition).alias("n")), "round")
+    return out, seen.get["n"]
 
 
 def reach(edges: DataFrame, seeds: DataFrame, *, max_hops: int | None = None, reverse: bool = False, barrier: DataFrame | None = None, keyed: bool = False, via: bool = False) -> DataFrame:
@@ -39,8 +42,8 @@ def reach(edges: DataFrame, seeds: DataFrame, *, max_hops: int | None = None, re
         hops += 1
         near = frontier.drop("hops", "via").join(steps, "id").withColumnRenamed("id", "via").withColumnRenamed("next", "id")
         near = near.groupBy(*key).agg(F.min("via").alias("via")) if via else near.select(*key).distinct()
-        frontier = cut(near.join(seen.select(*key), key, "left_anti").withColumn("hops", F.lit(hops)), "reach")
-        if frontier.isEmpty():
+        frontier, n = counted_cut(near.join(seen.select(*key), key, "left_anti").withColumn("hops", F.lit(hops)), F.lit(True))
+        if not n:
             break
         seen = seen.unionByName(frontier)
         if hops % 8 == 0:
@@ -55,34 +58,74 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = 12
     return pairs.distinct().join(found.select(F.col("origin").alias("src"), F.col("id").alias("dst"), "hops"), ["src", "dst"])
 
 
+def mutual(rows: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of edges (src, dst) that lie on cycles with the smallest node of their group, by one walk in depth."""
+    ahead: dict = {}
+    for a, b in zip(rows["src"].tolist(), rows["dst"].tolist(), strict=True):
+        ahead.setdefault(a, []).append(b)
+    number, low, open_nodes, on, out = {}, {}, [], set(), []
+    for start in ahead:
+        path = [] if start in number else [(start, iter(ahead[start]))]
+        while path:
+            node, rest = path[-1]
+            if node not in number:
+                number[node] = low[node] = len(number)
+                open_nodes.append(node)
+                on.add(node)
+            for b in rest:
+                if b not in number:
+                    path.append((b, iter(ahead.get(b, ()))))
+                    break
+                if b in on:
+                    low[node] = min(low[node], number[b])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == number[node]:
+                    group = []
+                    while True:
+                        group.append(x := open_nodes.pop())
+                        on.discard(x)
+                        if x == node:
+                            break
+                    if len(group) > 1:
+                        out += [(x, min(group)) for x in group]
+    return pd.DataFrame(out, columns=["id", "group"])
+
+
+#: Graphs of up to this many edges that cycles can use (16 bytes each) are walked by one task, larger ones in rounds.
+SMALL_GRAPH = 200_000
+
+
 def cycle_groups(edges: DataFrame) -> DataFrame:
     """(id, group): nodes that lie on cycles, and the smallest node of those that reach each other; cycles of any length.
 
-    Edges that no cycle can use go first. Then each node takes the largest node that reaches it as its colour;
-    the nodes of a colour that reach its namesake are one group. What is left starts anew.
+    Edges that no cycle can use go first. If few are left, one task walks them. Else each node takes the largest
+    node that reaches it as its colour; the nodes of a colour that reach its namesake are one group. What is left
+    starts anew.
     """
     left, groups = cut(edges.select("src", "dst").where("src <> dst").distinct(), "cycles"), None
     while True:
         n = left.count()
-        while n:  # an edge of a cycle starts where another ends, and ends where another starts
-            for _ in range(ROUNDS_AT_ONCE):
-                left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            left = cut(left, "cycles")
-            before, n = n, left.count()
+        while n > SMALL_GRAPH:  # an edge of a cycle starts where another ends, and ends where another starts
+            kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            before = n
+            left, n = counted_cut(kept, F.lit(True))
             if n == before:
                 break
         if not n:
             return groups if groups is not None else left.select(F.col("src").alias("id"), F.col("src").alias("group"))
-        colours = cut(left.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")), "colours")
-        while True:
-            new = colours.withColumn("was", F.col("colour"))
-            for _ in range(ROUNDS_AT_ONCE):
-                near = left.join(new.select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("near"))
-                new = new.join(near, "id", "left").select("id", F.greatest("colour", "near").alias("colour"), "was")
-            new = cut(new, "colours")
+        if n <= SMALL_GRAPH:
+            kind = left.schema["src"].dataType.simpleString()
+            rows = left.repartition(1).mapInPandas(lambda parts: [mutual(pd.concat(list(parts)))], f"id {kind}, group {kind}")
+            return rows if groups is None else groups.unionByName(rows)
+        colours, moved = cut(left.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")), "colours"), 1
+        while moved:
+            near = left.join(colours.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("near"))
+            new = colours.join(near, "id", "left").select("id", F.greatest("colour", "near").alias("colour"), (F.col("near") > F.col("colour")).alias("moved"))
+            new, moved = counted_cut(new, F.col("moved"))
             colours = new.select("id", "colour")
-            if new.where("colour > was").isEmpty():
-                break
         ends = [colours.select(F.col("id").alias(end), F.col("colour").alias(f"_{end}")) for end in ("src", "dst")]
         inside = left.join(ends[0], "src").join(ends[1], "dst").where("_src = _dst").select("src", "dst")
         members = reach(inside, colours.where("id = colour").select("id"), reverse=True).select("id").join(colours, "id")
@@ -100,10 +143,10 @@ def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     left = cut(nodes.select("id").distinct(), "topo")
     while True:
         blocked = deps.join(left.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"), F.lit(True).alias("blocked")).distinct()
-        marked = cut(left.join(blocked, "id", "left"), "topo")
+        marked, n_free = counted_cut(left.join(blocked, "id", "left"), F.col("blocked").isNull())
         free = marked.where("blocked IS NULL").select("id", F.lit(level).alias("level"))
         left = marked.where("blocked").select("id")
-        if free.isEmpty():
+        if not n_free:
             rest = left.withColumn("level", F.lit(None).cast("int"))
             return rest if out is None else out.unionByName(rest)
         out, level = free if out is None else out.unionByName(free), level + 1
