@@ -69,13 +69,13 @@ def orphans(spark, sf_dir):
 
 
 @query("""
-WITH b AS (SELECT DISTINCT source AS place, substr(text, 1, 12) AS what FROM documents WHERE doc_id % 2 = 0), h AS (SELECT DISTINCT source AS place, substr(text, 1, 12) AS what FROM documents WHERE doc_id % 2 = 1),
+WITH b AS (SELECT DISTINCT source AS place, text AS what FROM documents WHERE doc_id % 2 = 0), h AS (SELECT DISTINCT source AS place, text AS what FROM documents WHERE doc_id % 2 = 1),
 gone AS (SELECT * FROM b EXCEPT SELECT * FROM h), fresh AS (SELECT what, min(place) AS moved_to FROM (SELECT * FROM h EXCEPT SELECT * FROM b) GROUP BY what HAVING count(DISTINCT place) = 1)
 SELECT g.what, g.place AS moved_from, f.moved_to FROM gone g JOIN fresh f ON g.what = f.what WHERE g.place <> f.moved_to
 """)
 def moved_unique(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    side = lambda n: docs.where(F.col("doc_id") % 2 == n).select(F.col("source").alias("place"), F.substring("text", 1, 12).alias("what")).distinct()
+    side = lambda n: docs.where(F.col("doc_id") % 2 == n).select(F.col("source").alias("place"), F.col("text").alias("what")).distinct()
     return relational.moved_unique(side(0), side(1), "place", ["what"])
 
 

@@ -48,11 +48,11 @@ def feature_keys(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY split_part(p_type, ' ', 1) || CASE WHEN p_partkey % 50 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE '' END) >= 2 THEN split_part(p_type, ' ', 1) END AS "group" FROM part WHERE p_partkey % 50 <> 0
+SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand || p_type) >= 2 THEN p_brand || p_type END AS "group" FROM part
 """)
 def prefix_groups(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").where("p_partkey % 50 <> 0").select("p_partkey", F.replace("p_type", F.lit(" "), F.lit("-")).alias("n"))
-    found = review.prefix_groups(parts.withColumn("n", F.concat("n", F.lit("-"))), "n", r"^([^-]+)-")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", "p_type", F.lit("-"), "p_name").alias("n"))
+    found = review.prefix_groups(parts, "n", r"^([^-]+)-")
     return found.select("p_partkey", "group")
 
 
@@ -97,14 +97,14 @@ def endpoint_tables(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE c AS (SELECT p_partkey AS id, CASE WHEN p_partkey >= 4 THEN p_partkey // 4 END AS parent FROM part), s AS (SELECT p_partkey AS id, p_type AS key, p_size AS v FROM part WHERE p_partkey % 3 <> 1),
+WITH RECURSIVE c AS (SELECT p_partkey AS id, CASE WHEN p_partkey >= 4 THEN p_partkey // 4 END AS parent FROM part), s AS (SELECT p_partkey AS id, p_type AS key, p_size AS v FROM part WHERE p_retailprice > 1000 OR p_size > 20),
 a AS (SELECT id AS origin, id, 0 AS hops FROM c UNION ALL SELECT a.origin, c.parent, a.hops + 1 FROM a JOIN c ON c.id = a.id WHERE c.parent IS NOT NULL)
 SELECT origin AS id, key, arg_min(v, hops) AS value FROM a JOIN s ON s.id = a.id GROUP BY 1, 2
 """)
 def inherited_settings(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
     configs = parts.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") >= 4, F.floor(F.col("p_partkey") / 4)).alias("parent"))
-    settings = parts.where("p_partkey % 3 <> 1").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("key"), F.col("p_size").alias("value"))
+    settings = parts.where("p_retailprice > 1000 OR p_size > 20").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("key"), F.col("p_size").alias("value"))
     return review.inherited_settings(configs, settings)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,9 +55,22 @@ def longs(df: DataFrame, *columns: str) -> DataFrame:
 
 def sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
     """A stand-in table told in the SQL that both engines read: {part} and the like stand for the given tables."""
-    return spark.sql(text, **{name: table(spark, sf_dir, name) for name in names})
+    for name in names:
+        table(spark, sf_dir, name).createOrReplaceTempView(f"given_{name}")
+        text = text.replace(f"{{{name}}}", f"given_{name}")
+    return spark.sql(text)
 
 
 def told(text: str) -> str:
     """The same SQL for the engine that knows the tables by their names."""
-    return text.replace("{", "").replace("}", "")
+    return re.sub(r"\{([a-z]+)\}", r"\1", text)
+
+
+#: Paths of files by part, in SQL that both engines read.
+FILES = """SELECT p_partkey AS id, CASE WHEN p_partkey % 37 = 0 THEN (CASE p_size % 16 WHEN 0 THEN 'package.json' WHEN 1 THEN 'api/go.work' WHEN 2 THEN 'uv.lock' WHEN 3 THEN 'Dockerfile' WHEN 4 THEN 'docker-compose.prod.yml' WHEN 5 THEN '.github/workflows/ci.yml'
+    WHEN 6 THEN 'LICENSE' WHEN 7 THEN 'docs/site/index.ts' WHEN 8 THEN 'tests/conftest.py' WHEN 9 THEN 'Makefile' WHEN 10 THEN 'app.csproj' WHEN 11 THEN '.env.production.local' WHEN 12 THEN 'infra/prod.auto.tfvars' WHEN 13 THEN 'Jenkinsfile' WHEN 14 THEN 'tsconfig.base.json' ELSE 'next.config.mjs' END)
+    ELSE (CASE p_partkey % 19 WHEN 0 THEN 'src/api/' WHEN 1 THEN 'src/components/' WHEN 2 THEN 'lib/db/' WHEN 3 THEN 'tests/e2e/' WHEN 4 THEN 'infra/' WHEN 5 THEN 'docs/' WHEN 6 THEN 'packages/core/src/' WHEN 7 THEN 'src/__mocks__/' WHEN 8 THEN 'vendor/lib/' WHEN 9 THEN 'src/integrations/' WHEN 10 THEN 'app/pages/api/'
+        WHEN 11 THEN 'src/hooks/' WHEN 12 THEN 'test/helpers/' WHEN 13 THEN 'it/' WHEN 14 THEN 'worker/' WHEN 15 THEN 'src/stripe/' WHEN 16 THEN '' ELSE 'lib/' || lower(p_type) || '/' END)
+    || replace(p_name, ' ', (CASE p_size % 3 WHEN 0 THEN '-' WHEN 1 THEN '_' ELSE 'X' END))
+    || (CASE p_size % 22 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' WHEN 2 THEN '.test.ts' WHEN 3 THEN '.spec.js' WHEN 4 THEN '.py' WHEN 5 THEN '_test.go' WHEN 6 THEN '.go' WHEN 7 THEN 'IT.java' WHEN 8 THEN '.md' WHEN 9 THEN '.yaml' WHEN 10 THEN '.sql' WHEN 11 THEN '.tf' WHEN 12 THEN '.css' WHEN 13 THEN '.rs'
+        WHEN 14 THEN '.d.ts' WHEN 15 THEN '.min.js' WHEN 16 THEN '.vue' WHEN 17 THEN '.kt' WHEN 18 THEN 'Spec.scala' WHEN 19 THEN '.cy.ts' WHEN 20 THEN '.json' ELSE '.bin' END) END AS path FROM {part}"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from changeloom.functions import kinds, numbers, paths, text
+from changeloom.functions import numbers, paths, text
 from changeloom.operators import relational, scans, search
 from changeloom.plans.registry import query, table
 from changeloom.plans.standins import longs
@@ -14,7 +14,7 @@ URL_PATH_SQL = "regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)"
 #: Ids in URL paths as parameters, as a route of the pages would name them.
 ROUTE_SQL = f"regexp_replace(regexp_replace({URL_PATH_SQL}, '/[0-9]+', '/:id', 'g'), '/:id', '/{{id}}', 'g')"
 STOP_SQL = ", ".join(f"'{w}'" for w in text.STOPWORDS)
-SUMMARY_SQL = f"""array_to_string(list_filter(list_transform(string_split(regexp_replace(lower(substr(text, 1, 400)), '[^a-z0-9_.$]+', ' ', 'g'), ' '), lambda w: regexp_replace(regexp_replace(w, '^\\.+', ''), '\\.+$', '')),
+SUMMARY_SQL = f"""array_to_string(list_filter(list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_.$]+', ' ', 'g'), ' '), lambda w: regexp_replace(regexp_replace(w, '^\\.+', ''), '\\.+$', '')),
     lambda w: w <> '' AND w NOT IN ({STOP_SQL}) AND NOT regexp_matches(w, '^[0-9]+$')), ' ')"""
 
 
@@ -57,15 +57,6 @@ def path_globs(spark, sf_dir):
     return rows.where(paths.matches_glob(F.col("path"), F.col("pattern"))).select("page_id", "pattern")
 
 
-@query("""
-SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'tests' WHEN 1 THEN 'data' WHEN 2 THEN 'infrastructure' WHEN 3 THEN 'server' WHEN 4 THEN 'ui' ELSE 'logic' END AS layer,
-    CASE doc_id % 6 WHEN 0 THEN 'test' WHEN 2 THEN 'config' ELSE 'code' END AS role FROM documents
-""")
-def layer_classify(spark, sf_dir):
-    made = F.element_at(F.array(*map(F.lit, ["src/tests/a_test.go", "store/schema.sql", "app/settings.yaml", "src/api/users.ts", "src/Button.tsx", "src/solver.py"])), (F.col("doc_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", kinds.layer(made).alias("layer"), kinds.file_role(made).alias("role"))
-
-
 @query("SELECT p_partkey, lower(regexp_replace(replace(p_name, ' ', 'X'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS snake FROM part")
 def snake_case(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.snake_case(F.replace("p_name", F.lit(" "), F.lit("X"))).alias("snake"))
@@ -84,19 +75,8 @@ def line_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.line_count(F.col("text")).alias("lines"), text.token_estimate(F.col("text")).alias("tokens"))
 
 
-PAIRS = [("bigint", "int"), ("text", "varchar(50)"), ("varchar(50)", "text"), ("numeric(10,2)", "numeric(8,2)"), ("numeric(10,2)", "numeric(10,1)"), ("character varying(20)", "varchar(20)"), ("double precision", "real"), ("timestamptz", "date"), ("numeric", "integer"), ("varchar(10)", "varchar(5)")]
-WHY = ["range", "length", None, "precision", "scale", None, "precision", "detail", "fraction", "length"]
-WHY_SQL = " ".join(f"WHEN {i} THEN " + (f"'{w}'" if w else "NULL") for i, w in enumerate(WHY))
-
-
-@query(f"SELECT p_partkey, CASE p_partkey % 10 {WHY_SQL} END AS narrows FROM part")
-def type_narrowing(spark, sf_dir):
-    pick = lambda side: F.element_at(F.array(*[F.lit(p[side]) for p in PAIRS]), (F.col("p_partkey") % 10 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", kinds.type_narrowing(pick(0), pick(1)).alias("narrows"))
-
-
 def _summaries(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source", text.normal_summary(F.substring("text", 1, 400)).alias("summary"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", text.normal_summary(F.coalesce("text", F.lit(""))).alias("summary"))
 
 
 @query(f"SELECT doc_id, {SUMMARY_SQL} AS summary FROM documents")
@@ -105,9 +85,9 @@ def summary_normalise(spark, sf_dir):
 
 
 @query(f"""
-WITH s AS (SELECT doc_id, source, list_distinct(list_filter(string_split({SUMMARY_SQL}, ' '), lambda x: x <> '')) AS ws FROM documents)
-SELECT a.source, a.doc_id AS left_id, b.doc_id AS right_id, round(CAST(len(list_intersect(a.ws, b.ws)) AS DOUBLE) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))), 6) AS score
-FROM s a JOIN s b ON a.source = b.source AND a.doc_id < b.doc_id WHERE len(a.ws) > 0 AND len(list_intersect(a.ws, b.ws)) >= 0.5 * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))) - 1e-9
+WITH s AS (SELECT doc_id, source, list_distinct(list_filter(string_split({SUMMARY_SQL}, ' '), lambda x: x <> '')) AS ws FROM documents), f AS (SELECT doc_id, source, len(ws) AS n, unnest(ws) AS w FROM s),
+c AS (SELECT a.source, a.doc_id AS left_id, b.doc_id AS right_id, a.n AS x, b.n AS y, count(*) AS n FROM f a JOIN f b ON a.source = b.source AND a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT source, left_id, right_id, round(CAST(n AS DOUBLE) / (x + y - n), 6) AS score FROM c WHERE n >= 0.5 * (x + y - n) - 1e-9
 """)
 def summary_jaccard_pairs(spark, sf_dir):
     rows = _summaries(spark, sf_dir).withColumn("ws", F.filter(F.split("summary", " "), lambda w: w != ""))
@@ -147,11 +127,6 @@ def grep_lines(spark, sf_dir):
     return longs(scans.grep(table(spark, sf_dir, "documents"), "License|Licensed", "doc_id", whole_word=True).select("doc_id", "line"), "line")
 
 
-@query()
-def fuzzy_topk(spark, sf_dir):
-    return longs(search.ranked_search(table(spark, sf_dir, "part"), "r wi", kind="p_brand", title="p_name").select("p_brand", "p_partkey", "p_name", "score", "rank"), "rank")
-
-
 @query("""
 SELECT o_orderkey, CASE WHEN d < 60 THEN CAST(d AS VARCHAR) || ' days' WHEN d < 730 THEN CAST(CAST(round(d / 30.4) AS INTEGER) AS VARCHAR) || ' months' ELSE printf('%.1f', d / 365.25) || ' years' END AS age
 FROM (SELECT o_orderkey, datediff('day', CAST(o_orderdate AS DATE), DATE '1998-09-01') AS d FROM orders)
@@ -166,6 +141,6 @@ def backoff_delays(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", numbers.backoff(F.lit(1000), F.col("event_id") % 6).cast("long").alias("delay_ms"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 200)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS criterion FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS criterion FROM documents")
 def criterion_keys(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.criterion_key(F.substring("text", 1, 200)).alias("criterion"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.criterion_key(F.col("text")).alias("criterion"))

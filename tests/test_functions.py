@@ -72,7 +72,7 @@ def test_globs(value, path, glob, want):
 
 def test_kinds(value):
     assert [value(kinds.file_role, p) for p in ("go.mod", "x/a_test.go", "docs/a.md", ".github/x.yml", "src/a.py")] == ["dependency", "test", "docs", "config", "code"]
-    assert [value(kinds.layer, p) for p in ("db/x.sql", "src/tests/a_test.go", "Dockerfile", "src/server/a.ts", "A.tsx", "src/models/a.py", "lib/calc.py")] == ["data", "tests", "infrastructure", "server", "ui", "data", "logic"]
+    assert [value(kinds.layer, p) for p in ("db/x.sql", "src/tests/a_test.go", "Dockerfile", "src/server/a.ts", "A.tsx", "src/models/a.py", "lib/calc.py")] == ["data", "tests", "infrastructure", "logic", "ui", "data", "logic"]
     assert [value(kinds.test_kind, p) for p in ("e2e/a.ts", "x/FooIT.java", "a.test.ts")] == ["e2e", "integration", "unit"]
 
 
@@ -81,6 +81,8 @@ def test_kinds(value):
     [
         ("BIGINT", "int4", "range"), ("text", "varchar(50)", "length"), ("varchar(50)", "text", None), ("numeric(10, 2)", "decimal(8,2)", "precision"), ("character varying (20)", "varchar(20)", None),
         ("timestamp with time zone", "date", "detail"), ("numeric", "int", "fraction"), ("float8", "real", "precision"), ("longtext", "text", "length"), ("numeric", "numeric(5)", "precision"), ("integer", "bigint", None),
+        ("nvarchar(20)", "varchar(10)", "length"), ("mediumint", "smallint", "range"), ("double", "real", "precision"), ("tinyint(1)", "boolean", None), ("ENUM('A')", "enum('a')", None), ("varchar", "char(3)", "length"), ("varchar(9)", "char(3)", None), ("tinytext", "varchar(5)", None),
+        ("timestamptz(6)", "timestamptz(3)", "precision"), ("timestamptz", "timestamp", "detail"), ("longtext", "tinytext", "length"), ("text", "tinytext", None), ("real", "int", "fraction"), ("geometry", "int", None),
     ],
 )
 def test_type_narrowing(value, a, b, why):

@@ -216,17 +216,54 @@ def test_secret_lines(df):
     assert all(len(r.fingerprint) == 12 for r in got.collect()) and "content" not in got.columns
 
 
-def brute_fuzzy(q, names):
-    return sorted(((search.fuzzy_score(q, n), n) for n in names if search.fuzzy_score(q, n) is not None), key=lambda x: (-x[0], x[1]))
+SEPARATORS = frozenset("/._-#: \t\n")
+
+
+def starts_word(text, i):
+    return i == 0 or text[i - 1] in SEPARATORS or text[i - 1] == text[i - 1].lower() and text[i] != text[i].lower()
+
+
+def fuzzy_score(wanted, text):
+    """The score by plain loops over characters."""
+    lower, n = text.lower(), len(wanted)
+    hits = [i for i in range(len(lower)) if lower.startswith(wanted, i)]
+    if hits:
+        at = next((i for i in hits if starts_word(text, i)), hits[0])
+        return 100 + 4 * n - 0.5 * min(at, 40) + 30 * starts_word(text, at) + 15 * (at == 0) + 40 * (n == len(lower))
+
+    def walk(to_starts):
+        places = []
+        for ch in wanted:
+            after = [i for i in range(places[-1] + 1 if places else 0, len(lower)) if lower[i] == ch]
+            if not after:
+                return None
+            jump = [i for i in after if starts_word(text, i)] if to_starts and not (places and after[0] == places[-1] + 1) else []
+            places.append((jump or after)[0])
+        return places
+
+    places = walk(True) or walk(False)
+    if places is None:
+        return None
+    begins, words = [k == 0 or places[k] != places[k - 1] + 1 for k in range(n)], [starts_word(text, i) for i in places]
+    if sum(b and not w for b, w in zip(begins, words, strict=True)) > 1 + n // 2:
+        return None
+    return 20 + 8 * sum(words) + 5 * (n - sum(begins)) - 0.3 * min(places[0], 40) - 0.2 * min(places[-1] - places[0] - n, 60)
 
 
 def test_fuzzy(df):
-    assert search.fuzzy_score("graph", "GraphView") == 100 + 20 + 30 + 15 and search.fuzzy_score("x", "x") == 100 + 4 + 30 + 15 + 40
-    assert search.fuzzy_score("gv", "GraphView") == pytest.approx(20 + 16 - 0.2 * 3) and search.fuzzy_score("zz", "GraphView") is None
-    assert search.fuzzy_score("palette", "app/api/checklist/items.ts") is None
+    assert fuzzy_score("graph", "GraphView") == 100 + 20 + 30 + 15 and fuzzy_score("x", "x") == 100 + 4 + 30 + 15 + 40
+    assert fuzzy_score("gv", "GraphView") == pytest.approx(20 + 16 - 0.2 * 3) and fuzzy_score("zz", "GraphView") is None
+    assert fuzzy_score("palette", "app/api/checklist/items.ts") is None
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "b", "B", "/", "_", "cd", "E", " ", "-x"]) for _ in range(rng.randrange(1, 16))) for _ in range(300)] + ["GraphView", "graph_view", "avatar", "my graph", "G", "app/api/checklist/items.ts", "É a"]
+    frame = df([(i, t) for i, t in enumerate(texts)] + [(-1, None), (-2, "")], "i int, t string")
+    for query in ("gr v", "ab", "bcd", "a/b", "xe", "B", "palette"):
+        got = {r.i: r.s for r in frame.select("i", search.fuzzy(query, F.col("t")).alias("s")).collect()}
+        want = {i: fuzzy_score(search.plain_query(query), t) for i, t in enumerate(texts)} | {-1: None, -2: None}
+        assert {i: s if s is None else round(s, 9) for i, s in got.items()} == {i: s if s is None else round(s, 9) for i, s in want.items()}, query
     names = ["GraphView", "graph_view", "avatar", "my graph", "G"]
-    got = search.ranked_search(df([("k", n) for n in names], "kind string, title string"), "gr v", kind="kind", title="title")
-    assert [(pytest.approx(r.score), r.title) for r in got.orderBy("rank").collect()] == brute_fuzzy("grv", names)
+    ranked = search.ranked_search(df([("k", n) for n in names], "kind string, title string"), "gr v", kind="kind", title="title").orderBy("rank").collect()
+    assert [(pytest.approx(r.score), r.title) for r in ranked] == sorted(((fuzzy_score("grv", n), n) for n in names if fuzzy_score("grv", n) is not None), key=lambda x: (-x[0], x[1]))
     assert search.like_subsequence("a_b") == "%a%\\_%b%"
 
 
