@@ -1,14 +1,19 @@
 """Quality classifier by co-training of two views.
 
 One view sees the text (shares of hashed byte pairs, word statistics, compressibility), the other the
-metadata of the page: language, source and length. Both are logistic regressions, fitted on the driver to at
-most `max_labelled` labelled rows; a fifth of those is held back for calibration. Each round, each view
-labels rows of a pool of at most `max_pool` unlabelled rows; the labels it is sure of join the training
-rows of the other view. In the end each view is calibrated on the rows held back and the log odds of both,
-less those of the prior, are added. All documents are scored with that.
+metadata of the page: language, source and length. Both are logistic regressions. They start from a bounded
+sample of labelled rows (at most `max_labelled`, those of the smallest hashes of their ids), whose features
+are all that the driver sees of single rows; a fifth of it is held back for calibration.
 
-Both bounds hold for the fit only, at any size of the corpus; the rows are those of the smallest hashes of
-their ids. Scoring sees all rows and whole texts.
+Each round, one Spark pass scores all other documents with both views. What the text view is sure of is
+counted by language, source and length (hashed to buckets); what the metadata view is sure of is summed, as
+text features by source bucket and label. These tables, whose size is that of the models whatever the corpus,
+are what the other view is fitted on next, beside the labelled rows; together they weigh as much as those at
+most, and in the labels' proportions. In the end each view is calibrated on the rows held back and the log odds
+of both, less those of the prior, are added. All documents are scored with that.
+
+Features are whole multiples of 1/8192, so sums do not depend on the order of tasks. They are worked out once
+for all rounds and kept as a table of the shared folder.
 
 Edge cases. Null text: as empty. Null language, source or length: a value of their own. Null labels and
 labels without a document are left out; of several labels of one document the lowest counts. Without labels
@@ -20,7 +25,7 @@ keep_good.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import slices
+from changeloom.llm.common import discard, slices, stage
 
 BUCKETS = 512
 PAIR_BUCKET = ((np.arange(65536, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)).astype(np.int64)
@@ -36,6 +41,8 @@ CLASSES = np.zeros((256, 6))
 for _i, _chars in enumerate((b" \t\r\n", b"0123456789", bytes(range(65, 91)), b".,;:'\"-", b"!?#$%&*|@^~<>{}[]\\/=+_`()", bytes(range(128, 256)))):
     CLASSES[list(_chars), _i] = 1
 META_BUCKETS = 64
+#: Features are kept as whole numbers of this unit, from 0 to 65535.
+UNIT = 8192
 
 
 def text_features(raw: bytes) -> np.ndarray:
@@ -52,15 +59,24 @@ def text_features(raw: bytes) -> np.ndarray:
     shares = np.bincount(data, minlength=256) @ CLASSES / max(1, len(data))
     packed = len(zlib.compress(raw, 1)) / len(raw) if raw else 1.0
     stats = [len(distinct) / n**0.85 if n else 0.0, again / max(1, n - 1), sum(map(len, words)) / max(1, n) / 10, np.log1p(n) / 10, min(2.0, packed), np.sqrt((pairs**4).sum()), raw.count(b"\n") / max(1, n) * 10, *shares * 5]
-    return np.concatenate([pairs * 4, stats]).astype(np.float32)
+    return np.clip(np.rint(np.concatenate([pairs * 4, stats]) * UNIT), 0, 65535).astype(np.uint16)
 
 
-def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+def meta_buckets(lang: str | None, source: str | None, n_chars: int | None) -> tuple[int, int, int]:
     """The metadata view: language, source and length by the power of two, each one of a few buckets."""
-    out = np.zeros(3 * META_BUCKETS, np.float32)
-    out[zlib.crc32(f"lang {lang}".encode()) % META_BUCKETS] = 1
-    out[META_BUCKETS + zlib.crc32(f"source {source}".encode()) % META_BUCKETS] = 1
-    out[2 * META_BUCKETS + (0 if n_chars is None else min(META_BUCKETS - 1, 1 + int(2 * np.log2(1 + max(0, n_chars)))))] = 1
+    length = 0 if n_chars is None else min(META_BUCKETS - 1, 1 + int(2 * np.log2(1 + max(0, n_chars))))
+    return zlib.crc32(f"lang {lang}".encode()) % META_BUCKETS, zlib.crc32(f"source {source}".encode()) % META_BUCKETS, length
+
+
+def text_matrix(units: np.ndarray) -> np.ndarray:
+    return units.astype(np.float32) / UNIT
+
+
+def meta_matrix(buckets: np.ndarray) -> np.ndarray:
+    """Three ones a row."""
+    out = np.zeros((len(buckets), 3 * META_BUCKETS), np.float32)
+    for i in range(3):
+        out[np.arange(len(buckets)), i * META_BUCKETS + buckets[:, i]] = 1
     return out
 
 
@@ -77,17 +93,20 @@ class Logistic:
     scale: tuple[float, float] = (1.0, 0.0)
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 250) -> Logistic:
-        mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
+    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, rounds: int = 250) -> Logistic:
+        weight = np.ones(len(x)) if weight is None else weight
+        share = (weight / weight.sum()).astype(np.float32)
+        mean = share @ x
+        spread = np.sqrt(np.maximum(0, share @ (x * x) - mean * mean)) + 1e-3
         z = np.hstack([(x - mean) / spread, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
         v = np.ones(z.shape[1], np.float32)
         for _ in range(12):  # the largest curvature, by power iteration
-            v = z.T @ (z @ v)
+            v = z.T @ (share * (z @ v))
             v /= np.linalg.norm(v)
-        step = 1 / (0.25 * 1.1 * float(v @ (z.T @ (z @ v))) / len(z) + ridge)
+        step = 1 / (0.25 * 1.1 * float(v @ (z.T @ (share * (z @ v)))) + ridge)
         w = ahead = np.zeros(z.shape[1], np.float32)
         for t in range(rounds):  # accelerated gradient descent
-            gradient = z.T @ (sigmoid(z @ ahead) - y) / len(z) + ridge * ahead
+            gradient = z.T @ (share * (sigmoid(z @ ahead) - y)) + ridge * ahead
             new = ahead - step * gradient
             ahead, w = new + t / (t + 3) * (new - w), new
         weights = w[:-1] / spread
@@ -112,9 +131,26 @@ class Logistic:
         return self.scale[0] * self.raw(x) + self.scale[1]
 
 
+@dataclass
+class Given:
+    """Pseudo-labelled rows in sums: mean features, labels, and how many documents each row stands for."""
+
+    x: np.ndarray
+    y: np.ndarray
+    n: np.ndarray
+
+    def weights(self, share: float, most: int) -> np.ndarray:
+        """Of each label its share of `most`, or less where there are fewer documents."""
+        out = self.n.astype(np.float64)
+        for value, part in ((1, share), (0, 1 - share)):
+            mine = self.y == value
+            out[mine] *= min(1.0, most * part / max(1.0, out[mine].sum()))
+        return out
+
+
 @dataclass
 class CoTrained:
-    """Both views, calibrated; None where there were no labels of both classes."""
+    """Both views, calibrated; None where there were no labels of both classes. exchanged: documents that the text view and the metadata view labelled last."""
 
     text: Logistic | None
     meta: Logistic | None
@@ -122,35 +158,25 @@ class CoTrained:
     exchanged: tuple[int, int] = (0, 0)
 
     @classmethod
-    def fit(cls, text: np.ndarray, meta: np.ndarray, label: np.ndarray, held: np.ndarray, rounds: int = 3, sure: float = 0.97, most: int = 400) -> CoTrained:
-        """text and meta: a row for each label and pool row; label: 1, 0, or -1 in the pool; held: kept for calibration."""
-        known = label >= 0
-        share = (float((label[known] == 1).sum()) + 1) / (float(known.sum()) + 2)
+    def of(cls, text: np.ndarray, meta: np.ndarray, label: np.ndarray, held: np.ndarray, ask: Callable[[CoTrained], tuple[Given, Given]], rounds: int) -> CoTrained:
+        """text and meta: matrices of labelled rows; label: 1 or 0; held: rows kept for calibration; ask: what both views are sure of."""
+        share = (float((label == 1).sum()) + 1) / (len(label) + 2)
         prior = float(np.log(share / (1 - share)))
-        train, held = known & ~held, known & held
+        train = ~held
         if any(len(np.unique(label[rows])) < 2 for rows in (train, held)):
             return cls(None, None, prior)
-        views, given, counts = (text, meta), [dict(), dict()], [0, 0]
-        models: list[Logistic] = []
+        given: tuple[Given | None, Given | None] = (None, None)
         for turn in range(rounds + 1):
             models = []
-            for view, x in enumerate(views):
-                rows = np.concatenate([np.flatnonzero(train), np.array(sorted(given[view]), np.int64)])
-                y = np.concatenate([label[train], [given[view][i] for i in sorted(given[view])]])
-                models.append(Logistic.fit(x[rows], y.astype(np.float32)).calibrated(x[held], label[held]))
-            if turn == rounds:
-                break
-            for view, x in enumerate(views):
-                free = np.array([i for i in np.flatnonzero(~known) if i not in given[1 - view]], np.int64)
-                if not len(free):
-                    continue
-                p = sigmoid(models[view].odds(x[free]))
-                for value, chance in ((1, p), (0, 1 - p)):
-                    limit = int(most * (share if value else 1 - share))
-                    best = np.argsort(-chance, kind="stable")[:limit]
-                    given[1 - view].update((int(free[i]), value) for i in best if chance[i] >= sure)
-        counts = (len(given[1]), len(given[0]))
-        return cls(models[0], models[1], prior, counts)
+            for x, more in zip((text, meta), given, strict=True):
+                rows, y, weight = x[train], label[train].astype(np.float32), np.ones(int(train.sum()))
+                if more is not None and len(more.y):
+                    rows, y, weight = np.concatenate([rows, more.x]), np.concatenate([y, more.y]), np.concatenate([weight, more.weights(share, len(weight))])
+                models.append(Logistic.fit(rows, y, weight).calibrated(x[held], label[held]))
+            found = cls(models[0], models[1], prior, tuple(0 if g is None else int(g.n.sum()) for g in given[::-1]))
+            if turn < rounds:
+                given = ask(found)
+        return found
 
     def chances(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """P(good) by the text, by the metadata, and by both."""
@@ -165,53 +191,114 @@ COLUMNS = ("lang", "source", "n_chars")
 
 
 def features(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Text units and metadata buckets, a row each."""
     raw = part.column("text").cast(pa.binary()).to_pylist()
     meta = zip(*(part.column(c).to_pylist() for c in COLUMNS), strict=True)
-    return np.stack([text_features(t or b"") for t in raw]), np.stack([meta_features(*m) for m in meta])
+    return np.stack([text_features(t or b"") for t in raw]), np.array([meta_buckets(*m) for m in meta], np.int32)
+
+
+FEATURE_SCHEMA = "doc_id long, units binary, lang int, source int, length int"
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            text, meta = features(part)
-            rows = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (text, meta)]
-            yield pa.record_batch([part.column("doc_id"), part.column("label"), *rows], names=["doc_id", "label", "text_view", "meta_view"])
+            if len(part):
+                units, buckets = features(part)
+                yield pa.record_batch([part.column("doc_id"), pa.array([u.tobytes() for u in units], pa.binary()), *(pa.array(buckets[:, i]) for i in range(3))], names=["doc_id", "units", "lang", "source", "length"])
+
+
+def matrices(units: list[bytes], buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return text_matrix(np.frombuffer(b"".join(units), np.uint16).reshape(len(units), -1)), meta_matrix(buckets)
+
 
+SURE_SCHEMA = "view string, value int, lang int, source int, length int, n long, sums array<long>"
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 4000, max_pool: int = 4000, rounds: int = 3, seed: int = 5) -> CoTrained:
+
+def _sure_of(model: CoTrained, fitted: set[int], sure: float):
+    """A mapInArrow function: each task's rows of what the views are sure of, summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict[tuple, int] = {}
+        sums: dict[tuple, list] = {}
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                buckets = np.stack([part.column(c).to_numpy() for c in ("lang", "source", "length")], axis=1)
+                raw = part.column("units").to_pylist()
+                by_text, by_meta, _ = model.chances(*matrices(raw, buckets))
+                free = np.array([i not in fitted for i in part.column("doc_id").to_pylist()], bool)
+                for value, text_sure, meta_sure in ((1, by_text >= sure, by_meta >= sure), (0, by_text <= 1 - sure, by_meta <= 1 - sure)):
+                    for i, n in zip(*np.unique(buckets[free & text_sure], axis=0, return_counts=True), strict=True):
+                        key = (value, *map(int, i))
+                        cells[key] = cells.get(key, 0) + int(n)
+                    hit = np.flatnonzero(free & meta_sure)
+                    for source in np.unique(buckets[hit, 1]).tolist():
+                        rows = hit[buckets[hit, 1] == source]
+                        units = np.frombuffer(b"".join(raw[i] for i in rows), np.uint16).reshape(len(rows), -1)
+                        entry = sums.setdefault((value, source), [0, np.zeros(units.shape[1], np.int64)])
+                        entry[0] += len(rows)
+                        entry[1] += units.sum(axis=0, dtype=np.int64)
+        out = [("text", *k, n, None) for k, n in cells.items()] + [("meta", value, None, source, None, n, total.tolist()) for (value, source), (n, total) in sums.items()]
+        types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["view", "value", "lang", "source", "length", "n", "sums"])
+
+    return run
+
+
+def what_is_sure(views: DataFrame, model: CoTrained, fitted: set[int], sure: float) -> tuple[Given, Given]:
+    """What the metadata view gives the text view, and the other way round, over all rows of views but the fitted ones."""
+    told = stage(views.mapInArrow(_sure_of(model, fitted, sure), SURE_SCHEMA), "sure")
+    cells = told.where("view = 'text'").groupBy("value", "lang", "source", "length").agg(F.sum("n").alias("n")).orderBy("value", "lang", "source", "length").collect()  # 2 * 64 ** 3 at most
+    flat = told.where("view = 'meta'").select("value", "source", "n", F.posexplode("sums").alias("pos", "x")).groupBy("value", "source", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    rows = flat.groupBy("value", "source").agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("sums")).orderBy("value", "source").collect()  # 2 * 64 at most
+    discard(told)
+    width = len(text_features(b""))
+    means = np.array([np.array(r["sums"], np.float64) / r["n"] / UNIT for r in rows], np.float32).reshape(len(rows), width)
+    buckets = np.array([(r["lang"], r["source"], r["length"]) for r in cells], np.int64).reshape(len(cells), 3)
+    to = lambda rows, x: Given(x, np.array([r["value"] for r in rows], np.float32), np.array([r["n"] for r in rows], np.int64))
+    return to(rows, means), to(cells, meta_matrix(buckets))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 4000, rounds: int = 3, sure: float = 0.97, seed: int = 5) -> CoTrained:
     """Fit on labels (doc_id, quality) of docs (doc_id, text, lang, source, n_chars)."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    labelled = ids.join(known, "doc_id").orderBy(order, "doc_id").limit(max_labelled).select("doc_id", F.when(F.col("quality") > 0, 1).otherwise(0).alias("label"))
-    pool = ids.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(max_pool).select("doc_id", F.lit(-1).alias("label"))
-    chosen = F.broadcast(labelled.unionByName(pool))  # max_labelled + max_pool rows at most
-    view = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *COLUMNS).join(chosen, "doc_id")
-    found = view.mapInArrow(_sample, "doc_id long, label int, text_view binary, meta_view binary").dropDuplicates(["doc_id"]).collect()
-    found.sort(key=lambda r: r["doc_id"])
+    chosen = ids.join(known, "doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_labelled).select("doc_id", F.when(F.col("quality") > 0, 1).otherwise(0).alias("label"))
+    views = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *COLUMNS).mapInArrow(_views, FEATURE_SCHEMA), "views")
+    found = views.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()  # max_labelled rows at most
     if not found:
         return CoTrained(None, None, 0.0)
-    text, meta = (np.stack([np.frombuffer(r[c], np.float32) for r in found]) for c in ("text_view", "meta_view"))
+    found.sort(key=lambda r: r["doc_id"])
+    text, meta = matrices([bytes(r["units"]) for r in found], np.array([(r["lang"], r["source"], r["length"]) for r in found]))
     held = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in found])
-    return CoTrained.fit(text, meta, np.array([r["label"] for r in found]), held, rounds)
+    fitted = {r["doc_id"] for r in found}
+    model = CoTrained.of(text, meta, np.array([r["label"] for r in found]), held, lambda m: what_is_sure(views, m, fitted, sure), rounds)
+    discard(views)
+    return model
+
+
+SCORE_SCHEMA = "doc_id long, p_text double, p_meta double, p_good double, kept boolean"
 
 
-SCORE_SCHEMA = "doc_id long, row_key long, p_text double, p_meta double, p_good double, kept boolean"
+def chances_of(model: CoTrained, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    units, buckets = features(part)
+    return model.chances(text_matrix(units), meta_matrix(buckets))
 
 
 def _score(model: CoTrained, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                p = [x.astype(np.float64) for x in model.chances(*features(part))]
-                yield pa.record_batch([part.column("doc_id"), part.column("row_key"), *map(pa.array, p), pa.array(p[2] >= least)], names=["doc_id", "row_key", "p_text", "p_meta", "p_good", "kept"])
+                p = [x.astype(np.float64) for x in chances_of(model, part)]
+                yield pa.record_batch([part.column("doc_id"), *map(pa.array, p), pa.array(p[2] >= least)], names=["doc_id", "p_text", "p_meta", "p_good", "kept"])
 
     return run
 
 
 def score_quality(docs: DataFrame, model: CoTrained, *, least: float = 0.5) -> DataFrame:
-    """docs to doc_id, row_key, p_text, p_meta, p_good and kept (p_good >= least)."""
-    view = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text", *COLUMNS)
+    """docs to doc_id, p_text, p_meta, p_good and kept (p_good >= least)."""
+    view = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *COLUMNS)
     return view.mapInArrow(_score(model, least), SCORE_SCHEMA)
 
 
@@ -219,7 +306,7 @@ def _filter(model: CoTrained, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield part.filter(pa.array(model.chances(*features(part))[2] >= least))
+                yield part.filter(pa.array(chances_of(model, part)[2] >= least))
 
     return run
 

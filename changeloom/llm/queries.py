@@ -25,7 +25,7 @@ def op2_exact_dedup_lsm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels"))).drop("row_key")
+    return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,10 +31,44 @@ def test_held_out_accuracy_and_filter(spark, make_docs):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in out)
 
 
-def test_bounds_hold(spark, make_docs):
+def test_the_pool_is_all_other_rows(spark, make_docs):
+    """Every document that is not fitted and that a view is sure of is exchanged, none is left out, and sums are those of plain Python."""
     rows, labels = corpus()
-    model = quality.fit_quality(make_docs(rows), spark.createDataFrame(labels, LABELS), max_labelled=80, max_pool=40)
-    assert model.text is not None and sum(model.exchanged) <= 80
+    rows += [(None, rows[0][1], "en", "src0", 5)] * 3
+    docs, labels = make_docs(rows), spark.createDataFrame(labels, LABELS)
+    model = quality.fit_quality(docs, labels, max_labelled=80)
+    views = docs.select("doc_id", "text", *quality.COLUMNS).mapInArrow(quality._views, quality.FEATURE_SCHEMA)
+    fitted = {r.doc_id for r in docs.where("doc_id IS NOT NULL").join(labels, "doc_id").orderBy("doc_id").limit(80).collect()}
+    to_text, to_meta = quality.what_is_sure(views, model, fitted, 0.6)
+    cells, sums = {}, {}
+    for i, text, lang, source, n_chars in rows:
+        if i in fitted:
+            continue
+        units, buckets = quality.text_features(text.encode()), quality.meta_buckets(lang, source, n_chars)
+        by_text, by_meta, _ = (float(p[0]) for p in model.chances(quality.text_matrix(units[None]), quality.meta_matrix(np.array([buckets]))))
+        for p, table, key, add in ((by_text, cells, buckets, 1), (by_meta, sums, buckets[1], np.array([1, *units], np.int64))):
+            if p >= 0.6 or p <= 1 - 0.6:
+                table[int(p >= 0.6), key] = table.get((int(p >= 0.6), key), 0) + add
+    assert sum(to_meta.n) == sum(cells.values()) > 300 and sorted(to_meta.n) == sorted(cells.values())
+    assert [(int(y), int(n)) for y, n in zip(to_text.y, to_text.n, strict=True)] == [(v, int(t[0])) for (v, _), t in sorted(sums.items())] and len(sums) > 0
+    for got, (_, total) in zip(to_text.x, sorted(sums.items()), strict=True):
+        assert np.allclose(got, total[1:] / total[0] / quality.UNIT, atol=1e-6)
+
+
+def test_scores_against_plain_python(spark, small):
+    """Held-out accuracy on the tables, and each score from the weights by plain sums."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.fit_quality(small, labels, max_labelled=120)
+    out = {r.doc_id: r for r in quality.score_quality(small, model).collect()}
+    for r in small.collect():
+        units, where = quality.text_features((r.text or "").encode()), quality.meta_buckets(r.lang, r.source, r.n_chars)
+        text = sum(float(w) * int(u) / quality.UNIT for w, u in zip(model.text.weights, units, strict=True)) + model.text.bias
+        meta = sum(float(model.meta.weights[64 * i + b]) for i, b in enumerate(where)) + model.meta.bias
+        odds = [m.scale[0] * x + m.scale[1] for m, x in ((model.text, text), (model.meta, meta))]
+        want = 1 / (1 + np.exp(-np.clip(sum(odds) - model.prior, -40, 40)))
+        assert abs(out[r.doc_id].p_good - want) < 1e-3 and out[r.doc_id].kept == (out[r.doc_id].p_good >= 0.5)
+    order = sorted(r.doc_id for r in labels.collect())
+    assert np.mean([out[r.doc_id].kept == (r.quality > 0) for r in labels.collect() if r.doc_id in order and r.doc_id in out]) > 0.9
 
 
 def test_calibration_and_combination():
