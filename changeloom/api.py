@@ -7,13 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changeloom.operators import review, snapshots
+
 SEVERITIES = ["critical", "high", "medium", "low"]
 
 
 @dataclass
 class Review:
     """tables: findings (id, target, component, file, severity, resolved_at, responses), component_files (component, file),
-    changed_files (target, file, additions, deletions, patch), endpoints, resources, variables, schema_tables, edges; those that a call needs."""
+    changed_files (target, file, additions, deletions, patch), endpoints, resources, variables, schema_tables, edges, repos, and what the changes of each catalog are taken from; those that a call needs."""
 
     tables: dict[str, DataFrame]
 
@@ -22,6 +24,10 @@ class Review:
             raise KeyError(f"this review has no table {name}")
         return self.tables[name]
 
+    def list_repos(self) -> DataFrame:
+        """The repositories (id, name, provider, default_branch, url) by name."""
+        return self._of("repos").select("id", "name", "provider", "default_branch", "url").orderBy("name", "id")
+
     def list_reviews(self) -> DataFrame:
         return self._of("findings").groupBy("target").agg(F.count("*").alias("findings"), F.count_if(F.col("resolved_at").isNull()).alias("open"))
 
@@ -58,6 +64,28 @@ class Review:
     def list_endpoints(self, *, kind: str | None = None, query: str | None = None) -> DataFrame:
         return self._filtered("endpoints", query, ["path", "handler"], kind=kind)
 
+    def get_api_changes(self) -> DataFrame:
+        """endpoints against base_endpoints: id, status, before_id, aspects, breaking."""
+        return snapshots.endpoint_diff(self._of("base_endpoints"), self._of("endpoints")).orderBy("id")
+
+    def get_infra_changes(self) -> DataFrame:
+        """resources and their attributes (id, name, value) against those of the base: before_id, after_id, action; resource_moves are those written down."""
+        return snapshots.resource_diff(self._of("base_resources"), self._of("resources"), self._of("base_attributes"), self._of("attributes"), self._of("resource_moves"))
+
+    def get_env_changes(self) -> DataFrame:
+        """Facts of variables (name, part, key, value) against those of the base: name, status, and how many of each part differ."""
+        return review.env_changes(self._of("base_variable_facts"), self._of("variable_facts")).orderBy("name")
+
+    def get_schema_changes(self) -> DataFrame:
+        """schema_columns against base_schema_columns: table, column, status, aspects, renamed_from; table_renames are those that migrations name."""
+        return snapshots.schema_diff(self._of("base_schema_columns"), self._of("schema_columns"), self._of("table_renames"))
+
+    def schema_change_counts(self) -> DataFrame:
+        """How many columns were added, removed and changed, and how many of these can lose data."""
+        changes = self.get_schema_changes()
+        count = lambda status: F.count_if(F.col("status") == status)
+        return changes.agg(count("added").alias("added"), count("removed").alias("removed"), count("changed").alias("changed"), F.count_if((F.col("status") == "removed") | F.col("aspects").contains("type")).alias("destructive"))
+
     def list_infra(self, *, tool: str | None = None, query: str | None = None) -> DataFrame:
         return self._filtered("resources", query, ["id", "address"], tool=tool)
 

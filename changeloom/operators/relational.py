@@ -110,15 +110,18 @@ def nearest_ancestor(paths: DataFrame, configs: DataFrame, path: str = "path", f
 def suffix_match(reported: DataFrame, files: DataFrame) -> DataFrame:
     """Each reported path with the one file that shares the longest suffix with it; a tie is no match.
 
-    A suffix of one segment counts only if no other file has that name.
+    A suffix of one segment counts only if no other file has that name. Longer ones are found by their last two
+    segments, so files of a name that every folder has do not all meet.
     """
-    r, f = (x.select(F.col("path").alias(n), F.reverse(F.split("path", "/")).alias(f"{n}_parts"), F.substring_index("path", "/", -1).alias("_name")) for x, n in ((reported, "reported"), (files, "file")))
+    r, f = (x.select(F.col("path").alias(n), F.reverse(F.split("path", "/")).alias(f"{n}_parts"), F.substring_index("path", "/", -1).alias("_name"), F.substring_index("path", "/", -2).alias("_tail")) for x, n in ((reported, "reported"), (files, "file")))
     same = F.zip_with("reported_parts", "file_parts", lambda a, b: a.eqNullSafe(b) & a.isNotNull())
     depth = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("int")
-    scored = r.join(f, "_name").withColumn("depth", depth).withColumn("candidates", F.count("*").over(Window.partitionBy("reported")))
-    best = scored.groupBy("reported", "candidates").agg(F.max(F.struct("depth", "file")).alias("best"), F.collect_list("depth").alias("depths"))
-    ties = F.size(F.filter("depths", lambda d: d == F.col("best.depth")))
-    return best.where((ties == 1) & ((F.col("best.depth") >= 2) | (F.col("candidates") == 1))).select("reported", F.col("best.file").alias("file"), F.col("best.depth").alias("depth"))
+    order = Window.partitionBy("reported").orderBy(F.desc("depth"))
+    deep = r.join(f.drop("_name"), "_tail").withColumn("depth", depth).where("depth >= 2").withColumn("_rank", F.rank().over(order)).where("_rank = 1")
+    best = deep.groupBy("reported").agg(F.count("*").alias("_n"), F.min("file").alias("file"), F.min("depth").alias("depth"))
+    alone = f.groupBy("_name").agg(F.count("*").alias("_n"), F.min("file").alias("file")).where("_n = 1").select("_name", "file")
+    single = r.join(best.select("reported"), "reported", "left_anti").join(alone, "_name").select("reported", "file", F.lit(1).alias("depth"))
+    return best.where("_n = 1").select("reported", "file", "depth").unionByName(single)
 
 
 def innermost_interval(points: DataFrame, spans: DataFrame, key: str, point: str, first: str, last: str, span_id: str, width: int = 64) -> DataFrame:

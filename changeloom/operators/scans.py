@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changeloom.functions.text import content_id
+from changeloom.functions.text import content_id, entropy
 
 #: Shapes of vendor tokens by kind (fixed values).
 TOKENS = [
+    ("openai", r"\bsk-(?:proj-|ant-)?[A-Za-z0-9_-]{20,}"),
     ("aws", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"), ("github", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"), ("stripe", r"\b[sr]k_live_[A-Za-z0-9]{16,}\b"), ("gitlab", r"\bglpat-[A-Za-z0-9_-]{20,}"),
     ("slack", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"), ("google", r"\bAIza[0-9A-Za-z_-]{35}"), ("sendgrid", r"\bSG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"), ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    ("url_password", r"\b[a-z][a-z0-9+.-]*://[^/\s:@]+:[^/\s:@]{4,}@"), ("assigned", r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9+/_.=-]{16,}"),
+    ("url_password", r"\b[a-z][a-z0-9+.-]*://[^/\s:@]+:[^/\s:@]{4,}@(?:[\w.:\[\]-]*)"), ("assigned", r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9+/_.=-]{16,}"),
 ]
+RANDOM = r"""[:=]\s*["']([A-Za-z0-9+/_=-]{20,})["']"""
+LOCAL_HOST = r"@(localhost|127\.0\.0\.1|0\.0\.0\.0|\[?::1|host\.docker\.internal)"
 PLACEHOLDER = r"(?i)x{4,}|example|changeme|<[a-z_]+>|\$\{|your[-_]|(.)\1{7,}"
 
 
@@ -48,10 +51,17 @@ def diff_lines(diffs: DataFrame, key: str = "diff_id") -> DataFrame:
 
 
 def secret_lines(lines: DataFrame, *keep: str) -> DataFrame:
-    """Lines (content) that hold a secret: the kind and a fingerprint, never the value. Placeholders are left out."""
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract("content", p, 0).alias("value")) for k, p in TOKENS])
+    """Lines (content) that hold a secret: the kind and a fingerprint, never the value. Placeholders and local addresses are left out.
+
+    Lines of more than 2000 characters are taken for generated ones and left out. Beside the known shapes, a value
+    of 20 characters or more that is assigned to anything counts as random from 4.2 bits a character on.
+    """
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract("content", p, 0).alias("value")) for k, p in TOKENS], F.struct(F.lit("random").alias("kind"), F.regexp_extract("content", RANDOM, 1).alias("value")))
     short = lines.where(F.length("content") <= 2000)
-    return short.select(*keep, F.explode(F.filter(kinds, lambda x: x["value"] != "")).alias("x")).where(~F.col("x.value").rlike(PLACEHOLDER)).select(*keep, "x.kind", content_id(F.col("x.value"), length=12).alias("fingerprint"))
+    found = short.select(*keep, F.explode(F.filter(kinds, lambda x: x["value"] != "")).alias("x")).where(~F.col("x.value").rlike(PLACEHOLDER))
+    local, mixed = (F.col("x.kind") == "url_password") & F.col("x.value").rlike(LOCAL_HOST), entropy(F.col("x.value")) >= 4.2
+    told = found.where(~local & ((F.col("x.kind") != "random") | mixed))
+    return told.select(*keep, "x.kind", content_id(F.col("x.value"), length=12).alias("fingerprint"))
 
 
 def lcov_lines(reports: DataFrame, key: str = "report") -> DataFrame:
@@ -129,3 +139,119 @@ def test_markers(files: DataFrame, *keep: str) -> DataFrame:
     rows = lines_of(files.where(F.col("text").rlike(f"{focus}|{skip}")), "text", *keep)
     return rows.withColumn("kind", F.when(F.col("content").rlike(focus), "focus").when(F.col("content").rlike(skip), "skip")).where("kind IS NOT NULL").select(*keep, "line", "kind")
 
+
+
+# --- reports and diffs of other formats ------------------------------------------------------------------------
+
+
+def coverage_format(text: Column) -> Column:
+    """lcov, cobertura, jacoco or istanbul, by how a report begins; null for none."""
+    start = F.left(text, F.lit(2000))
+    return F.when(start.rlike(r"(?m)^SF:"), "lcov").when(start.rlike(r"<report\b") & text.contains("<sourcefile"), "jacoco").when(start.rlike(r"<coverage\b"), "cobertura").when(start.rlike(r"^\s*\{") & text.contains('"statementMap"'), "istanbul")
+
+
+def istanbul_lines(reports: DataFrame, key: str = "report") -> DataFrame:
+    """Istanbul JSON reports (key, text) to key, file, line, hits: the statements that begin on a line, the most hit of them."""
+    statement = "map<string, struct<path: string, statementMap: map<string, struct<start: struct<line: int>>>, s: map<string, bigint>>>"
+    files = reports.select(key, F.explode(F.from_json("text", statement)).alias("_name", "f")).select(key, F.coalesce("f.path", "_name").alias("file"), "f.statementMap", "f.s")
+    rows = files.select(key, "file", "s", F.explode("statementMap").alias("_id", "at")).where("at.start.line IS NOT NULL")
+    return rows.groupBy(key, "file", F.col("at.start.line").alias("line")).agg(F.max(F.coalesce(F.col("s")[F.col("_id")], F.lit(0))).alias("hits"))
+
+
+def jacoco_lines(reports: DataFrame, key: str = "report") -> DataFrame:
+    """JaCoCo XML reports (key, text) to key, file (package and source file), line, hits (covered instructions); lines without instructions are left out."""
+    packages = reports.select(key, F.explode(F.regexp_extract_all("text", F.lit(r'(?s)(<package\b.*?</package>)'), F.lit(1))).alias("p"))
+    sources = packages.select(key, F.regexp_extract("p", r'<package\b[^>]*\bname="([^"]*)"', 1).alias("package"), F.explode(F.regexp_extract_all("p", F.lit(r'(?s)(<sourcefile\b.*?</sourcefile>)'), F.lit(1))).alias("s"))
+    lines = sources.select(key, F.concat_ws("/", F.nullif("package", F.lit("")), F.regexp_extract("s", r'<sourcefile\b[^>]*\bname="([^"]*)"', 1)).alias("file"), F.explode(F.regexp_extract_all("s", F.lit(r"(<line\b[^>]*>)"), F.lit(1))).alias("l"))
+    number = lambda name, kind: F.coalesce(F.nullif(F.regexp_extract("l", rf'\b{name}="(\d+)"', 1), F.lit("")), F.lit("0")).cast(kind)
+    return lines.select(key, "file", number("nr", "int").alias("line"), number("ci", "long").alias("hits"), number("mi", "long").alias("_missed")).where("hits + _missed > 0").drop("_missed")
+
+
+def coverage_lines(reports: DataFrame, key: str = "report") -> DataFrame:
+    """Reports of the four formats, whichever each is, to key, file, line, hits."""
+    known = reports.withColumn("_format", coverage_format(F.col("text")))
+    readers = {"lcov": lcov_lines, "cobertura": cobertura_lines, "jacoco": jacoco_lines, "istanbul": istanbul_lines}
+    found = [read(known.where(F.col("_format") == name), key).select(key, "file", "line", "hits") for name, read in readers.items()]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def split_diffs(diffs: DataFrame, key: str = "diff_id") -> DataFrame:
+    """Diffs of many files (key, text) to key, path, patch: a row for each file with hunks, by its new name, else by its old one."""
+    chunks = diffs.select(key, F.explode(F.split("text", r"(?m)^(?=diff --git )")).alias("patch")).where(F.col("patch").startswith("diff --git ") & F.col("patch").contains("\n@@ "))
+    name = lambda pattern: F.nullif(F.regexp_extract("patch", pattern, 1), F.lit(""))
+    path = F.coalesce(name(r"(?m)^(?:rename|copy) to (.*)$"), name(r"(?m)^\+\+\+ b/(.*)$"), name(r"(?m)^--- a/(.*)$"))
+    return chunks.select(key, path.alias("path"), "patch").where("path IS NOT NULL")
+
+
+def image_builds(files: DataFrame, *keep: str) -> DataFrame:
+    """`docker build` commands of scripts: line, image (what -t or --tag names), dockerfile (-f or --file)."""
+    rows = lines_of(files.where(F.col("text").contains("docker")), "text", *keep).where(F.col("content").rlike(r"\bdocker(?:\s+buildx)?\s+build\b"))
+    option = lambda short, long: F.nullif(F.regexp_extract("content", rf"""(?:\s-{short}\s*|\s--{long}[= ])["']?([^\s"']+)""", 1), F.lit(""))
+    return rows.select(*keep, "line", option("t", "tag").alias("image"), option("f", "file").alias("dockerfile"))
+
+
+def same_but_space(old: Column, new: Column) -> Column:
+    """Whether two lines differ in white space only."""
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    return bare(old) == bare(new)
+
+
+def without_space_changes(lines: DataFrame) -> DataFrame:
+    """Changed lines (block, side, pos, content) without pairs, the n-th removed and added of a block, that differ in white space only."""
+    nth = F.row_number().over(Window.partitionBy("block", "side").orderBy("pos"))
+    rows = lines.withColumn("_n", nth)
+    side = lambda s, name: rows.where(F.col("side") == s).select("block", "_n", F.col("content").alias(name))
+    same = side("old", "_a").join(side("new", "_b"), ["block", "_n"]).where(same_but_space(F.col("_a"), F.col("_b"))).select("block", "_n")
+    return rows.join(same, ["block", "_n"], "left_anti").drop("_n")
+
+
+def added_reads(base: DataFrame, head: DataFrame, added: DataFrame) -> DataFrame:
+    """Variables (name, file) read more often at head than at base, on added lines: reads have name, file, line; added file, line."""
+    count = lambda df, n: df.groupBy("name", "file").agg(F.count("*").alias(n))
+    more = count(head, "_h").join(count(base, "_b"), ["name", "file"], "left").where("_h > coalesce(_b, 0)").select("name", "file")
+    return head.join(more, ["name", "file"], "left_semi").join(added.select("file", "line").distinct(), ["file", "line"], "left_semi")
+
+
+def query_tables(statements: DataFrame, *keep: str) -> DataFrame:
+    """Tables that SQL texts (statement) name, with whether the text writes: keep, table, write. Names of its own WITH are left out."""
+    plain = F.regexp_replace(F.regexp_replace("statement", r"(?s)/\*.*?\*/|--[^\n]*", " "), "'(?:[^']|'')*'", "''")
+    names = F.regexp_extract_all(plain, F.lit(r"(?i)\b(?:from|join|into|update|table)\s+([A-Za-z_][\w.]*)"), F.lit(1))
+    own = F.transform(F.regexp_extract_all(plain, F.lit(r"(?i)(?:\bwith(?:\s+recursive)?|,)\s*([A-Za-z_]\w*)\s*(?:\([^()]*\))?\s+as\s*\("), F.lit(1)), F.lower)
+    write = plain.rlike(r"(?i)^\s*(?:with\b.*\)\s*)?(insert|update|delete|merge|create|alter|drop|truncate)\b")
+    return statements.select(*keep, F.explode(F.array_except(F.array_distinct(F.transform(names, F.lower)), own)).alias("table"), write.alias("write"))
+
+
+def acceptance_criteria(lines: DataFrame, *keys: str) -> DataFrame:
+    """Criteria of a text's lines (keys, line, content): checkboxes, and items and Given/When/Then lines below a heading of acceptance criteria.
+
+    A heading opens or closes the part; a Given starts a criterion that the steps behind it belong to.
+    """
+    order = Window.partitionBy(*keys).orderBy("line")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    heading = F.when(F.col("content").rlike(r"^\s*(#{1,6}\s|[A-Z][\w ]*:\s*$)"), F.col("content").rlike(r"(?i)acceptance criteria"))
+    rows = lines.withColumn("_in", F.coalesce(F.last(heading, ignorenulls=True).over(so_far), F.lit(False)))
+    box, item = r"^\s*[-*]\s+\[[ xX]\]\s+(.*\S)\s*$", r"^\s*(?:[-*]|\d+[.)])\s+(.*\S)\s*$"
+    step = r"(?i)^\s*(?:[-*]\s+)?((?:given|when|then|and|but)\b.*\S)\s*$"
+    is_step = F.col("_in") & F.col("content").rlike(step)
+    kind = F.when(F.col("content").rlike(box), "checkbox").when(is_step, "step").when(F.col("_in") & F.col("content").rlike(item), "item")
+    text = F.when(kind == "checkbox", F.regexp_extract("content", box, 1)).when(kind == "step", F.regexp_extract("content", step, 1)).otherwise(F.regexp_extract("content", item, 1))
+    found = rows.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("text", text)
+    starts = (F.col("kind") != "step") | F.lower("text").startswith("given")
+    numbered = found.withColumn("_c", F.sum(F.when(starts, 1).otherwise(0)).over(so_far))
+    return numbered.groupBy(*keys, "_c").agg(F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ").alias("text")).drop("_c")
+
+
+def indented_blocks(lines: DataFrame, starts: DataFrame, *keys: str, deepest: int = 12) -> DataFrame:
+    """The block of each declaration (keys, line): up to the line before the next one that is indented as little or less: keys, line, last.
+
+    A line is opened to the depths from its own to the deepest that declarations have; the next of a depth ends a block.
+    """
+    depth = F.length(F.regexp_extract("content", r"^(\s*)", 1))
+    full = lines.where(F.trim("content") != "").select(*keys, "line", depth.alias("_d"))
+    opened = full.where(F.col("_d") <= deepest).select(*keys, "line", "_d", F.explode(F.sequence("_d", F.lit(deepest))).alias("_level"))
+    following = opened.withColumn("_next", F.lead("line").over(Window.partitionBy(*keys, "_level").orderBy("line"))).where("_d = _level")
+    end = full.groupBy(*keys).agg(F.max("line").alias("_end"))
+    return following.join(starts.select(*keys, "line"), [*keys, "line"], "left_semi").join(end, [*keys]).select(*keys, "line", F.coalesce(F.col("_next") - 1, F.col("_end")).alias("last"))
