@@ -31,7 +31,7 @@ LAYER_SQL = f"""
 WITH f AS ({told(FILES)}), b AS (SELECT id, path, regexp_extract(path, '([^/]*)$', 1) AS name, list_transform(string_split(regexp_extract(path, '^(.*)/[^/]*$', 1), '/'), lambda s: lower(s)) AS folders FROM f),
 s AS (SELECT *, regexp_replace(regexp_replace(name, '(?i)\\.(test|spec|e2e|stories|d)\\.[^.]+$', ''), '\\.[^.]+$', '') AS stem FROM b),
 w AS (SELECT *, string_split_regex(lower(regexp_replace(regexp_replace(stem, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+') AS parts,
-    lower(name) IN ({", ".join(f"'{x}'" for x in kinds.DEPENDENCY_FILES)}) AS dep, regexp_matches(name, '{kinds.TEST_NAME}') OR regexp_matches(path, '{kinds.TEST_DIR}') AS test FROM s)
+    lower(name) IN ({", ".join(f"'{x}'" for x in kinds.DEPENDENCY_FILES)}) OR ends_with(lower(name), '.csproj') AS dep, regexp_matches(name, '{kinds.TEST_NAME}') OR regexp_matches(path, '{kinds.TEST_DIR}') AS test FROM s)
 SELECT id, path, CASE WHEN test AND NOT dep OR regexp_matches(stem, '(?i)^smoke-test') OR list_contains(folders, '__fixtures__') THEN 'tests' WHEN regexp_matches(path, '(?i)\\.(sql|prisma)$') THEN 'data'
     WHEN dep OR NOT regexp_matches(name, '{kinds.DOC_NAME}') AND NOT regexp_matches(path, '{kinds.DOC_DIR}') AND (regexp_matches(path, '{kinds.CONFIG_DIR}') OR regexp_matches(name, '{kinds.CONFIG_NAME}')) OR regexp_matches(path, '{kinds.INFRA_PATH}') THEN 'infrastructure'
     WHEN regexp_matches(path, '{kinds.SERVER_PATH}') OR regexp_matches(stem, '{kinds.SERVER_STEM}') THEN 'server' WHEN regexp_matches(path, '{kinds.COMPONENT_FILE}') THEN 'ui'
