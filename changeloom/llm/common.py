@@ -45,6 +45,24 @@ def row_key() -> Column:
     return F.struct(half_key(1).alias("a"), half_key(2).alias("b"))
 
 
+#: Keys of rows up to this many (about 40 bytes each) are broadcast to find the rows, more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs without the rows of groups that do not stay. groups: row_key, kept, for rows that share their group with others.
+
+    Rows of no group stay where they are; of a group's rows only those that stay are shuffled, repeated ones once.
+    """
+    keys = stage(groups.groupBy(F.col("row_key").alias("_key")).agg(F.bool_or("kept").alias("_kept")), "row-keys")
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    side = lambda df: F.broadcast(df) if few else df
+    keyed = docs.withColumn("_key", row_key())
+    alone = keyed.join(side(keys.select("_key")), "_key", "left_anti")
+    chosen = keyed.join(side(keys.where("_kept").select("_key")), "_key", "left_semi").dropDuplicates(["_key"])
+    return alone.unionByName(chosen)
+
+
 def shielded(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs with all other columns under names that clash with nothing, and what gives them back their own."""
     names = {c: c if c in needed else f"__other{i}" for i, c in enumerate(docs.columns)}

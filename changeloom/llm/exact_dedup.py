@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.checkpoints import new_path
-from changeloom.llm.common import ROW_KEY, by_chunk, discard, row_key, shielded, stage
+from changeloom.llm.common import ROW_KEY, by_chunk, discard, one_of_each, row_key, shielded, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RUN_SCHEMA = "digest binary, ident long, tag long, n long"
@@ -283,5 +283,4 @@ def find_copies(docs: DataFrame, *, keep: str = "last", digest_bytes: int = 16,
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows that find_copies does not keep; all columns stay."""
     mine, restore = shielded(docs, ("doc_id", "text"))
-    kept = find_copies(mine, **options).where("kept").select(F.col("row_key").alias("_key"))
-    return restore(mine.withColumn("_key", row_key()).join(kept, "_key", "left_semi").dropDuplicates(["_key"]))
+    return restore(one_of_each(mine, find_copies(mine, **options).where("group_size > 1").select("row_key", "kept")))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import ROW_KEY, by_chunk, row_key, shielded, stage
+from changeloom.llm.common import ROW_KEY, by_chunk, one_of_each, row_key, shielded, stage
 
 WORD = re.compile(r"\w+")
 STEP = 32
@@ -359,8 +359,5 @@ def jaccard_join(
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class of near copies; all columns stay."""
     docs, restore = shielded(docs, ("doc_id", "text"))
-    kept = jaccard_join(docs, **options).where("kept").groupBy("row_key").agg(F.count("*").alias("_n")).withColumnRenamed("row_key", "_key")
-    mine = docs.withColumn("_key", row_key()).join(kept, "_key")
-    # Repeated rows of a text without words are all kept; other repeats give one row.
-    once = mine.where(F.col("_n") == 1).dropDuplicates(["_key"])
-    return restore(once.unionByName(mine.where(F.col("_n") > 1)))
+    # Rows without words are classes of their own, so all of them stay.
+    return restore(one_of_each(docs, jaccard_join(docs, **options).where("class_size > 1").select("row_key", "kept")))

@@ -90,6 +90,13 @@ def test_shuffled_joins_agree_with_broadcast_ones(small, monkeypatch):
     assert rows() == want
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_one_row_of_each_text_by_either_join(make_docs, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_KEYS", most)
+    out = exact_dedup.drop_copies(make_docs(ROWS))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == sorted((i is None, i or 0) for i in [2, 3, 5, 6, 7, 9, None, -2])
+
+
 def test_rows_that_share_half_of_their_key(make_docs, monkeypatch):
     """All rows collide in one 64-bit hash: no document is lost or swapped."""
     half = common.half_key
