@@ -28,11 +28,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.checkpoints import new_path
 from changeloom.llm.common import ROW_KEY, by_chunk, discard, one_of_each, row_key, shielded, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
