@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from changeloom.functions import kinds, names
 from changeloom.plans.registry import query, table
-from changeloom.plans.standins import FILES, longs, sql, told
+from changeloom.plans.standins import FILES, sql, told
 
 @query(f"""
 WITH f AS ({told(FILES)}), b AS (SELECT id, path, regexp_extract(path, '([^/]*)$', 1) AS name, lower(regexp_extract(path, '([^/]*)$', 1)) AS low FROM f),
