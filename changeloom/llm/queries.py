@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import chat, exact_dedup, jaccard_join, media, mixing, quality, secrets, sentencepiece_codec, substring_dedup, token_counts
+from changeloom.llm import chat, exact_dedup, hard_negatives, jaccard_join, media, mixing, multi_index, quality, secrets, sentencepiece_codec, spelling, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken", "source", "first_shard")
 
 
+def op11_hard_negatives_gnat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_nearest_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.corpus_words(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_structure": op1_secret_structure,
     "op2_exact_dedup_lsm": op2_exact_dedup_lsm,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_media_columns": op9_media_columns,
     "op10_mix_sources": op10_mix_sources,
+    "op11_hard_negatives_gnat": op11_hard_negatives_gnat,
+    "op12_nearest_multi_index": op12_nearest_multi_index,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -156,5 +171,50 @@ WITH RECURSIVE words AS (
     SELECT x AS doc_id, count(*) AS n_links, count(DISTINCT CASE WHEN other THEN set_id END) AS n_text_links FROM links GROUP BY x
 )
 SELECT c.doc_id, class_id, class_size, coalesce(n_links, 0) AS n_links, coalesce(n_text_links, 0) AS n_text_links, c.doc_id = class_id AS kept FROM classes c LEFT JOIN degrees d ON c.doc_id = d.doc_id
+""",
+    "op11_hard_negatives_gnat": """
+WITH fit AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), rows AS (
+    SELECT vec_id, label, vec FROM fit QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, vec) = 1
+), scored AS (
+    SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id, CAST(list_inner_product(a.vec, r.vec) AS BIGINT) AS score
+    FROM rows a JOIN rows r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS "rank", n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER w <= 10
+""",
+    "op13_spelling_variants": """
+WITH RECURSIVE tbl AS (
+    SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+), runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]{7,}')) AS run FROM documents
+), counted AS (
+    SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run
+), bytes AS (
+    SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, unicode(c) - 64] END)) AS b FROM counted
+), hashed AS (
+    SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, tbl
+), words AS (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2
+), cut AS (
+    SELECT DISTINCT word, n, length(word) AS l, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM words)
+), near AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, max(m) AS top, arg_min(other, struct_pack(a := -m, b := other)) AS form FROM near GROUP BY word
+), found AS (
+    SELECT w.word, CASE WHEN top >= 10 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * n THEN top END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word
+), chain AS (
+    SELECT word, word AS root, form FROM found UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN found f ON c.form = f.word
+)
+SELECT f.word, f.form, c.root, n, n_near, form_n FROM found f JOIN chain c ON f.word = c.word WHERE c.form IS NULL
 """,
 }
