@@ -5,10 +5,15 @@ and capitals) and hex (runs of lower-case hexadecimal). Confirmed kinds decode a
 before it is reported:
 
 - pem: a PEM block whose body is the encoding of a private key;
-- der: a base64 or hexadecimal run that decodes to a private key in DER, all nested lengths closing exactly;
-- ssh: a base64 run that decodes to an OpenSSH private key, its length-prefixed fields closing exactly;
+- der: base64 or hexadecimal that decodes to a private key in DER, all nested lengths closing exactly;
+- ssh: base64 that decodes to an OpenSSH private key, its length-prefixed fields closing exactly;
 - jwt: a signed token whose header and payload are JSON objects and whose signature fits the algorithm.
 
+Keys and tokens may follow other letters of their alphabet (a path, a prefix such as `tok_`, `0x`): a key's own
+header says where it ends, so only starts whose end is the end of a line or of the run are decoded. Base64 may be
+wrapped in lines without a PEM header. Escaped line ends and slashes, as in JSON, are read as what they
+stand for, and spans are those of the text as it is.
+
 Public keys and certificates parse as well, but are not secrets and are not reported.
 
 Spans are code points, the end exclusive, as kind:start:end. Edge cases. Null text: as empty. Repeated rows:
@@ -24,7 +29,7 @@ import json
 import re
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -40,14 +45,25 @@ NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: A PEM block is a BEGIN, characters of its body only, and the next END of the same label.
 PEM_BEGIN, PEM_END = (re.compile(rf"(?=-----{word} ([A-Z0-9 ]{{3,40}})-----{after})") for word, after in (("BEGIN", r"\s"), ("END", "")))
 NOT_PEM_BODY = re.compile(r"[^A-Za-z0-9+/=\s:,.-]+")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_ONLY = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
+#: Three base64url parts. A header is an object: these are the letters of a brace and a quote or blank behind it.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}+(?=\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*))")
+HEADER = re.compile(r"(?=e(?:y[A-DI-L]|w[k-r0-3]))")
+#: Lines of one run of base64 each, the first long; the last may be padded.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{2,})*={0,2}")
+WRAP = re.compile(r"[ \t]*\r?\n[ \t]*")
+#: How keys start in base64: a DER sequence with a length of one to five bytes, an OpenSSH key, a PEM block encoded once more.
+KEY_START = re.compile(r"(?=M(?:[A-H]|I[E-T])|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi)")
+HEX_RUN, HEX_START = re.compile(r"[0-9a-f]{40,}|[0-9A-F]{40,}"), re.compile(r"(?=30)")
+#: Escaped line ends and slashes, escaped once or more often, as in JSON.
+ESCAPE = re.compile(r"\\+([nr/])")
 
 #: Bytes to x where they can be part of a run, to find long runs with one search.
 HEX_MAP = bytes(0x78 if c in b"0123456789abcdef" else 0x20 for c in range(256))
 RUN_MAP = bytes(0x78 if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-" else 0x20 for c in range(256))
 
+#: What base64 of `{"`, `{ ` and `{` before a line end or tab starts with.
+HEADERS = tuple(f"e{a}{b}".encode() for a, bs in (("y", "ABCDIJKL"), ("w", "klmnopqr0123")) for b in bs)
+
 #: Signature bytes by JWT algorithm; RSA signatures are as long as the key (fixed values of the standard).
 SIGNATURE = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EDDSA": 64}
 
@@ -98,11 +114,11 @@ def is_private_der(data: bytes, depth: int = 0) -> bool:
     return False
 
 
-def is_private_ssh(data: bytes) -> bool:
-    """Whether data is an OpenSSH private key: cipher, KDF, options, the public keys, then the private part."""
+def ssh_end(data: bytes) -> int | None:
+    """Where an OpenSSH private key at the start of data ends: cipher, KDF, options, the public keys, then the private part."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return None
     at, fields = len(magic), []
 
     def take() -> bool:
@@ -115,9 +131,23 @@ def is_private_ssh(data: bytes) -> bool:
         return True
 
     if not (take() and take() and take()) or at + 4 > len(data):
-        return False
+        return None
     keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-    return 1 <= keys <= 16 and all(take() for _ in range(keys + 1)) and at == len(data) and len(fields[-1]) % 8 == 0
+    return at if 1 <= keys <= 16 and all(take() for _ in range(keys + 1)) and len(fields[-1]) % 8 == 0 else None
+
+
+def is_private_ssh(data: bytes) -> bool:
+    return ssh_end(data) == len(data)
+
+
+def der_size(head: bytes) -> int | None:
+    """The length of the DER sequence that starts with head, by its first bytes; None if none starts there."""
+    if len(head) < 7 or head[0] != 0x30:
+        return None
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 4 or head[1] == 0x80 or head[2 + n] not in (0x02, 0x30):  # a number or a sequence comes first
+        return None
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
 
 
 def decoded(run: str) -> bytes | None:
@@ -196,29 +226,95 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def unescaped(text: str) -> tuple[str, Callable[[int], int]]:
+    """The text with escaped line ends and slashes as themselves, and what maps its offsets back."""
+    found = list(ESCAPE.finditer(text))
+    if not found:
+        return text, lambda at: at
+    plain = ESCAPE.sub(lambda m: {"n": "\n", "r": "\r", "/": "/"}[m[1]], text)
+    lost = [0, *accumulate(m.end() - m.start() - 1 for m in found)]
+    # In the plain text the k-th escape is one character at its start less what earlier ones have lost.
+    places = [m.start() - x for m, x in zip(found, lost)]
+    return plain, lambda at: at + lost[bisect_left(places, at)]
+
+
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the signed tokens; what stands before the header in its part is left out."""
+    at = 0
+    for m in TOKEN.finditer(text):
+        for h in HEADER.finditer(text, max(at, m.start()), m.end()):
+            # The first bytes tell what is no JSON, so few headers are decoded whole.
+            if (head := decoded(text[h.start() : h.start() + 12])) and head.isascii() and re.fullmatch(rb"[\s\x20-\x7e]+", head) and m.end() - h.start() >= 10:
+                token = f"{text[h.start() : m.end()]}.{m[1]}.{m[2]}"
+                if is_signed_token(token):
+                    at = h.start() + len(token)
+                    yield h.start(), at
+                    break
+
+
+def keys(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of the keys in base64 and hexadecimal, wherever in their run they start; they end where a line or the run ends."""
+    for m in WRAPPED.finditer(text):
+        body = m[0].rstrip("=")
+        wraps = [(w.start(), w.end()) for w in WRAP.finditer(body)]
+        joined_body = WRAP.sub("", body) if wraps else body
+        # Ends of lines in the joined text, and the offset of each line's first character.
+        skipped = [0, *accumulate(b - a for a, b in wraps)]
+        ends = [*(a - x for (a, _), x in zip(wraps, skipped)), len(joined_body)]
+        place = lambda at, inner: m.start() + at + skipped[bisect_left(ends, at + (not inner))]  # noqa: B023, E731
+        after = 0
+        for k in KEY_START.finditer(joined_body):
+            start = k.start()
+            if start < after:
+                continue
+            if joined_body[start] == "M":
+                size = der_size(decoded(joined_body[start : start + 12]) or b"")
+                until = None if size is None else start + -(-4 * size // 3)
+                if until is None or until > len(joined_body) or ends[bisect_left(ends, until)] != until:
+                    continue
+            elif joined_body[start] == "b":
+                whole = decoded(joined_body[start : start + (len(joined_body) - start) // 4 * 4]) or b""
+                whole += decoded(joined_body[start + len(whole) // 3 * 4 :]) or b""
+                size = ssh_end(whole)
+                until = None if size is None else start + -(-4 * size // 3)
+                if until is None or ends[bisect_left(ends, until)] != until:
+                    continue
+            else:
+                until = len(joined_body)
+            kind = key_kind(decoded(joined_body[start:until]))
+            if kind:
+                end = place(until, True)
+                end += len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
+                yield place(start, False), end, kind
+                after = until
+    for m in HEX_RUN.finditer(text):
+        for k in HEX_START.finditer(text, m.start(), m.end()):
+            size = der_size(bytes.fromhex(text[k.start() : min(m.end(), k.start() + 14)])) if m.end() - k.start() >= 14 else None
+            if size is not None and k.start() + 2 * size == m.end() and key_kind(bytes.fromhex(text[k.start() : m.end()])):
+                yield k.start(), m.end(), "der"
+                break
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the confirmed kinds: what lies in a PEM block or a token is reported once."""
-    found = [(start, KINDS.index("pem"), end) for start, end, label, body in pem_blocks(text) if pem_is_private(label, body)]
-    found += [(m.start(), KINDS.index("jwt"), m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
-    taken = sorted((a, b) for a, _, b in found)
+    """(start, kind, end) of the confirmed kinds: what lies in a PEM block, of whatever label, or in a token is no key beside it."""
+    text, back = unescaped(text)
+    blocks = list(pem_blocks(text))
+    found = [(start, KINDS.index("pem"), end) for start, end, label, body in blocks if pem_is_private(label, body)]
+    found += [(start, KINDS.index("jwt"), end) for start, end in tokens(text)]
+    taken = sorted({(a, b) for a, b, _, _ in blocks} | {(a, b) for a, _, b in found})
     reach = list(accumulate((b for _, b in taken), max))
-    for m in RUN.finditer(text):
-        before = bisect_left(taken, (m.end(),))
-        if before and reach[before - 1] > m.start():
-            continue
-        run = m[0]
-        kind = key_kind(bytes.fromhex(run)) if HEX_ONLY.match(run) and len(run) % 2 == 0 else None
-        kind = kind or key_kind(decoded(run))
-        if kind:
-            found.append((m.start(), KINDS.index(kind), m.end()))
-    return sorted(found)
+    for start, end, kind in sorted(keys(text)):
+        before = bisect_left(taken, (end,))
+        if not (before and reach[before - 1] > start):
+            found.append((start, KINDS.index(kind), end))
+    return sorted((back(start), kind, back(end)) for start, kind, end in found)
 
 
 def spans_of(raw: bytes) -> tuple[list, list]:
     """Base and confirmed spans of a UTF-8 text. Cheap searches tell most texts free of candidates."""
     lower = raw.lower()
     names, access, hexes = any(n in lower for n in NAMES), b"AKIA" in raw, b"x" * 32 in raw.translate(HEX_MAP)
-    candidates = b"eyJ" in raw or b"-----BEGIN " in raw or b"x" * 40 in raw.translate(RUN_MAP)
+    candidates = b"-----BEGIN " in raw or b"x" * 40 in raw.translate(RUN_MAP) or any(n in raw for n in HEADERS)
     if not (names or access or hexes or candidates):
         return [], []
     text = raw.decode("utf-8", "replace")

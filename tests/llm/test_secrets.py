@@ -72,6 +72,43 @@ def test_scan(make_docs):
     assert secrets.scan_secrets(make_docs([])).count() == 0
 
 
+def tlv(tag, body):
+    size = len(body)
+    return bytes([tag]) + (bytes([size]) if size < 128 else b"\x81" + bytes([size]) if size < 256 else b"\x82" + size.to_bytes(2, "big")) + body
+
+
+def test_keys_in_the_forms_that_files_hold():
+    """Escaped, prefixed, wrapped and spaced forms, each with its offsets in the text as it is."""
+    import base64
+    import json
+    import textwrap
+
+    der = tlv(0x30, tlv(2, b"\0") + b"".join(tlv(2, bytes([k + 1]) * n) for k, n in enumerate((257, 3, 256, 129, 129, 128, 128, 128))))
+    public = tlv(0x30, tlv(2, b"\1" * 257) + tlv(2, b"\1\0\1"))
+    plain = base64.b64encode(der).decode()
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + textwrap.fill(plain, 64) + "\n-----END RSA PRIVATE KEY-----"
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = base64.b64encode(b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 51) + field(b"s" * 136)).decode()
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    token = lambda head: f"{part(head)}.{part(b'{\"sub\": 1}')}.{part(bytes(range(32)))}"
+    spaced, lined = token(b'{ "alg": "HS256"}'), token(b'{\n"alg": "HS256"}')
+    escaped = json.dumps(pem)[1:-1]
+    cases = {
+        "pem": [(pem, "a\n{}\nb"), (escaped, 'é {{"private_key": "{}\\n", "x": 1}}'), (json.dumps(escaped)[1:-1], '"{}"'), (pem.replace("\n", "\r\n"), "{}\r\n")],
+        "der": [(plain, "path/key/{}"), (plain, "k_{} é"), (plain, "key={}"), (textwrap.fill(plain, 64), "see:\n{}\nThe end\n"), (textwrap.fill(plain, 76), "é\n    {}"), (der.hex(), "0x{}"), (der.hex().upper(), "ab {}."), (der.hex(), "abc{}"), (json.dumps(textwrap.fill(plain, 64))[1:-1], '"{}"'), (plain.replace("/", "\\/"), '"{}"')],
+        "ssh": [(ssh, "x/{}"), (textwrap.fill(ssh, 70), "{}\nab cd")],
+        "jwt": [(spaced, "Bearer {}"), (lined, "tok_{}!"), (token(b'{"alg":"HS256","typ":"JWT"}'), "www.example-host.{}"), (spaced, "{}")],
+    }
+    for kind, forms in cases.items():
+        for secret, around in forms:
+            text = around.format(secret)
+            want = [(text.index(secret), secrets.KINDS.index(kind), text.index(secret) + len(secret))]
+            assert secrets.confirmed_spans(text) == want, (kind, around)
+            assert secrets.spans_of(text.encode())[1] == want, (kind, around)
+    for harmless in (base64.b64encode(public).decode(), f"k_{base64.b64encode(public).decode()}", "0x" + public.hex(), plain[:-8], "M" + plain[4:], f"{part(b'[1]')}.{part(b'{}')}.{part(bytes(32))}", textwrap.fill(plain, 64).replace("A", "B", 40)):
+        assert secrets.confirmed_spans(harmless) == [], harmless[:40]
+
+
 def test_cheap_searches_lose_nothing(small):
     found = {r.doc_id: r for r in secrets.scan_secrets(small).collect()}
     for row in small.collect():
@@ -94,7 +131,7 @@ def test_pem_blocks_are_those_of_the_plain_pattern():
 def test_long_texts_of_markers_take_linear_time():
     import time
 
-    for text in ("-----BEGIN PRIVATE KEY-----\n" + "some prose of words, and so on. " * 3) * 40_000, "-----BEGIN ABC-----\n" * 250_000, (JWT + " " + "B" * 50 + " ") * 20_000:
+    for text in ("-----BEGIN PRIVATE KEY-----\n" + "some prose of words, and so on. " * 3) * 40_000, "-----BEGIN ABC-----\n" * 250_000, (JWT + " " + "B" * 50 + " ") * 20_000, "MIIEpAIBAAKC" * 400_000, "eyJ" * 1_500_000 + ".aa.bb", "a." * 2_000_000, ("M" * 64 + "\\n") * 70_000, "30820122" * 500_000:
         start = time.process_time()
         secrets.spans_of(text.encode())
         assert time.process_time() - start < 5, len(text)  # seconds for some 5 MB; quadratic ones are minutes
