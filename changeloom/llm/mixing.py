@@ -25,9 +25,6 @@ from changeloom.llm.common import shielded, stage
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources up to this many are joined by broadcast (about 100 bytes each), more by a shuffle.
 BROADCAST_SOURCES = 10_000
-#: Up to this many slots a half's share is drawn slot by slot, beyond by the normal curve that binomials then follow.
-EXACT_DRAWS = 4096
-
 
 @dataclass(frozen=True)
 class Mix:
@@ -75,9 +72,25 @@ def permuted(df: DataFrame, index: str, size: str, key: list[Column], rounds: in
     return df.withColumn(index, F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), F.col(index), one))
 
 
-def uniform(*key: str) -> str:
-    """SQL of a number in [0, 1) that the key determines."""
-    return f"(shiftrightunsigned(xxhash64({', '.join(key)}), 11) / 9007199254740992D)"
+def coins(n: str, seed: int) -> str:
+    """SQL of how many of n fair coins show heads: the ones among so many bits of hashes, in runs so that no array grows with n."""
+    mask = f"IF(w < {n} div 64, -1L, IF({n} % 64 = 0, 0L, shiftrightunsigned(-1L, cast(64 - {n} % 64 AS int))))"
+    one = f"bit_count(xxhash64({seed}, rank, v.lo, v.hi, t, w) & {mask})"
+    run = f"aggregate(sequence(i * 65536, least(i * 65536 + 65535, {n} div 64)), 0L, (b, w) -> b + {one})"
+    return f"aggregate(sequence(0L, {n} div 64 div 65536), 0L, (a, i) -> a + {run})"
+
+
+def binomial(chance: tuple[str, str], seed: int) -> str:
+    """SQL of a binomial draw of v.n at the chance of a ratio of longs, by the same law at any size.
+
+    Each trial is a uniform number in binary, compared with the chance bit by bit: of those that agree so far, half
+    agree in the next bit, and the others are decided. So a draw takes about 2 v.n coins, 64 from a hash; what still
+    agrees after 64 bits, one trial in 2**64, counts as a failure.
+    """
+    part, whole = chance
+    hit = f"named_struct('k', m.k + c, 'rest', m.rest - c, 'r', 2 * m.r - ({whole}))"
+    step = f"IF(m.rest = 0 OR m.r = 0, m, element_at(transform(array({coins('m.rest', seed)}), c -> IF(2 * m.r >= ({whole}), {hit}, named_struct('k', m.k, 'rest', c, 'r', 2 * m.r))), 1))"
+    return f"aggregate(sequence(1, 64), named_struct('k', 0L, 'rest', v.n, 'r', {part}), (m, t) -> {step}, m -> m.k)"
 
 
 def halved(levels: int, seed: int) -> str:
@@ -86,13 +99,9 @@ def halved(levels: int, seed: int) -> str:
     Of the n slots of the shards from lo to hi, a binomial draw falls to those below the middle; `at` is the
     first of the slots. Shards without slots are left out, and ranges of one shard are left alone.
     """
-    key, chance = (str(seed), "rank", "v.lo", "v.hi"), "((v.lo + v.hi) div 2 - v.lo) / (v.hi - v.lo)"
-    drawn = f"aggregate(sequence(1L, v.n), 0L, (a, i) -> a + IF({uniform(*key, 'i')} < {chance}, 1L, 0L))"
-    wave = f"sqrt(-2 * ln(1 - {uniform(*key, '0L')})) * cos(2 * pi() * {uniform(*key, '-1L')})"
-    curve = f"cast(round(v.n * {chance} + {wave} * sqrt(v.n * {chance} * (1 - {chance}))) AS bigint)"
-    left = f"IF(v.n <= {EXACT_DRAWS}, {drawn}, least(v.n, greatest(0L, {curve})))"
+    drawn = binomial(("(v.lo + v.hi) div 2 - v.lo", "v.hi - v.lo"), seed)
     pair = "array(named_struct('lo', v.lo, 'hi', (v.lo + v.hi) div 2, 'at', v.at, 'n', k), named_struct('lo', (v.lo + v.hi) div 2, 'hi', v.hi, 'at', v.at + k, 'n', v.n - k))"
-    split = f"IF(v.hi - v.lo <= 1, array(v), flatten(transform(array({left}), k -> filter({pair}, x -> x.n > 0))))"
+    split = f"IF(v.hi - v.lo <= 1, array(v), flatten(transform(array({drawn}), k -> filter({pair}, x -> x.n > 0))))"
     return f"aggregate(sequence(1, {levels}), nodes, (a, i) -> flatten(transform(a, v -> {split})))" if levels else "nodes"
 
 
@@ -219,11 +228,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         .groupBy("tag")
         .agg(F.first("epochs").alias("_copies"), F.array_sort(F.collect_list(F.when(more > 0, F.struct("word", more.alias("n"))))).alias("_parts"))
     )
-    nth = Window.partitionBy("doc_id", "text_hash").orderBy("tag")
-    known = mix.placed.join(per_doc, "tag").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.row_number().over(nth).alias("_n"), "size", "_copies", "_parts")
+    # Rows of the same source, id and text are told apart by number; it does not matter which of them is which.
+    nth = Window.partitionBy("rank", "doc_id", "text_hash").orderBy("tag")
+    ranks = mix.sources.select("rank", F.col("source").alias("_source"))
+    taken = mix.placed.join(per_doc, "tag").join(F.broadcast(ranks) if mix.broadcast else ranks, "rank")
+    known = taken.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "_source", F.row_number().over(nth).alias("_n"), "size", "_copies", "_parts")
     known = known.withColumn("_all", F.expr("aggregate(_parts, 0L, (a, p) -> a + p.n) = size")).drop("size")
-    mine = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(F.lit(0))))
-    joined = mine.join(known, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")) & (F.col("_nth") == F.col("_n")))
+    mine = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_nth", F.row_number().over(Window.partitionBy("source", "doc_id", "_hash").orderBy(F.lit(0))))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_h")) & (F.col("_nth") == F.col("_n"))
+    joined = mine.join(known, same)
     words = F.when(~F.col("_all") & (F.size("_parts") > 0), F.regexp_extract_all("text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1)))
     rest = F.regexp_replace(F.expr("array_join(flatten(transform(_parts, m -> slice(_words, cast(m.word + 1 as int), cast(m.n as int)))), '')"), r"^[\x20\x09-\x0D]+", "")
     copies = F.expr("array_repeat(text, cast(_copies + IF(_all, 1, 0) as int))")

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -65,7 +66,7 @@ def test_blocks_and_shards(small):
 
 @pytest.mark.parametrize(("shards", "n"), [(7, 3000), (64, 200), (5, 200_000)])
 def test_counts_by_shard_are_multinomial(spark, shards, n):
-    """400 sources drawn alike: mean, variance and sum of the counts of each shard, exact draws and the normal curve."""
+    """400 sources drawn alike: mean, variance and sum of the counts of each shard, for few slots and for many."""
     quotas = spark.range(400).select(F.col("id").alias("rank"), F.lit(n).cast("long").alias("n_slots"))
     table = defaultdict(dict)
     for r in mixing.shard_counts(quotas, shards, 2, 7).collect():
@@ -82,6 +83,31 @@ def test_counts_by_shard_are_multinomial(spark, shards, n):
         assert abs(mean - n * p) < 5 * (n * p * (1 - p) / 400) ** 0.5 and 0.6 < variance / (n * p * (1 - p)) < 1.5
 
 
+def test_the_draw_is_the_count_of_the_bits_of_its_hashes(spark):
+    """Beyond one run of hashes as well: the left half's count, from the hashes one by one."""
+    for n in (1, 63, 64, 65, 1000, 64 * 65536 + 77):
+        quota = spark.createDataFrame([(5, n)], "rank long, n_slots long")
+        left = {r.shard: r.n for r in mixing.shard_counts(quota, 2, 1, 9).collect()}.get(0, 0)
+        w = spark.range(n // 64 + 1).select(F.xxhash64(F.lit(9), F.lit(5).cast("long"), F.lit(0).cast("long"), F.lit(2).cast("long"), F.lit(1), "id").alias("h"), "id")
+        assert left == sum((r.h & ((1 << (64 if r.id < n // 64 else n % 64)) - 1)).bit_count() for r in w.collect())
+
+
+def test_repeats_over_sources_stay_in_their_source(make_docs):
+    """Rows that share id and text over a capped and an uncapped source: each source's words are those taken of it."""
+    rng = random.Random(4)
+    text = lambda k: " ".join(rng.choice("abcdefgh") * 3 for _ in range(k))
+    shared = [(i, text(400)) for i in range(8)]
+    rows = [(i, t, "en", s, len(t)) for s in ("a", "b", None) for i, t in shared] + [(100 + i, text(400), "en", "b", 1) for i in range(44)]
+    rows += [(0, shared[0][1], "en", "a", 1)] * 2
+    docs = make_docs(rows)
+    taken, got = Counter(), Counter()
+    for r in mixing.mix_sources(docs, block_words=64).documents.collect():
+        taken[r.source] += r.taken
+    for r in mixing.mixed_documents(docs, block_words=64).collect():
+        got[r.source] += len(r.text.split())
+    assert got == taken and len(taken) == 3
+
+
 def test_taken_against_plain_python(small):
     """Streams, blocks and slots in plain Python, from the sources' quotas, the draw and where documents lie."""
     size = 16
