@@ -116,7 +116,7 @@ WITH cut AS (
 ), runs AS (
     SELECT a.doc_id, a.i AS a, b.i AS b FROM atoms a ASOF JOIN atoms b ON a.doc_id = b.doc_id AND a.upto - a.n_words + 16 <= b.upto
     UNION SELECT b.doc_id, a.i, b.i FROM atoms b ASOF JOIN (SELECT doc_id, i, upto - n_words AS ahead FROM atoms) a ON a.doc_id = b.doc_id AND b.upto - 16 >= a.ahead
-    UNION SELECT doc_id, min(i), max(i) FROM atoms GROUP BY doc_id, line HAVING sum(n_words) >= 16
+    UNION SELECT doc_id, min(i), max(i) FROM atoms GROUP BY doc_id, line HAVING sum(n_words) >= 8
 ), lists AS (
     SELECT doc_id, list(plain ORDER BY i) AS plains FROM atoms GROUP BY doc_id
 ), keyed AS (

@@ -1,6 +1,6 @@
 """Substring deduplication by line hashing: the earliest occurrence of a repeated unit stays, the rest go.
 
-Units are the lines of a text (unit="paragraph": what blank lines part) of at least `min_words` words, and
+Units are the lines of a text (unit="paragraph": what blank lines part) of at least `line_words` words, and
 within them and across them runs of sentences, so that a passage set into the middle of a line is found as
 well: from each sentence on, and up to each, the shortest run of `min_words` words or more. Every repeated
 line, and every run of whole sentences of that many words that is found twice, is covered by such units,
@@ -47,7 +47,7 @@ def units_of(text: str, unit: str, min_words: int) -> list[tuple[int, int, int,
     return found
 
 
-def passages_of(text: str, unit: str, min_words: int) -> list[tuple[int, int, int, str]]:
+def passages_of(text: str, unit: str, min_words: int, line_words: int) -> list[tuple[int, int, int, str]]:
     """As units_of, the long enough lines or paragraphs and the shortest runs of sentences that are long enough."""
     atoms = units_of(text, "sentence", 1)
     sums = [0, *accumulate(atom[2] for atom in atoms)]
@@ -61,13 +61,13 @@ def passages_of(text: str, unit: str, min_words: int) -> list[tuple[int, int, in
         if first >= 0:
             runs.add((first, last))
     starts = [atom[0] for atom in atoms]
-    for start, end, _, _ in units_of(text, unit, min_words):
+    for start, end, _, _ in units_of(text, unit, line_words):
         runs.add((bisect_left(starts, start), bisect_left(starts, end) - 1))
     return [(atoms[a][0], atoms[b][1], sums[b + 1] - sums[a], "\n".join(x[3] for x in atoms[a : b + 1])) for a, b in sorted(runs)]
 
 
-def _units(unit: str, min_words: int):
-    cut = (lambda text: units_of(text, unit, min_words)) if unit == "sentence" else (lambda text: passages_of(text, unit, min_words))
+def _units(unit: str, min_words: int, line_words: int):
+    cut = (lambda text: units_of(text, unit, min_words)) if unit == "sentence" else (lambda text: passages_of(text, unit, min_words, line_words))
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -82,9 +82,9 @@ def _units(unit: str, min_words: int):
     return by_chunk(make)
 
 
-def _repeats(rows: DataFrame, unit: str, min_words: int) -> DataFrame:
+def _repeats(rows: DataFrame, unit: str, min_words: int, line_words: int) -> DataFrame:
     """As find_repeats, of rows (doc_id, tag, text)."""
-    units = stage(rows.mapInArrow(_units(unit, min_words), UNIT_SCHEMA), "units")
+    units = stage(rows.mapInArrow(_units(unit, min_words, line_words), UNIT_SCHEMA), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "tag", "end")
     groups = stage(units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1"), "unit-groups")
     # Digests with a thousandth of all units or more are a thousand at most, and are broadcast.
@@ -96,12 +96,12 @@ def _repeats(rows: DataFrame, unit: str, min_words: int) -> DataFrame:
     return found.select("doc_id", "tag", start.alias("start"), "end", "n_words", "first_doc_id", "first_start")
 
 
-def find_repeats(docs: DataFrame, *, unit: str = "line", min_words: int = 16) -> DataFrame:
+def find_repeats(docs: DataFrame, *, unit: str = "line", min_words: int = 16, line_words: int = 8) -> DataFrame:
     """docs (doc_id, text) to the units that go: doc_id, tag, start, end, n_words, first_doc_id, first_start.
 
     tag tells rows of the same doc_id and text apart. n_words counts the whole unit.
     """
-    return _repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("tag"), "text"), unit, min_words)
+    return _repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("tag"), "text"), unit, min_words, line_words)
 
 
 def without(text: str | None, spans: list[dict] | None) -> str | None:
@@ -125,13 +125,13 @@ def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(list(columns.values()), names=list(columns))
 
 
-def strip_repeats(docs: DataFrame, *, unit: str = "line", min_words: int = 16) -> DataFrame:
+def strip_repeats(docs: DataFrame, *, unit: str = "line", min_words: int = 16, line_words: int = 8) -> DataFrame:
     """docs without the units that find_repeats names; n_chars, if there, follows the text. All rows stay.
 
     The rows are numbered in a table of the shared folder first, so repeated rows are told apart.
     """
     docs, restore = shielded(docs, ("doc_id", "text", "n_chars"))
     rows = stage(docs.withColumn("_tag", F.monotonically_increasing_id()), "numbered")
-    found = _repeats(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_tag").alias("tag"), "text"), unit, min_words)
+    found = _repeats(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_tag").alias("tag"), "text"), unit, min_words, line_words)
     spans = found.groupBy(F.col("tag").alias("_tag")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     return restore(rows.join(spans, "_tag", "left").select(*docs.columns, "_spans").mapInArrow(_stripped, docs.schema))
