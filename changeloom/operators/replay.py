@@ -1,53 +1,155 @@
-"""Ordered replay of schema operations: the state of each database after its migrations.
+"""Ordered schema operations: what each did, and the state of each database after them, without a task per database.
 
-The fold is sequential within a database and parallel over databases; a group is the history of one
-database's statements, a few thousand rows.
+Operations: create_table, drop_table, rename_table (to), add_column, drop_column, rename_column (to), alter_type,
+set_not_null; others are left out. They go by (ord, seq), ties by operation and names. Names are compared as they are.
+
+What a name means changes with time, so names become lives first: a life starts where a thing is made or another is
+renamed to it, and ends where it is dropped, renamed or replaced. Whether a rename takes place depends on whether its source is
+alive, which may hang on earlier renames; all of them are assumed to and corrected in rounds, one for each
+link of the longest chain. Lives that a rename joins are one thing, found by pointer jumping. Tables are
+resolved in their database, then columns in their table, so work is spread over names, and attributes are
+grouped by column. No group of operations is held by one task but those of one name.
+
+An operation is clean if it applies. It is reflected if what it wants is there already (a table or column that
+it makes exists, one that it drops does not, a rename's source is gone and its target there), else a conflict.
+Reflected and conflicting ones change nothing. A rename to a name in use is clean and replaces what had it; one to
+the same name changes nothing.
+
+Edge cases. A null database is one of its own. Operations with a null table, or that lack a needed column or
+target, are conflicts. Repeated rows count each. No rows: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
-
-STATE_SCHEMA = "database string, table string, column string, type string, nullable boolean, conflicts long"
-
-
-def fold(ops: pd.DataFrame) -> pd.DataFrame:
-    """Operations in order to the columns that are there in the end, and how many operations did not fit."""
-    tables: dict[str, dict[str, tuple]] = {}
-    conflicts = 0
-    for o in ops.sort_values(["ord", "seq"], kind="stable").itertuples():
-        table = tables.get(o.table)
-        if o.op == "create_table":
-            conflicts += table is not None
-            tables.setdefault(o.table, {})
-        elif table is None:
-            conflicts += 1
-        elif o.op == "drop_table":
-            del tables[o.table]
-        elif o.op == "rename_table":
-            conflicts += o.to in tables
-            tables.setdefault(o.to, tables.pop(o.table))
-        elif o.op == "add_column":
-            conflicts += o.column in table
-            table.setdefault(o.column, (o.type, o.nullable))
-        elif o.column not in table:
-            conflicts += 1
-        elif o.op == "drop_column":
-            del table[o.column]
-        elif o.op == "rename_column":
-            conflicts += o.to in table
-            tables[o.table] = {(o.to if c == o.column else c): v for c, v in table.items()}
-        elif o.op == "alter_type":
-            table[o.column] = (o.type, table[o.column][1])
-        elif o.op == "set_not_null":
-            table[o.column] = (table[o.column][0], False)
-    database = ops["database"].iloc[0]
-    rows = [(database, t, c, kind, None if nullable is None or nullable != nullable else bool(nullable), conflicts) for t, columns in sorted(tables.items()) for c, (kind, nullable) in columns.items()]
-    return pd.DataFrame(rows, columns=["database", "table", "column", "type", "nullable", "conflicts"])
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from changeloom.checkpoints import cut
+
+#: Tables' lives up to this many are broadcast (about 200 bytes each), more are joined by a shuffle.
+BROADCAST_LIVES = 100_000
+TABLE_OPS, COLUMN_OPS = ("create_table", "drop_table", "rename_table"), ("add_column", "drop_column", "rename_column", "alter_type", "set_not_null")
+MAKES, ENDS, MOVES = ("create_table", "add_column"), ("drop_table", "drop_column"), ("rename_table", "rename_column")
+
+
+def numbered(ops: DataFrame) -> DataFrame:
+    """The known operations with pos, by which they are ordered and told apart."""
+    known = ops.select("database", "ord", "seq", "op", "table", "column", "to", "type", "nullable").where(F.col("op").isin(*TABLE_OPS, *COLUMN_OPS))
+    return cut(known.withColumn("pos", F.struct("ord", "seq", "op", "table", "column", "to", F.monotonically_increasing_id().alias("id"))), "operations")
+
+
+def lives(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """events (scope, pos, kind, name, to) to (status of each: pos, status) and the lives.
+
+    kind: make, end, move, or look, which changes nothing. Lives: scope, name, root, start, stop (null: to the end); root is the pos where the thing
+    was made, so lives of one thing share it.
+    """
+    sets = F.when(F.col("kind") == "make", True).when(F.col("kind") != "look", False)
+    own = events.select("scope", "pos", "kind", "name", F.lit(False).alias("arrives"), sets.alias("sets"))
+    arrive = events.where("kind = 'move'").select("scope", "pos", "kind", F.col("to").alias("name"), F.lit(True).alias("arrives"), F.lit(True).alias("sets"))
+    rows = own.unionByName(arrive)
+    before = Window.partitionBy("scope", "name").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+
+    def with_state(found: DataFrame, failed: DataFrame | None) -> DataFrame:
+        """found with `alive`: whether the name was in use before; moves in `failed` bring nothing."""
+        if failed is not None:
+            found = found.join(failed.select("pos", F.lit(True).alias("_failed")), "pos", "left").withColumn("sets", F.when(~(F.col("arrives") & F.coalesce("_failed", F.lit(False))), F.col("sets"))).drop("_failed")
+        return found.withColumn("alive", F.coalesce(F.last("sets", ignorenulls=True).over(before), F.lit(False)))
+
+    # Only names that something is moved to can hang on other moves.
+    moved = cut(rows.where("kind = 'move'").select("scope", "name").distinct(), "moved-names")
+    failed, n = None, -1
+    if moved.limit(1).count():
+        near = cut(rows.join(moved, ["scope", "name"], "left_semi"), "moves")
+        while True:
+            now = cut(with_state(near, failed).where("kind = 'move' AND NOT arrives AND NOT alive").select("pos"), "failed-moves")
+            gone = now.count() if failed is None else now.join(failed, "pos", "left_anti").count() + failed.join(now, "pos", "left_anti").count()
+            failed = now
+            if not gone:
+                break
+    seen = cut(with_state(rows, failed), "states")
+
+    source, target = seen.where("NOT arrives"), seen.where("arrives").select("pos", F.col("alive").alias("taken"))
+    joined = source.join(target, "pos", "left")
+    status = joined.select("pos", F.expr("CASE WHEN kind = 'make' THEN IF(alive, 'reflected', 'clean') WHEN kind = 'end' THEN IF(alive, 'clean', 'reflected') WHEN alive THEN 'clean' WHEN taken THEN 'reflected' ELSE 'conflict' END").alias("status"))
+    starts = "(kind = 'make' AND NOT arrives AND NOT alive OR arrives AND sets)"
+    stops = "(kind = 'end' AND alive OR kind = 'move' AND NOT arrives AND alive)"
+    onward = Window.partitionBy("scope", "name").orderBy("pos")
+    marks = seen.where(f"{starts} OR {stops}").withColumn("starts", F.expr(starts)).withColumn("stop", F.lead("pos").over(onward)).where("starts")
+    parts = cut(marks.select("scope", "name", F.col("pos").alias("start"), "stop"), "lives")
+    # A life that a move starts goes on from the one that it stops under the name it leaves.
+    moves = seen.where("kind = 'move' AND NOT arrives AND alive").select("scope", F.col("pos").alias("start"), "name")
+    links = moves.join(parts.select("scope", "name", F.col("stop").alias("start"), F.col("start").alias("back")), ["scope", "name", "start"]).select("start", "back")
+    roots = chased(parts.select("start").join(links, "start", "left").select("start", F.coalesce("back", "start").alias("root")))
+    return status, parts.join(roots, "start").select("scope", "name", "root", "start", "stop")
+
+
+def chased(known: DataFrame, child: str = "start", parent: str = "root") -> DataFrame:
+    """child, parent with the last parent of each chain; each round doubles the step. A last one is its own parent or has no row."""
+    known = cut(known.select(child, parent), "links")
+    while True:
+        onward = known.select(F.col(child).alias(parent), F.col(parent).alias("_onward"))
+        step = cut(known.join(onward, parent, "left").select(child, F.coalesce("_onward", parent).alias("_new"), parent), "links")
+        if not step.where(f"NOT (_new <=> {parent})").limit(1).count():
+            return step.select(child, parent)
+        known = step.select(child, F.col("_new").alias(parent))
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is small."""
+    return F.broadcast(df) if df.limit(BROADCAST_LIVES + 1).count() <= BROADCAST_LIVES else df
+
+
+def at_time(ops: DataFrame, alive: DataFrame, scope: str, name: str) -> DataFrame:
+    """ops with `life`, the root of what its name means at its pos; null if nothing has it then."""
+    spans = few(alive.select(F.col("scope").alias("_scope"), F.col("name").alias("_name"), F.col("root").alias("life"), "start", "stop"))
+    during = (F.col("start") < F.col("pos")) & (F.col("stop").isNull() | (F.col("stop") > F.col("pos")))
+    return ops.join(spans, F.col(scope).eqNullSafe(F.col("_scope")) & (F.col(name) == F.col("_name")) & during, "left").drop("_scope", "_name", "start", "stop")
+
+
+def events_of(ops: DataFrame, scope: Column, name: str) -> DataFrame:
+    kind = F.when(F.col("op").isin(*MAKES), "make").when(F.col("op").isin(*ENDS), "end").otherwise(F.when(F.col("to") == F.col(name), "look").otherwise("move"))
+    fit = F.col(name).isNotNull() & (~F.col("op").isin(*MOVES) | F.col("to").isNotNull())
+    return ops.where(fit).select(scope.alias("scope"), "pos", kind.alias("kind"), F.col(name).alias("name"), "to")
+
+
+def resolved(ops: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(operations with table_life and status, lives of tables, lives of columns, attribute operations with column_life)."""
+    ops = numbered(ops)
+    tables = ops.where(F.col("op").isin(*TABLE_OPS))
+    table_status, table_lives = lives(cut(events_of(tables, F.struct("database"), "table"), "table-events"))
+    table_lives = cut(table_lives, "table-lives")
+    placed = cut(at_time(ops.where(F.col("op").isin(*COLUMN_OPS)).withColumn("_scope_of", F.struct("database")), table_lives, "_scope_of", "table").withColumnRenamed("life", "table_life").drop("_scope_of"), "placed")
+    there = placed.where("table_life IS NOT NULL")
+    shaping = there.where(F.col("op").isin("add_column", "drop_column", "rename_column"))
+    column_status, column_lives = lives(cut(events_of(shaping, F.col("table_life"), "column"), "column-events"))
+    column_lives = cut(column_lives, "column-lives")
+    attributes = there.where(F.col("op").isin("alter_type", "set_not_null"))
+    attributes = cut(at_time(attributes, column_lives, "table_life", "column").withColumnRenamed("life", "column_life"), "attributes")
+    attribute_status = attributes.select("pos", F.when(F.col("column_life").isNull(), "conflict").otherwise("clean").alias("status"))
+    status = table_status.unionByName(column_status).unionByName(attribute_status)
+    told = ops.join(placed.select("pos", "table_life"), "pos", "left").join(status, "pos", "left")
+    return told.withColumn("status", F.coalesce("status", F.lit("conflict"))), table_lives, column_lives, attributes
+
+
+def checked(ops: DataFrame) -> DataFrame:
+    """ops (database, ord, seq, op, table, column, to, type, nullable) with status: clean, reflected or conflict."""
+    return resolved(ops)[0].drop("pos", "table_life")
 
 
 def replay(ops: DataFrame) -> DataFrame:
-    """ops (database, ord, seq, op, table, column, to, type, nullable) to database, table, column, type, nullable, conflicts."""
-    columns = ["database", "ord", "seq", "op", "table", "column", "to", "type", "nullable"]
-    return ops.select(*columns).groupBy("database").applyInPandas(fold, STATE_SCHEMA)
+    """The columns that are there in the end: database, table, column, type, nullable, and the database's operations that did not fit.
+
+    A type is the last one that an operation gave, null included; a nullable is what the column was added with, false after set_not_null.
+    """
+    told, table_lives, column_lives, attributes = resolved(ops)
+    told = cut(told, "told")
+    made = told.where("op = 'add_column' AND status = 'clean'").select(F.col("pos").alias("life"), "pos", "op", "type", "nullable")
+    set_ = attributes.where("column_life IS NOT NULL").select(F.col("column_life").alias("life"), "pos", "op", "type", F.lit(False).alias("nullable"))
+    last = lambda c, *kinds: F.max_by(F.when(F.col("op").isin(*kinds), F.struct(c)), F.when(F.col("op").isin(*kinds), F.col("pos")))[c].alias(c)
+    state = made.unionByName(set_).groupBy("life").agg(last("type", "add_column", "alter_type"), last("nullable", "add_column", "set_not_null"))
+    tables = table_lives.where("stop IS NULL").select("scope.database", F.col("name").alias("table"), F.col("root").alias("table_life"))
+    columns = column_lives.where("stop IS NULL").select(F.col("scope").alias("table_life"), F.col("name").alias("column"), F.col("root").alias("life"))
+    unfit = told.groupBy(F.col("database").alias("_database")).agg(F.count_if(F.col("status") != "clean").alias("conflicts"))
+    out = tables.join(columns, "table_life").join(state, "life").join(few(unfit), F.col("database").eqNullSafe(F.col("_database")))
+    return out.select("database", "table", "column", "type", "nullable", "conflicts")

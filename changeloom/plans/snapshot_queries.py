@@ -86,10 +86,14 @@ def attribute_similarity(spark, sf_dir):
 
 @query()
 def schema_replay(spark, sf_dir):
+    return replay.replay(part_history(spark, sf_dir))
+
+
+def part_history(spark, sf_dir):
+    """A history of schema operations for each brand."""
     part = table(spark, sf_dir, "part")
     names = F.array(*map(F.lit, ["create_table", "add_column", "add_column", "rename_column", "alter_type", "drop_column", "set_not_null"]))
-    ops = part.select(
+    return part.select(
         F.col("p_brand").alias("database"), F.lit(1).alias("ord"), F.col("p_partkey").alias("seq"), F.element_at(names, (F.col("p_partkey") % 7 + 1).cast("int")).alias("op"), F.col("p_type").alias("table"),
         F.concat(F.lit("c"), (F.col("p_size") % 5).cast("string")).alias("column"), F.concat(F.lit("r"), (F.col("p_size") % 5).cast("string")).alias("to"), F.lit("int").alias("type"), F.lit(True).alias("nullable"),
     )
-    return replay.replay(ops)
