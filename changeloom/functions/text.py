@@ -34,15 +34,18 @@ def singular(word: Column) -> Column:
     return F.when(plural, F.left(word, F.length(word) - 1)).otherwise(word)
 
 
-def name_stem(path: Column) -> Column:
-    """The words that a file's name leads with: one, or two when the first has three letters or fewer."""
+def name_stem(path: Column, folder_word: Column | None = None) -> Column:
+    """The words that a file's name leads with: one, or two when the first has three letters or fewer, or is its folder's word."""
     stem = F.split_part(F.substring_index(path, "/", -1), F.lit("."), F.lit(1))
     # Affixes of tests and hooks (fixed values).
     stem = F.regexp_replace(stem, "^(smoke[-_]?)?tests?[-_]|[-_](test|spec)s?$|(Tests?|Spec|IT)$", "")
     stem = F.regexp_replace(stem, "^use(?=[A-Z_-])", "")
     spaced = F.regexp_replace(F.regexp_replace(stem, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
     found = F.filter(F.split(F.lower(spaced), r"[\s_-]+"), lambda w: w.rlike("[a-z]"))
-    lead = F.slice(found, 1, F.when(F.length(F.get(found, 0)) <= 3, 2).otherwise(1))
+    says_little = F.length(F.get(found, 0)) <= 3
+    if folder_word is not None:
+        says_little |= singular(F.get(found, 0)) == folder_word
+    lead = F.slice(found, 1, F.when(says_little, 2).otherwise(1))
     return F.array_join(F.transform(lead, singular), " ")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.checkpoints import cut
-from changeloom.operators import replay
+from changeloom.operators import graph, replay
 
 #: Sources of a schema by precedence, the one that defines it first (fixed values).
 SOURCES = ("migration", "schema", "model")
@@ -23,7 +23,7 @@ def chains(moves: DataFrame, made: DataFrame) -> DataFrame:
     order = Window.partitionBy("scope", "name").orderBy("pos", "what")
     seen = leaves.unionByName(comes).unionByName(news).withColumn("last", F.lag(F.struct("pos", "what")).over(order))
     links = seen.where("what = 'left'").select(F.col("pos").alias("start"), F.when(F.col("last.what") == "came", F.col("last.pos")).otherwise(F.col("pos")).alias("root"))
-    return moves.join(replay.chased(links).withColumnRenamed("start", "pos"), "pos")
+    return moves.join(graph.chased(links).withColumnRenamed("start", "pos"), "pos")
 
 
 def renames(ops: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.checkpoints import cut
+from changeloom.operators.graph import chased
 
 #: Tables' lives up to this many are broadcast (about 200 bytes each), more are joined by a shuffle.
 BROADCAST_LIVES = 100_000
@@ -84,17 +85,6 @@ def lives(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return status, parts.join(roots, "start").select("scope", "name", "root", "start", "stop")
 
 
-def chased(known: DataFrame, child: str = "start", parent: str = "root") -> DataFrame:
-    """child, parent with the last parent of each chain; each round doubles the step. A last one is its own parent or has no row."""
-    known = cut(known.select(child, parent), "links")
-    while True:
-        onward = known.select(F.col(child).alias(parent), F.col(parent).alias("_onward"))
-        step = cut(known.join(onward, parent, "left").select(child, F.coalesce("_onward", parent).alias("_new"), parent), "links")
-        if not step.where(f"NOT (_new <=> {parent})").limit(1).count():
-            return step.select(child, parent)
-        known = step.select(child, F.col("_new").alias(parent))
-
-
 def few(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it is small."""
     return F.broadcast(df) if df.limit(BROADCAST_LIVES + 1).count() <= BROADCAST_LIVES else df
