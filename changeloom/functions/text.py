@@ -65,10 +65,14 @@ def criterion_key(text: Column) -> Column:
 
 
 def normal_summary(summary: Column) -> Column:
-    """Lower case without punctuation, stop words and bare numbers; identifiers stay whole."""
+    """Lower case without punctuation, stop words and bare numbers; identifiers stay whole.
+
+    Patterns over the whole text and not a lambda over its words, which would not be compiled.
+    """
     plain = F.regexp_replace(F.lower(summary), "[^a-z0-9_.$]+", " ")
-    parts = F.transform(F.split(plain, " "), lambda w: F.regexp_replace(w, r"^\.+|\.+$", ""))
-    return F.array_join(F.filter(parts, lambda w: (w != "") & ~w.isin(STOPWORDS) & ~w.rlike(r"^\d+$")), " ")
+    bare = F.regexp_replace(plain, r"(?<![^ ])\.+|\.+(?![^ ])", "")
+    kept = F.regexp_replace(bare, rf"(?<![^ ])(?:[0-9]+|{'|'.join(STOPWORDS)})(?![^ ])", "")
+    return F.trim(F.regexp_replace(kept, " +", " "))
 
 
 def jaccard(a: Column, b: Column) -> Column:

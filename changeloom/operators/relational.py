@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changeloom.checkpoints import cut
 from changeloom.functions.paths import ancestors
 
 
@@ -137,25 +138,73 @@ def first_existing(candidates: DataFrame, files: DataFrame, key: str = "specifie
     return candidates.join(files.select("path"), "path", "left_semi").groupBy(key).agg(F.min_by("path", "nth").alias("path"))
 
 
-def similar_pairs(rows: DataFrame, group: str, key: str, tokens: str, threshold: float) -> DataFrame:
-    """Pairs of a group whose token sets have a Jaccard similarity of at least the threshold, exactly.
+#: Tokens that more rows of a group start with than this are cut in blocks of about this many rows, and pairs of blocks meet.
+TOKEN_BLOCK = 2048
 
-    Only the rarest tokens of each row are joined: two rows that similar share one of their first
-    |x| - ceil(t |x|) + 1 tokens in the order from rare to frequent.
+
+def similar_sets(rows: DataFrame, group: str, key: str, tokens: str, threshold: float, side: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members: group, side, key, rep; pairs: group, left_rep, right_rep, score): rows of equal token sets by one of them, and which of those are similar.
+
+    Two similar rows share one of their first |x| - ceil(t |x|) + 1 tokens in the order from rare to frequent. Only those meet, without tokens that one row
+    alone has; what travels is a key, a size and a position. A meeting counts only if what stands behind the shared token can still bring enough
+    (positional filter). Sets are fetched once for each pair that is left, and compared. side: only rows of different sides are compared.
     """
-    flat = rows.select(group, key, F.explode(F.array_distinct(tokens)).alias("token"))
+    s = F.col(side) if side else F.lit(0)
+    # Written before anything is worked out from the sets, so the tokens are worked out once.
+    listed = cut(rows.select(group, s.alias("_side"), key, F.array_sort(F.array_distinct(tokens)).alias("_set")), "token-sets")
+    told = listed.where(F.size("_set") > 0).withColumn("_digest", F.sha2(F.array_join("_set", "\0"), 256))
+    reps = told.groupBy(group, "_side", "_digest").agg(F.min(key).alias("rep"))
+    members = cut(told.select(group, "_side", key, "_digest").join(reps, [group, "_side", "_digest"]).select(group, "_side", key, "rep"), "set-members")
+    sets = told.select(group, "_side", F.col(key).alias("rep"), "_set").join(reps, [group, "_side", "rep"], "left_semi").dropDuplicates([group, "_side", "rep"])
+    flat = sets.select(group, "_side", "rep", F.explode("_set").alias("token"))
     seen = flat.groupBy(group, "token").agg(F.count("*").alias("n"))
-    ordered = flat.join(seen, [group, "token"]).groupBy(group, key).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("_ts"))
+    ordered = flat.join(seen, [group, "token"]).groupBy(group, "_side", "rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("_ts"))
     size = F.size("_ts")
     reach = size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1
-    sets = ordered.select(group, key, F.transform("_ts", lambda t: t["token"]).alias("_set"), F.transform(F.slice("_ts", 1, F.greatest(F.lit(1), reach)), lambda t: t["token"]).alias("_head"))
-    heads = sets.select(group, key, "_set", F.explode("_head").alias("token"))
-    a, b = heads.alias("a"), heads.alias("b")
-    near = (F.size("a._set") >= threshold * F.size("b._set") - 1e-9) & (F.size("b._set") >= threshold * F.size("a._set") - 1e-9)
-    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.token") == F.col("b.token")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & near)
-    shared = F.size(F.array_intersect("a._set", "b._set"))
-    score = shared / (F.size("a._set") + F.size("b._set") - shared)
-    return pairs.select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("left_id"), F.col(f"b.{key}").alias("right_id"), score.alias("score")).where(F.col("score") >= threshold - 1e-9).distinct()
+    heads = ordered.select(group, "_side", "rep", size.alias("size"), F.posexplode(F.slice("_ts", 1, F.greatest(F.lit(1), reach))).alias("pos", "_t")).where("_t.n > 1")
+    blocks = F.ceil(F.col("_t.n") / TOKEN_BLOCK).cast("int")
+    dealt = heads.select(group, "_side", "rep", "size", "pos", "_t.token", blocks.alias("_blocks"), F.when(blocks > 1, F.pmod(F.xxhash64("rep"), blocks)).otherwise(0).cast("int").alias("_own"))
+    cells = cut(dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(group, "_side", "rep", "size", "pos", "token", "_own", F.least("_own", "_o").alias("_i"), F.greatest("_own", "_o").alias("_j")), "token-heads")
+    a, b = cells.alias("a"), cells.alias("b")
+    same = F.lit(True)
+    for c in (group, "token", "_i", "_j"):
+        same &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    enough = threshold / (1 + threshold) * (F.col("a.size") + F.col("b.size")) - 1e-9
+    rest = 1 + F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos")) - 1
+    fits = (rest >= enough) & (F.col("a.size") >= threshold * F.col("b.size") - 1e-9) & (F.col("b.size") >= threshold * F.col("a.size") - 1e-9)
+    order = (F.col("a._side") < F.col("b._side")) if side else (F.col("a.rep") < F.col("b.rep"))
+    once = (F.col("a._i") == F.col("a._j")) | (F.col("a._own") != F.col("b._own"))
+    met = a.join(b, same & fits & order & once).select(F.col(f"a.{group}").alias(group), F.col("a._side").alias("_left_side"), F.col("a.rep").alias("left_rep"), F.col("b._side").alias("_right_side"), F.col("b.rep").alias("right_rep")).distinct()
+    of = lambda which: sets.select(group, F.col("_side").alias(f"_{which}_side"), F.col("rep").alias(f"{which}_rep"), F.col("_set").alias(f"_{which}"))
+    both = met.join(of("left"), [group, "_left_side", "left_rep"]).join(of("right"), [group, "_right_side", "right_rep"])
+    shared = F.size(F.array_intersect("_left", "_right"))
+    score = shared / (F.size("_left") + F.size("_right") - shared)
+    return members, cut(both.select(group, "_left_side", "left_rep", "_right_side", "right_rep", score.alias("score")).where(F.col("score") >= threshold - 1e-9), "similar-sets")
+
+
+def similar_pairs(rows: DataFrame, group: str, key: str, tokens: str, threshold: float, side: str | None = None) -> DataFrame:
+    """group, left_id, right_id, score: pairs of a group whose token sets have a Jaccard similarity of at least the threshold, exactly; left_id is the lesser.
+
+    side: a column; only rows that differ in it are paired. Rows without tokens or group are in no pair. A group of n copies has n (n - 1) / 2 pairs:
+    similar_links tells the same without writing them.
+    """
+    members, pairs = similar_sets(rows, group, key, tokens, threshold, side)
+    of = lambda which: members.select(group, F.col("_side").alias(f"_{which}_side"), F.col("rep").alias(f"{which}_rep"), F.col(key).alias(f"_{which}"))
+    found = pairs.join(of("left"), [group, "_left_side", "left_rep"]).join(of("right"), [group, "_right_side", "right_rep"])
+    if side is None:
+        equal = of("left").join(of("right").withColumnRenamed("right_rep", "left_rep"), [group, "left_rep"]).where("_left < _right").withColumn("score", F.lit(1.0))
+        found = found.select(group, "_left", "_right", "score").unionByName(equal.select(group, "_left", "_right", "score"))
+    return found.select(group, F.least("_left", "_right").alias("left_id"), F.greatest("_left", "_right").alias("right_id"), "score")
+
+
+def similar_links(rows: DataFrame, group: str, key: str, tokens: str, threshold: float) -> DataFrame:
+    """group, key, n_links, best: of each row the number of its partners in similar_pairs and the highest score; rows of equal sets are counted, not paired."""
+    members, pairs = similar_sets(rows, group, key, tokens, threshold)
+    sizes = members.groupBy(group, "rep").agg(F.count("*").alias("_size"))
+    ways = pairs.select(group, F.col("left_rep").alias("rep"), F.col("right_rep").alias("_other"), "score").unionByName(pairs.select(group, F.col("right_rep").alias("rep"), F.col("left_rep").alias("_other"), "score"))
+    near = ways.join(sizes.withColumnRenamed("rep", "_other"), [group, "_other"]).groupBy(group, "rep").agg(F.sum("_size").alias("_n"), F.max("score").alias("_best"))
+    each = sizes.join(near, [group, "rep"], "left").select(group, "rep", (F.coalesce("_n", F.lit(0)) + F.col("_size") - 1).alias("n_links"), F.when(F.col("_size") > 1, 1.0).otherwise(F.col("_best")).alias("best"))
+    return members.join(each, [group, "rep"]).select(group, key, "n_links", "best")
 
 
 def carry_over(old: DataFrame, new: DataFrame, file: str, summary: str, kept: list[str], threshold: float = 0.6) -> DataFrame:
@@ -164,7 +213,7 @@ def carry_over(old: DataFrame, new: DataFrame, file: str, summary: str, kept: li
     Each new finding takes its nearest old one, and an old one goes to the nearest new one that wants it.
     """
     both = old.select(F.concat(F.lit("old "), F.col("id").cast("string")).alias("k"), file, summary).unionByName(new.select(F.concat(F.lit("new "), F.col("id").cast("string")).alias("k"), file, summary))
-    pairs = similar_pairs(both.withColumn("_t", F.split(summary, " ")), file, "k", "_t", threshold).where("left_id LIKE 'new %' AND right_id LIKE 'old %'")
+    pairs = similar_pairs(both.withColumn("_t", F.split(summary, " ")).withColumn("_old", F.col("k").startswith("old ")), file, "k", "_t", threshold, side="_old")
     wanted = latest_by(pairs, ["left_id"], F.desc("score"), F.col("right_id"))
     given = latest_by(wanted, ["right_id"], F.desc("score"), F.col("left_id"))
     ids = given.select(F.substring("left_id", 5, 100).alias("_new"), F.substring("right_id", 5, 100).alias("_old"))

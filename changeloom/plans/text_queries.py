@@ -95,6 +95,17 @@ def summary_jaccard_pairs(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query(f"""
+WITH s AS (SELECT doc_id, source, list_distinct(list_filter(string_split({SUMMARY_SQL}, ' '), lambda x: x <> '')) AS ws FROM documents), f AS (SELECT doc_id, source, len(ws) AS n, unnest(ws) AS w FROM s),
+c AS (SELECT a.source, a.doc_id, b.doc_id AS other, a.n AS x, b.n AS y, count(*) AS n FROM f a JOIN f b ON a.source = b.source AND a.w = b.w AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT doc_id, count(*) AS n_links, round(max(CAST(n AS DOUBLE) / (x + y - n)), 6) AS best FROM c WHERE n >= 0.5 * (x + y - n) - 1e-9 GROUP BY doc_id)
+SELECT source, doc_id, coalesce(n_links, 0) AS n_links, best FROM s LEFT JOIN l USING (doc_id) WHERE len(ws) > 0
+""")
+def summary_links(spark, sf_dir):
+    rows = _summaries(spark, sf_dir).withColumn("ws", F.filter(F.split("summary", " "), lambda w: w != ""))
+    return relational.similar_links(rows, "source", "doc_id", "ws", 0.5).withColumn("best", F.round("best", 6))
+
+
 @query("SELECT doc_id, substr(sha256(source || chr(0) || lang || chr(0) || text), 1, 32) AS content_id, length(text) AS n FROM documents")
 def content_id(spark, sf_dir):
     return longs(table(spark, sf_dir, "documents").select("doc_id", text.content_id(F.col("source"), F.col("lang"), F.col("text")).alias("content_id"), F.length("text").alias("n")), "n")
