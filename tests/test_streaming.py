@@ -47,11 +47,26 @@ def test_job_states(stream):
     schema = "queue string, job_id string, seq int, event string, ts timestamp"
     first = [("q", "a", 1, "add", at(0)), ("q", "a", 3, "log", at(1)), ("q", "a", 2, "start", at(1)), ("q", "b", 1, "add", at(0))]
     second = [("q", "a", 4, "fail", at(2)), ("q", "b", 2, "start", at(2)), ("q", "b", 3, "done", at(3))]
-    got = stream([first, second], schema, lambda s: queue.job_states(s, delay_ms=50), "update")
+    got = stream([first, second], schema, lambda s: queue.job_states(s, delay_ms=50, late="1 hour"), "update")
     last = {r["job_id"]: (r["state"], r["attempts"], r["log_lines"]) for r in sorted(got, key=lambda r: r["at"])}
     assert last == {"a": ("delayed", 1, 1), "b": ("completed", 1, 0)}
 
 
+def test_delays_end_and_finished_jobs_are_forgotten(stream):
+    """By event time: a delayed job is due when the watermark passes its delay, and a finished one starts anew after its keeping."""
+    schema = "queue string, job_id string, seq int, event string, ts timestamp"
+    batches = [
+        [("q", "a", 1, "add", at(0)), ("q", "a", 2, "start", at(0)), ("q", "a", 3, "fail", at(1)), ("q", "b", 1, "add", at(0)), ("q", "b", 2, "start", at(0)), ("q", "b", 3, "done", at(1)), ("q", "b", 4, "log", at(1))],
+        [("q", "c", 1, "add", at(5))], [("q", "c", 2, "log", at(6))], [("q", "a", 4, "start", at(7)), ("q", "b", 5, "done", at(7))], [("q", "c", 3, "log", at(30))], [("q", "c", 4, "log", at(31))], [("q", "b", 6, "log", at(32))],
+    ]
+    got = stream(batches, schema, lambda s: queue.job_states(s, delay_ms=120_000, keep_ms=600_000, late="0 seconds"), "update")
+    told = [(r["job_id"], r["state"], r["attempts"], r["log_lines"]) for r in got]
+    assert [t for t in told if t[0] == "a"] == [("a", "delayed", 1, 0), ("a", "waiting", 1, 0), ("a", "active", 2, 0)]
+    due = next(r for r in got if r["job_id"] == "a" and r["state"] == "waiting")
+    assert due["at"].minute == 3  # a minute after the failure, and two of delay
+    assert [t for t in told if t[0] == "b"] == [("b", "completed", 1, 1), ("b", "completed", 1, 1), ("b", "waiting", 0, 1)]
+
+
 def test_windows_and_flags(stream, spark):
     rows = [[(at(0), "x", 1.0), (at(4), "x", 2.0), (at(6), "y", 5.0)], [(at(40), "x", 1.0)]]
     got = stream(rows, "ts timestamp, event_type string, value double", queue.event_windows)
