@@ -10,11 +10,6 @@ from changeloom.functions import kinds
 from changeloom.functions.paths import ancestors, dir_name
 from changeloom.operators.relational import keep_newest, longest_prefix
 
-#: Kinds of resources that hold data, and attributes whose change replaces a resource (shortened by rule: providers' databases, buckets, disks, queues, keys).
-STATEFUL = r"^(aws_(db_instance|rds_\w+|dynamodb_\w+|s3_bucket|ebs_volume|efs_file_system|elasticache_\w+|sqs_queue|kms_key|ecr_repository|secretsmanager_secret)|google_(sql_\w+|storage_bucket|compute_disk|bigquery_\w+|spanner_\w+|pubsub_\w+|kms_\w+)|azurerm_(\w*sql\w*|storage_\w+|managed_disk|key_vault\w*|cosmosdb_account|redis_cache)|kubernetes_(persistent_volume\w*|stateful_set\w*)|StatefulSet|PersistentVolume(Claim)?)$"
-FORCE_NEW = {"aws_db_instance": ["engine", "identifier", "availability_zone"], "aws_instance": ["ami", "availability_zone", "subnet_id"], "aws_s3_bucket": ["bucket", "bucket_prefix"], "aws_sqs_queue": ["name", "fifo_queue"], "Service": ["spec.clusterIP"], "StatefulSet": ["spec.serviceName", "spec.volumeClaimTemplates"]}
-FORCE_NEW_PREFIXES = {"google_": ["name", "project", "region", "zone", "location"], "azurerm_": ["name", "location", "resource_group_name"]}
-
 
 # --- around a change -------------------------------------------------------------------------------------------
 
@@ -141,20 +136,6 @@ def restamped(findings: DataFrame, kept: DataFrame, keys: list[str], **stamps: C
     return marked.select(*[F.when(F.col("_kept"), stamps[c]).otherwise(F.col(c)).alias(c) if c in stamps else F.col(c) for c in findings.columns])
 
 
-def stateful(kind: Column) -> Column:
-    return kind.rlike(STATEFUL)
-
-
-def forces_new(kind: Column, attribute: Column) -> Column:
-    """Whether a change of the attribute usually replaces the resource; attributes below a listed one count with it."""
-    listed = [(kind == k) & attribute.rlike("^(" + "|".join(a.replace(".", r"\.") for a in names) + r")($|\.|\[)") for k, names in FORCE_NEW.items()]
-    listed += [kind.startswith(p) & attribute.isin(names) for p, names in FORCE_NEW_PREFIXES.items()]
-    out = listed[0]
-    for more in listed[1:]:
-        out = out | more
-    return out
-
-
 def template_keys(text: Column) -> Column:
     """Names that a template sets, a line each; null where a loop of the template can add more."""
     plain = F.regexp_replace(F.regexp_replace(text, r"^<<-?\w+\n?", ""), r"\n?\s*\w+\s*$", "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from changeloom.functions import resources
 from changeloom.operators import context
 from changeloom.plans.kind_queries import LAYER_SQL
 from changeloom.plans.registry import ORACLE_SQL, query, table
@@ -147,8 +148,8 @@ SELECT p_partkey AS id, k IN ('aws_db_instance', 'google_storage_bucket', 'azure
 FROM (SELECT p_partkey, {KINDS} AS k, {ATTRS} AS a FROM part)
 """)
 def resource_lookups(spark, sf_dir):
-    rows = sql(spark, sf_dir, f"SELECT p_partkey AS id, {KINDS} AS k, {ATTRS} AS a FROM {{part}}", "part")
-    return rows.select("id", context.stateful(F.col("k")).alias("stateful"), context.forces_new(F.col("k"), F.col("a")).alias("forces_new"))
+    rows = sql(spark, sf_dir, f"SELECT p_partkey AS id, {KINDS} AS kind, {ATTRS} AS attribute FROM {{part}}", "part")
+    return resources.replaced(rows, resources.rules(spark)).select("id", resources.stateful(F.col("kind")).alias("stateful"), "forces_new")
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN NULL ELSE CASE WHEN p_size % 2 = 0 THEN 'DB_' || p_size || ',HOST' ELSE 'DB_' || p_size END END AS keys FROM part")

@@ -11,7 +11,7 @@ from changeloom.plans.standins import FILES, sql, told
 @query(f"""
 WITH f AS ({told(FILES)}), b AS (SELECT id, path, regexp_extract(path, '([^/]*)$', 1) AS name, lower(regexp_extract(path, '([^/]*)$', 1)) AS low FROM f),
 t AS (SELECT *, regexp_matches(name, '{kinds.TEST_NAME}') AS named, regexp_matches(path, '{kinds.TEST_DIR}') AS inside FROM b)
-SELECT id, path, CASE WHEN low IN ({", ".join(f"'{x}'" for x in kinds.DEPENDENCY_FILES)}) OR ends_with(low, '.csproj') THEN 'dependency' WHEN named OR inside THEN 'test' WHEN regexp_matches(name, '{kinds.DOC_NAME}') THEN 'docs'
+SELECT id, path, CASE WHEN low IN ({", ".join(f"'{x}'" for x in kinds.DEPENDENCY_FILES)}) OR ends_with(low, '.csproj') THEN 'dependency' WHEN named OR inside THEN 'test' WHEN (regexp_matches(name, '{kinds.DOC_EXTENSION}') OR regexp_matches(name, '{kinds.DOC_FILE}')) THEN 'docs'
     WHEN regexp_matches(path, '{kinds.DOC_DIR}') THEN 'code' WHEN regexp_matches(path, '{kinds.CONFIG_DIR}') OR regexp_matches(name, '{kinds.CONFIG_NAME}') THEN 'config' ELSE 'code' END AS role,
     CASE WHEN named THEN CASE WHEN regexp_matches(path, '{kinds.SUPPORT_DIR}') AND id % 3 = 0 THEN 'support' ELSE 'test' END
         WHEN inside AND regexp_matches(name, '{kinds.SUPPORT_NAME}') THEN 'support' WHEN inside AND id % 3 > 0 THEN 'test' WHEN inside THEN 'support' END AS test_role,
@@ -33,10 +33,10 @@ s AS (SELECT *, regexp_replace(regexp_replace(name, '(?i)\\.(test|spec|e2e|stori
 w AS (SELECT *, string_split_regex(lower(regexp_replace(regexp_replace(stem, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[^a-z0-9]+') AS parts,
     lower(name) IN ({", ".join(f"'{x}'" for x in kinds.DEPENDENCY_FILES)}) OR ends_with(lower(name), '.csproj') AS dep, regexp_matches(name, '{kinds.TEST_NAME}') OR regexp_matches(path, '{kinds.TEST_DIR}') AS test FROM s)
 SELECT id, path, CASE WHEN test AND NOT dep OR regexp_matches(stem, '(?i)^smoke-test') OR list_contains(folders, '__fixtures__') THEN 'tests' WHEN regexp_matches(path, '(?i)\\.(sql|prisma)$') THEN 'data'
-    WHEN dep OR NOT regexp_matches(name, '{kinds.DOC_NAME}') AND NOT regexp_matches(path, '{kinds.DOC_DIR}') AND (regexp_matches(path, '{kinds.CONFIG_DIR}') OR regexp_matches(name, '{kinds.CONFIG_NAME}')) OR regexp_matches(path, '{kinds.INFRA_PATH}') THEN 'infrastructure'
-    WHEN regexp_matches(path, '{kinds.SERVER_PATH}') OR regexp_matches(stem, '{kinds.SERVER_STEM}') THEN 'server' WHEN regexp_matches(path, '{kinds.COMPONENT_FILE}') THEN 'ui'
+    WHEN dep OR NOT (regexp_matches(name, '{kinds.DOC_EXTENSION}') OR regexp_matches(name, '{kinds.DOC_FILE}')) AND NOT regexp_matches(path, '{kinds.DOC_DIR}') AND (regexp_matches(path, '{kinds.CONFIG_DIR}') OR regexp_matches(name, '{kinds.CONFIG_NAME}')) OR (regexp_matches(path, '{kinds.INFRA_DIR}') OR regexp_matches(path, '{kinds.INFRA_EXTENSION}') OR regexp_matches(path, '{kinds.IMAGE_FILE}') OR regexp_matches(path, '{kinds.CHART_FILE}')) THEN 'infrastructure'
+    WHEN (regexp_matches(path, '{kinds.PAGES_API}') OR regexp_matches(path, '{kinds.SERVER_DIR}')) OR regexp_matches(stem, '{kinds.SERVER_STEM}') THEN 'server' WHEN regexp_matches(path, '{kinds.COMPONENT_FILE}') THEN 'ui'
     WHEN {_any(kinds.DATA_WORDS, "list_concat(folders, parts)")} THEN 'data' WHEN {_any(kinds.INTEGRATION_WORDS, "list_concat(folders, parts)")} THEN 'integrations'
-    WHEN regexp_matches(path, '{kinds.UI_PATH}') OR regexp_matches(stem, '{kinds.UI_STEM}') THEN 'ui' WHEN {_any(kinds.INFRA_WORDS, "parts")} THEN 'infrastructure' ELSE 'logic' END AS layer FROM w
+    WHEN (regexp_matches(path, '{kinds.UI_DIR}') OR regexp_matches(path, '{kinds.UI_EXTENSION}')) OR regexp_matches(stem, '{kinds.UI_STEM}') THEN 'ui' WHEN {_any(kinds.INFRA_WORDS, "parts")} THEN 'infrastructure' ELSE 'logic' END AS layer FROM w
 """
 
 
