@@ -98,3 +98,34 @@ def entropy(text: Column) -> Column:
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     bits = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda total, c: total - (share := F.size(F.filter(chars, lambda x: x == c)) / n) * F.log2(share))
     return F.when(n > 0, bits).otherwise(0.0)
+
+
+def shell_words(line: Column) -> Column:
+    """The words of a command line: quotes hold blanks together, and within double ones a backslash keeps the next character."""
+    quoted, single = r'"(?:[^"\\]|\\.)*"?', r"'[^']*'?"
+    found = F.regexp_extract_all(line, F.lit(rf"""((?:[^\s"']|{quoted}|{single})+)"""), F.lit(1))
+
+    def bare(word: Column) -> Column:
+        parts = F.regexp_extract_all(word, F.lit(rf"""([^"']+|{quoted}|{single})"""), F.lit(1))
+        inner = F.transform(parts, lambda p: F.when(p.startswith('"'), F.regexp_replace(F.regexp_replace(p, r'^"|(?<!\\)((?:\\\\)*)"$', "$1"), r"\\(.)", "$1")).when(p.startswith("'"), F.regexp_replace(p, "^'|'$", "")).otherwise(p))
+        return F.array_join(inner, "")
+
+    return F.transform(found, bare)
+
+
+#: What single letters stand for behind a backslash in quoted paths, as bytes (fixed values).
+ESCAPED_BYTES = {"n": "0A", "t": "09", "r": "0D", "a": "07", "b": "08", "f": "0C", "v": "0B"}
+
+
+def unquoted_path(path: Column) -> Column:
+    """A path as a version control tool quotes it, with octal bytes and escapes, as it is; one without quotes stays."""
+    body = F.substr(path, F.lit(2), F.length(path) - 2)
+    parts = F.regexp_extract_all(body, F.lit(r"(\\[0-7]{1,3}|\\.|[^\\]+)"), F.lit(1))
+    letters = F.create_map(*[F.lit(x) for pair in ESCAPED_BYTES.items() for x in pair])
+
+    def as_hex(p: Column) -> Column:
+        octal = F.right(F.lpad(F.conv(F.substr(p, F.lit(2)), 8, 16), 2, "0"), F.lit(2))
+        return F.when(p.rlike(r"^\\[0-7]"), octal).when(p.startswith("\\"), F.coalesce(letters[F.substr(p, F.lit(2))], F.hex(F.encode(F.substr(p, F.lit(2)), "UTF-8")))).otherwise(F.hex(F.encode(p, "UTF-8")))
+
+    whole = path.startswith('"') & path.endswith('"') & (F.length(path) > 1)
+    return F.when(whole, F.decode(F.unhex(F.array_join(F.transform(parts, as_hex), "")), "UTF-8")).otherwise(path)

@@ -28,5 +28,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for family in ("stats_queries", "window_queries", "diff_queries", "join_queries", "graph_queries", "text_queries", "rule_queries", "snapshot_queries", "review_queries", "kind_queries", "search_queries", "upkeep_queries", "context_queries", "scan_queries", "delta_queries", "schema_queries", "change_queries", "config_queries"):
+for family in ("stats_queries", "window_queries", "diff_queries", "join_queries", "graph_queries", "text_queries", "rule_queries", "snapshot_queries", "review_queries", "kind_queries", "search_queries", "upkeep_queries", "context_queries", "scan_queries", "delta_queries", "schema_queries", "change_queries", "config_queries", "catalog_queries"):
     importlib.import_module(f"changeloom.plans.{family}")
