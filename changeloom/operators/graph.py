@@ -183,13 +183,20 @@ def _kahn(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chain": rows["chain"].iloc[0], "id": list(waits), "position": pd.array([place.get(n) for n in waits], dtype="Int64")})
 
 
+#: Nodes and dependencies of a chain (some 100 bytes each) that one task puts in order at most.
+LARGEST_CHAIN = 500_000
+
+
 def chain_order(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     """chain, id, position: each chain's nodes (chain, id: strings) after what they depend on (chain, id, dep), the smallest free one first.
 
-    Nodes on cycles and behind them have no position. A chain (the migrations of one database) is one task's.
+    Nodes on cycles and behind them have no position. Which node is the smallest free one depends on all before it, so a chain (the migrations of one
+    database) is one task's; chains of more than LARGEST_CHAIN nodes and dependencies are refused. topo_levels has no such bound.
     """
     known = deps.join(nodes.select("chain", F.col("id").alias("dep")), ["chain", "dep"], "left_semi").select("chain", "id", "dep").distinct()
-    rows = nodes.select("chain", "id").distinct().join(known, ["chain", "id"], "left")
+    rows = cut(nodes.select("chain", "id").distinct().join(known, ["chain", "id"], "left"), "chains")
+    if large := rows.groupBy("chain").count().where(F.col("count") > LARGEST_CHAIN).first():
+        raise ValueError(f"chain {large['chain']} has {large['count']} nodes and dependencies; {LARGEST_CHAIN} are the most that are put in order")
     return rows.groupBy("chain").applyInPandas(_kahn, "chain string, id string, position long")
 
 
