@@ -52,7 +52,8 @@ BROADCAST_KEYS = 200_000
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """docs without the rows of groups that do not stay. groups: row_key, kept, for rows that share their group with others.
 
-    Rows of no group stay where they are; of a group's rows only those that stay are shuffled, repeated ones once.
+    Rows of no group stay where they are; of a group's rows only those that stay are shuffled, repeated ones once. Which of the rows of one
+    doc_id and text that differ in other columns stays is not fixed.
     """
     keys = stage(groups.groupBy(F.col("row_key").alias("_key")).agg(F.bool_or("kept").alias("_kept")), "row-keys")
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS

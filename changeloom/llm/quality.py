@@ -18,7 +18,8 @@ for all rounds and kept as a table of the shared folder.
 Edge cases. Null text: as empty. Null language, source or length: a value of their own. Null labels and
 labels without a document are left out; of several labels of one document the lowest counts. Without labels
 of both classes all documents get the smoothed share of good labels and are kept if that is half or more.
-Repeated rows: scored each. No rows: no rows. Extra columns are ignored by score_quality and kept by
+Repeated rows: scored each; of a labelled id's
+rows the least, by features, is fitted. No rows: no rows. Extra columns are ignored by score_quality and kept by
 keep_good.
 """
 
@@ -266,7 +267,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 4000,
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     chosen = ids.join(known, "doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_labelled).select("doc_id", F.when(F.col("quality") > 0, 1).otherwise(0).alias("label"))
     views = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *COLUMNS).mapInArrow(_views, FEATURE_SCHEMA), "views")
-    found = views.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()  # max_labelled rows at most
+    # Of repeated ids the least row, so reruns agree; max_labelled rows at most.
+    found = views.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("units", "lang", "source", "length")).alias("v")).select("doc_id", "label", "v.*").collect()
     if not found:
         return CoTrained(None, None, 0.0)
     found.sort(key=lambda r: r["doc_id"])

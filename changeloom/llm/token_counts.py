@@ -46,8 +46,6 @@ class Counter:
                     self._unknown(word, done, best, pieces, fallen)
             if size == 1:
                 single[end] = 1
-                if last and not single[last]:
-                    pass
             total = best[end - size] + score
             if total > best[end]:
                 best[end], pieces[end], fallen[end] = total, pieces[end - size] + 1, fallen[end - size]

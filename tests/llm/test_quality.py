@@ -56,7 +56,7 @@ def test_the_pool_is_all_other_rows(spark, make_docs):
 
 
 def test_scores_against_plain_python(spark, small):
-    """Held-out accuracy on the tables, and each score from the weights by plain sums."""
+    """Each score from the weights by plain sums, and the decisions on all labels, fitted or not."""
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     model = quality.fit_quality(small, labels, max_labelled=120)
     out = {r.doc_id: r for r in quality.score_quality(small, model).collect()}
@@ -71,6 +71,28 @@ def test_scores_against_plain_python(spark, small):
     assert np.mean([out[r.doc_id].kept == (r.quality > 0) for r in labels.collect() if r.doc_id in order and r.doc_id in out]) > 0.9
 
 
+def test_labels_held_out_are_told_as_well_with_rounds_as_without(spark):
+    """A third of the labels is in no fit at all; labels are exchanged both ways, and the rounds cost no accuracy."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = labels.where("doc_id % 3 = 0 AND quality IS NOT NULL")
+    right = {}
+    for rounds in (0, 3):
+        model = quality.fit_quality(docs, labels.where("doc_id % 3 > 0"), rounds=rounds)
+        scores = quality.score_quality(docs, model).join(out, "doc_id").collect()
+        assert len(scores) > 50
+        right[rounds] = np.mean([r.kept == (r.quality > 0) for r in scores])
+    assert min(model.exchanged) > 0 and right[3] >= right[0] and right[3] > 0.95
+
+
+def test_repeated_ids_give_the_same_fit_in_any_order(spark, make_docs):
+    rows, labels = corpus(300)
+    rows += [(i, text + " other", lang, "else", n) for i, text, lang, _, n in rows[:60]]
+    labels = spark.createDataFrame(labels, LABELS)
+    a, b = (quality.fit_quality(make_docs(r), labels) for r in (rows, rows[::-1]))
+    assert np.array_equal(a.text.weights, b.text.weights) and np.array_equal(a.meta.weights, b.meta.weights)
+
+
 def test_calibration_and_combination():
     random = np.random.default_rng(0)
     y = random.integers(0, 2, 4000)
