@@ -145,7 +145,7 @@ def placed_comments(findings: DataFrame, shown: DataFrame, files: DataFrame) ->
 
 def diff_identifiers(lines: DataFrame, *keep: str) -> DataFrame:
     """The distinct identifiers of three characters or more on changed lines (content)."""
-    return lines.select(*keep, F.explode(F.regexp_extract_all("content", F.lit(r"\b([A-Za-z_]\w{2,})\b"), F.lit(1))).alias("identifier")).distinct()
+    return lines.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"([A-Za-z_$][A-Za-z0-9_$]{2,})"), F.lit(1)))).alias("identifier")).distinct()
 
 
 def code_search(lines: DataFrame, text: str, shown: int = 60) -> DataFrame:

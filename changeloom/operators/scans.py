@@ -50,6 +50,11 @@ def diff_lines(diffs: DataFrame, key: str = "diff_id") -> DataFrame:
     return spans.select(key, "file", F.col("s.side").alias("side"), F.explode(F.expr("sequence(s.start, s.start + s.n - 1)")).alias("line")).distinct()
 
 
+def may_hold_secret(text: Column) -> Column:
+    """Whether any of the shapes is found in the whole text: one search, so that texts without one are not opened to lines."""
+    return text.rlike("|".join(f"(?:{p})" for p in (*(p for _, p in TOKENS), RANDOM)))
+
+
 def secret_lines(lines: DataFrame, *keep: str) -> DataFrame:
     """Lines (content) that hold a secret: the kind and a fingerprint, never the value. Placeholders and local addresses are left out.
 

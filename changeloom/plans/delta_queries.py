@@ -240,10 +240,9 @@ def placed_comments(spark, sf_dir):
     return review.placed_comments(findings, shown, shown.select("file"))
 
 
-@query("SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b([A-Za-z_]\\w{2,})\\b')) AS identifier FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]{2,}')) AS identifier FROM documents")
 def diff_identifiers(spark, sf_dir):
-    ascii_only = ~F.col("text").rlike(r"[^\x00-\x7F]")
-    return review.diff_identifiers(table(spark, sf_dir, "documents").where(ascii_only & (F.col("lang") == "en")).select("doc_id", F.col("text").alias("content")), "doc_id")
+    return review.diff_identifiers(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
 
 
 @query("SELECT o_orderkey, CASE WHEN b IS NULL AND a IS NULL THEN NULL WHEN b = 'failed' AND a = 'failed' THEN 'failed' WHEN b IS NULL THEN CASE WHEN a = 'failed' THEN 'failed' ELSE 'new' END WHEN a IS NULL THEN 'removed' WHEN a = 'failed' THEN 'breaks' WHEN b = 'failed' THEN 'recovers' WHEN a = b THEN 'same' ELSE 'different' END AS outcome FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'failed' WHEN 1 THEN NULL ELSE o_orderstatus END AS b, CASE o_orderkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN NULL WHEN 2 THEN 'x' ELSE o_orderstatus END AS a FROM orders)")

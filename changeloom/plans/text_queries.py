@@ -111,13 +111,20 @@ def content_id(spark, sf_dir):
     return longs(table(spark, sf_dir, "documents").select("doc_id", text.content_id(F.col("source"), F.col("lang"), F.col("text")).alias("content_id"), F.length("text").alias("n")), "n")
 
 
-@query("""
-WITH l AS (SELECT doc_id, regexp_extract(content, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\\s*[:=]\\s*["'']?[A-Za-z0-9+/_.=-]{16,}', 0) AS v, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line FROM documents) WHERE length(content) <= 2000)
-SELECT doc_id, line, 'assigned' AS kind, substr(sha256(v), 1, 12) AS fingerprint FROM l WHERE v <> '' AND NOT regexp_matches(v, '(?i)x{4,}|example|changeme|<[a-z_]+>|\\$\\{|your[-_]') AND NOT regexp_matches(v, '0{8,}|1{8,}|a{8,}|f{8,}')
+#: The same shapes for an engine without back references: repeats are told character by character.
+REPEATED = "|".join(f"{c}{{8,}}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_=/-")
+SHAPES = " UNION ALL ".join("SELECT doc_id, line, '{}' AS kind, regexp_extract(content, '{}', 0) AS v FROM l".format(k, p.replace("'", "''")) for k, p in scans.TOKENS)
+
+
+@query(f"""
+WITH l AS (SELECT * FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line FROM documents) WHERE length(content) <= 2000),
+f AS ({SHAPES} UNION ALL SELECT doc_id, line, 'random', regexp_extract(content, '{scans.RANDOM.replace("'", "''")}', 1) FROM l)
+SELECT doc_id, line, kind, substr(sha256(v), 1, 12) AS fingerprint FROM f WHERE v <> '' AND NOT regexp_matches(v, '(?i)x{{4,}}|example|changeme|<[a-z_]+>|\\$\\{{|your[-_]') AND NOT regexp_matches(v, '{REPEATED}')
+    AND NOT (kind = 'url_password' AND regexp_matches(v, '@(localhost|127\\.0\\.0\\.1|0\\.0\\.0\\.0|\\[?::1|host\\.docker\\.internal)')) AND (kind <> 'random' OR list_entropy(string_split(v, '')) >= 4.2)
 """)
 def secret_scan_lines(spark, sf_dir):
-    lines = scans.lines_of(table(spark, sf_dir, "documents"), "text", "doc_id")
-    return longs(scans.secret_lines(lines, "doc_id", "line").where("kind = 'assigned'"), "line").select("doc_id", "line", "kind", "fingerprint")
+    docs = table(spark, sf_dir, "documents").where(scans.may_hold_secret(F.col("text")))
+    return longs(scans.secret_lines(scans.lines_of(docs, "text", "doc_id"), "doc_id", "line"), "line").select("doc_id", "line", "kind", "fingerprint")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 50")
