@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,41 +95,128 @@ def access(reads: Column, writes: Column) -> Column:
 # --- lines -----------------------------------------------------------------------------------------------------
 
 
-def _matches(a, b) -> list[dict]:
-    blocks = difflib.SequenceMatcher(None, list(a), list(b), autojunk=False).get_matching_blocks()
-    return [{"old": m.a + k, "new": m.b + k} for m in blocks for k in range(m.size)]
+#: Cells of a table of common lengths, of lines (4 bytes each), and tokens of a line, up to which two sides are compared.
+LARGEST_TABLE, LONGEST_LINE, LEAST_ALIKE = 1 << 26, 400, 0.4
+TOKEN = re.compile(r"\w+|\s+|[^\w\s]", re.ASCII)
+
+
+def longest_common(a: list, b: list, old_first: bool = True) -> list[tuple[int, int]]:
+    """The positions that a longest common subsequence pairs. Where either side can be passed over, it is the old one, or else the new one."""
+    same = {x: k for k, x in enumerate({*a, *b})}
+    x, y = np.array([same[v] for v in a], np.int32), np.array([same[v] for v in b], np.int32)
+    left = np.zeros((len(a) + 1, len(b) + 1), np.int32)  # [i, j]: the longest of a[i:] and b[j:]
+    for i in range(len(a) - 1, -1, -1):
+        best = np.where(y == x[i], left[i + 1, 1:] + 1, left[i + 1, :-1])
+        left[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+    pairs, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if x[i] == y[j]:
+            pairs.append((i, j))
+            i, j = i + 1, j + 1
+        elif left[i + 1, j] >= left[i, j + 1] if old_first else left[i + 1, j] > left[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return pairs
+
+
+def lcs_pairs(old: Column, new: Column, old_first: bool = True) -> Column:
+    """The pairs of positions of two arrays of lines that a longest common subsequence keeps; null for sides whose table would pass LARGEST_TABLE, or of which one is null.
+
+    What both sides start with is paired without a table, as any longest one can start so.
+    """
+
+    @F.pandas_udf("array<struct<old: int, new: int>>")
+    def inner(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None or len(x) * len(y) > LARGEST_TABLE else [{"old": i, "new": j} for i, j in longest_common(list(x), list(y), old_first)] for x, y in zip(a, b, strict=True)])
 
+    same = F.zip_with(old, new, lambda x, y: x.eqNullSafe(y) & x.isNotNull())
+    ahead = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("int")
+    rest = lambda x: F.slice(x, ahead + 1, F.greatest(F.lit(0), F.size(x) - ahead))
+    begun = F.transform(F.filter(F.sequence(F.lit(0), ahead), lambda i: i < ahead), lambda i: F.struct(i.alias("old"), i.alias("new")))
+    return F.concat(begun, F.transform(inner(rest(old), rest(new)), lambda p: F.struct((p["old"] + ahead).alias("old"), (p["new"] + ahead).alias("new"))))
 
-def _runs(a: str, b: str) -> list[dict] | None:
-    x, y = re.findall(r"\w+|\s+|[^\w\s]", a), re.findall(r"\w+|\s+|[^\w\s]", b)
-    match = difflib.SequenceMatcher(None, x, y, autojunk=False)
-    if len(x) + len(y) > 400 or match.ratio() < 0.4:
+
+def block_diff(blocks: DataFrame, before: str, after: str, *keys: str) -> DataFrame:
+    """keys, nth, sign, line of blocks (keys, before, after): what stays (a blank, the new side's line), goes (-) and comes (+), blanks around lines apart; nth from 1.
+
+    What goes and comes between two lines that stay is told in the order of a walk that takes the new side first where both do. Null sides are empty texts' lines: none.
+    """
+    lines = lambda c: F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.split(c, "\n", -1))
+    rows = blocks.select(*keys, lines(before).alias("_a"), lines(after).alias("_b"))
+    trimmed = lambda c: F.transform(c, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    paired = rows.withColumn("_p", lcs_pairs(trimmed("_a"), trimmed("_b"), old_first=False)).where("_p IS NOT NULL")
+    kept = F.transform("_p", lambda p: F.struct(p["old"].alias("i"), p["new"].alias("j")))
+    # Gaps between pairs, the last one behind them: new lines come before old ones there.
+    ends = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"))), kept, F.array(F.struct(F.size("_a").alias("i"), F.size("_b").alias("j"))))
+    item = lambda sign, x: F.struct(F.lit(sign).alias("sign"), x.alias("line"))
+
+    def gap(e: Column, k: Column) -> Column:
+        nxt = F.get(ends, k + 1)
+        come = F.transform(F.slice("_b", e["j"] + 2, F.greatest(F.lit(0), nxt["j"] - e["j"] - 1)), lambda x: item("+", x))
+        go = F.transform(F.slice("_a", e["i"] + 2, F.greatest(F.lit(0), nxt["i"] - e["i"] - 1)), lambda x: item("-", x))
+        stay = F.when(nxt["j"] < F.size("_b"), F.array(item(" ", F.get("_b", nxt["j"])))).otherwise(F.slice(F.array(item(" ", F.lit(""))), 1, 0))
+        return F.concat(come, go, stay)
+
+    told = F.flatten(F.transform(F.slice(ends, 1, F.size(ends) - 1), gap))
+    return paired.select(*keys, F.posexplode(told).alias("_n", "d")).select(*keys, (F.col("_n") + 1).alias("nth"), "d.sign", "d.line")
+
+
+def _marks(a: str | None, b: str | None) -> tuple[list[str], list[str], list[tuple[int, int]]] | None:
+    """Tokens of both lines and the pairs that are kept; None where marks would not help."""
+    if a is None or b is None or a == b:
         return None
-    out = []
-    for tag, i1, i2, j1, j2 in match.get_opcodes():
-        if tag == "equal":
-            out.append({"kind": "same", "text": "".join(x[i1:i2])})
-        else:
-            out += [{"kind": k, "text": "".join(p)} for k, p in (("old", x[i1:i2]), ("new", y[j1:j2])) if p]
+    x, y = TOKEN.findall(a), TOKEN.findall(b)
+    if len(x) > LONGEST_LINE or len(y) > LONGEST_LINE:
+        return None
+    pairs = longest_common(x, y)
+    return (x, y, pairs) if 2 * sum(len(x[i]) for i, _ in pairs) >= LEAST_ALIKE * max(1, len(a) + len(b)) else None
+
+
+def _spans(tokens: list[str], kept: set[int]) -> list[dict]:
+    out, at = [], 0
+    for k, t in enumerate(tokens):
+        if k not in kept:
+            if out and out[-1]["end"] == at:
+                out[-1]["end"] += len(t)
+            else:
+                out.append({"start": at, "end": at + len(t)})
+        at += len(t)
     return out
 
 
-def lcs_pairs(old: Column, new: Column) -> Column:
-    """pandas UDF: the pairs of positions of two arrays of lines that a longest match keeps."""
+def word_ranges(old: Column, new: Column) -> Column:
+    """Of a changed line the ranges of characters that differ on either side: struct<old, new> of arrays of (start, end); null for equal lines, more than LONGEST_LINE tokens or too little alike."""
 
-    @F.pandas_udf("array<struct<old: int, new: int>>")
-    def pairs(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_matches(x, y) for x, y in zip(a, b, strict=True)])
+    @F.pandas_udf("struct<old: array<struct<start: int, end: int>>, new: array<struct<start: int, end: int>>>")
+    def ranges(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        found = [_marks(x, y) for x, y in zip(a, b, strict=True)]
+        return pd.DataFrame({"old": [None if m is None else _spans(m[0], {i for i, _ in m[2]}) for m in found], "new": [None if m is None else _spans(m[1], {j for _, j in m[2]}) for m in found]})
 
-    return pairs(old, new)
+    found = ranges(old, new)
+    return F.when(found["old"].isNotNull(), found)
 
 
 def word_diff(old: Column, new: Column) -> Column:
-    """pandas UDF: same, old and new runs of words of a changed line; null for more than 400 words or under 0.4 alike."""
+    """Of a changed line its same, old and new runs of words; null as in word_ranges."""
 
     @F.pandas_udf("array<struct<kind: string, text: string>>")
     def runs(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_runs(x, y) for x, y in zip(a, b, strict=True)])
+        out = []
+        for x, y in zip(a, b, strict=True):
+            if (m := _marks(x, y)) is None:
+                out.append(None)
+                continue
+            told, i, j = [], 0, 0
+            for p, q in (*m[2], (len(m[0]), len(m[1]))):
+                for kind, text in (("old", "".join(m[0][i:p])), ("new", "".join(m[1][j:q])), ("same", m[0][p] if p < len(m[0]) else "")):
+                    if text and told and told[-1]["kind"] == kind:
+                        told[-1]["text"] += text
+                    elif text:
+                        told.append({"kind": kind, "text": text})
+                i, j = p + 1, q + 1
+            out.append(told)
+        return pd.Series(out)
 
     return runs(old, new)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from changeloom.operators import contracts, groups
+from changeloom.operators import contracts, groups, review
 from changeloom.plans.registry import query, table
 from changeloom.plans.standins import edges, sql, told
 
@@ -54,3 +54,24 @@ def feature_groups(spark, sf_dir):
     end = lambda e: p.select(F.col("id").alias(e), F.col("scope"), F.col("name").alias("a" if e == "src" else "b"))
     links = edges(spark, sf_dir).join(end("src"), "src").join(end("dst"), ["dst", "scope"]).select("scope", "a", "b", F.col("weight").alias("w"))
     return groups.contract(p.select("scope", F.col("name").alias("id"), F.lit(1).cast("long").alias("n")), links, 16)
+
+
+#: Blocks of lines before and after: a line of each word of a part's name and type, some indented anew, left out or added.
+BLOCKS = """SELECT p_partkey AS id, replace(p_name, ' ', chr(10)) || chr(10) || p_type || chr(10) || p_brand || chr(10) || CAST(p_size AS varchar(9)) AS before,
+    (CASE WHEN p_size % 3 = 0 THEN 'new' || chr(10) ELSE '' END) || replace(p_name, ' ', (CASE WHEN p_size % 4 = 0 THEN chr(10) || 'between' || chr(10) ELSE chr(10) || '  ' END)) || chr(10) || (CASE WHEN p_size % 5 > 0 THEN p_type || chr(10) ELSE '' END) || '  ' || p_brand AS after FROM {part}"""
+
+
+@query()
+def block_diffs(spark, sf_dir):
+    return review.block_diff(sql(spark, sf_dir, BLOCKS, "part"), "before", "after", "id")
+
+
+@query()
+def changed_words(spark, sf_dir):
+    """The ranges that differ between a part's description and that of the next number's size."""
+    p = table(spark, sf_dir, "part")
+    old = F.concat_ws(" ", "p_name", F.concat(F.lit("("), "p_type", F.lit("),")), "p_brand", F.col("p_size").cast("string"))
+    new = F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 3 == 0, "new"), F.concat(F.lit("("), "p_type", F.lit(");")), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), (F.col("p_size") + 1).cast("string"))
+    marks = p.select("p_partkey", review.word_ranges(old, new).alias("m"))
+    told = lambda side: F.array_join(F.transform(f"m.{side}", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), " ")
+    return marks.select("p_partkey", told("old").alias("old_ranges"), told("new").alias("new_ranges"))
