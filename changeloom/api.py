@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.operators import review, snapshots
+from changeloom.operators import catalogs, contracts, review, snapshots
 
 SEVERITIES = ["critical", "high", "medium", "low"]
 
@@ -96,6 +96,26 @@ class Review:
     def list_tables(self, *, database: str | None = None, query: str | None = None) -> DataFrame:
         return self._filtered("schema_tables", query, ["table"], database=database)
 
+    def get_contracts(self, target: str) -> DataFrame:
+        """What the patches of a target change, remove or move of what others depend on (changed_files with status)."""
+        return contracts.changed_contracts(self._of("changed_files").where(F.col("target") == target).select(F.col("file").alias("path"), "status", "patch"))
+
+    def left_behind(self, target: str) -> DataFrame:
+        """Lines (code_lines: path, line, content) that use a changed contract of the target and were not edited along (edited_lines: target, path, line)."""
+        edited = self._of("edited_lines").where(F.col("target") == target)
+        return contracts.left_behind(self.get_contracts(target), self._of("code_lines"), edited)
+
+    def list_commits(self, repo: str, n: int = 50, before: tuple | None = None) -> DataFrame:
+        """A page of the commits (repo, sha, authored_at) of a repository, newest first; before: authored_at and sha of the last one seen."""
+        rows = self._of("commits").where(F.col("repo") == repo)
+        last = None if before is None else rows.select("repo").limit(1).select("repo", F.lit(before[0]).alias("authored_at"), F.lit(before[1]).alias("sha"))
+        return catalogs.history_page(rows, n, last).orderBy("nth")
+
+    def history(self, path: str, n: int = 20) -> DataFrame:
+        """The newest commits (touched: sha, authored_at, file) that touch a file or a folder."""
+        touched = self._of("touched")
+        return catalogs.path_history(touched, touched.sparkSession.createDataFrame([(path,)], "path string"), n).orderBy("nth")
+
     def callers(self, declaration: str) -> DataFrame:
         return self._of("edges").where(F.col("dst") == declaration).orderBy("src")
 

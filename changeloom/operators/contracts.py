@@ -110,3 +110,22 @@ def changed_contracts(patches: DataFrame) -> DataFrame:
     moved = latest_by(moved, ["to", "name"], F.col("moved_from")).join(told.select(F.col("path").alias("to"), "name"), ["to", "name"], "left_anti")
     out = told.select("path", "name", "kind", "change", "before", "after", F.lit(None).cast("string").alias("moved_from"))
     return out.unionByName(moved.select(F.col("to").alias("path"), "name", "kind", F.lit("changed").alias("change"), "before", "after", "moved_from"))
+
+
+#: Names up to this many are broadcast (under 100 bytes each), more are joined by a shuffle.
+BROADCAST_NAMES = 100_000
+
+
+def left_behind(contracts: DataFrame, lines: DataFrame, edited: DataFrame) -> DataFrame:
+    """name, contract_path, change, path, line: lines (path, line, content) that mention a changed contract and were not edited along (edited: path, line).
+
+    A name that several files' contracts have is told for each; its own file is left out, as its declaration stands there. A line is opened to its distinct words, which meet the names
+    by equality, so a frequent word costs one row a line. Null paths, lines and names: left out.
+    """
+    names = contracts.where("name IS NOT NULL").select("name", F.col("path").alias("contract_path"), "change").distinct()
+    known = names.select(F.col("name").alias("word")).distinct()
+    few = known.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+    words = F.array_distinct(F.regexp_extract_all("content", F.lit(r"([\w$]+)"), F.lit(1)))
+    opened = lines.where("path IS NOT NULL AND line IS NOT NULL").select("path", "line", F.explode(words).alias("word"))
+    met = opened.join(F.broadcast(known) if few else known, "word", "left_semi").join(edited.select("path", "line").distinct(), ["path", "line"], "left_anti")
+    return met.withColumnRenamed("word", "name").join(names, "name").where("path <> contract_path").select("name", "contract_path", "change", "path", "line").distinct()

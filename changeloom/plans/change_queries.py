@@ -28,6 +28,24 @@ def patch_contracts(spark, sf_dir):
     return contracts.changed_contracts(sql(spark, sf_dir, PATCHES, "part"))
 
 
+#: Lines of other files that call the functions of parts, some of them edited.
+CALLS = "SELECT 'lib/' || CAST(l_suppkey AS varchar(12)) || '.ts' AS path, l_orderkey AS line, 'return job' || CAST(l_partkey AS varchar(12)) || '(job' || CAST(l_partkey + 1 AS varchar(12)) || ')' AS content, l_quantity > 45 AS edited FROM {lineitem}"
+
+
+@query(f"""
+WITH parts AS (SELECT *, lead(p_type) OVER (ORDER BY p_partkey) AS next_type, lead(path) OVER (ORDER BY p_partkey) AS next_path FROM ({told(PATCHES)})), c AS (
+    SELECT 'job' || p_partkey AS name, path AS contract_path, CASE WHEN p_partkey % 10 = 8 THEN 'removed' ELSE 'changed' END AS change FROM parts WHERE status = 'modified' AND (p_partkey % 10 = 8 OR p_size % 3 <> 0)
+    UNION ALL SELECT 'job' || p_partkey, next_path, 'changed' FROM parts WHERE p_partkey % 10 = 8 AND next_path IS NOT NULL AND next_type <> p_type
+), calls AS ({told(CALLS)}), w AS (
+    SELECT DISTINCT path, line, unnest(regexp_extract_all(content, '[A-Za-z0-9_$]+')) AS name FROM calls
+)
+SELECT DISTINCT w.name, contract_path, change, path, line FROM w JOIN c USING (name) WHERE (path, line) NOT IN (SELECT (path, line) FROM calls WHERE edited)
+""")
+def contract_usages(spark, sf_dir):
+    lines = sql(spark, sf_dir, CALLS, "lineitem")
+    return contracts.left_behind(patch_contracts(spark, sf_dir), lines, lines.where("edited"))
+
+
 def named_parts(spark, sf_dir):
     """(module, path): parts as files of their brand, named after their name and number."""
     p = table(spark, sf_dir, "part")

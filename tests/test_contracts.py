@@ -76,3 +76,12 @@ def test_long_signatures_are_cut(spark, n):
     lines = ["def wide("] + [f"    a{k}," for k in range(n - 2)] + ["):"]
     got = found(spark, [("w.py", "modified", hunk(*[f"-{x}" for x in lines], "+def wide():"))])
     assert got["w.py", "wide"][2] == "\n".join(lines[:10]).rstrip()
+
+
+def test_lines_that_were_left_behind(spark):
+    made = spark.createDataFrame([("a.ts", "load", "changed"), ("b.ts", "load", "removed"), ("a.ts", "$x", "changed"), ("a.ts", None, "changed")], "path string, name string, change string")
+    lines = spark.createDataFrame([("c.ts", 1, "load(load)"), ("c.ts", 2, "reload()"), ("a.ts", 3, "load()"), ("d.ts", 4, "load()"), ("e.ts", 5, "f($x)"), (None, 1, "load"), ("e.ts", None, "load"), ("e.ts", 6, None)], "path string, line int, content string")
+    edited = spark.createDataFrame([("d.ts", 4), ("d.ts", 4)], "path string, line int")
+    got = sorted(tuple(r) for r in contracts.left_behind(made, lines, edited).collect())
+    assert got == [("$x", "a.ts", "changed", "e.ts", 5), ("load", "a.ts", "changed", "c.ts", 1), ("load", "b.ts", "removed", "a.ts", 3), ("load", "b.ts", "removed", "c.ts", 1)]
+    assert contracts.left_behind(made.limit(0), lines, edited).count() == 0

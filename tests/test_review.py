@@ -93,3 +93,19 @@ def test_facade(df):
     assert rows(r.respond_to_finding("2", "y"), "id", "responses") == sorted([("1", None), ("2", ["x", "y"]), ("3", None)], key=repr)
     with pytest.raises(KeyError):
         r.list_infra()
+
+
+def test_contracts_and_history_of_a_review(df):
+    import datetime as dt
+
+    patch = "@@ -1,2 +1,2 @@\n-def load(a):\n+def load(a, b):\n     pass"
+    at = [dt.datetime(2024, 1, d) for d in (1, 2, 3)]
+    r = Review({
+        "changed_files": df([("t", "a.py", "modified", patch), ("u", "b.py", "modified", patch)], "target string, file string, status string, patch string"),
+        "code_lines": df([("c.py", 1, "load(1)"), ("c.py", 2, "load(1, 2)")], "path string, line int, content string"), "edited_lines": df([("t", "c.py", 2)], "target string, path string, line int"),
+        "commits": df([("r", "x", at[0]), ("r", "y", at[1]), ("r", "z", at[2]), ("s", "w", at[2])], "repo string, sha string, authored_at timestamp"), "touched": df([("x", at[0], "a/b.py"), ("y", at[1], "c.py")], "sha string, authored_at timestamp, file string"),
+    })
+    assert [(c.path, c.name, c.change) for c in r.get_contracts("t").collect()] == [("a.py", "load", "changed")]
+    assert [(x.path, x.line) for x in r.left_behind("t").collect()] == [("c.py", 1)]
+    assert [c.sha for c in r.list_commits("r", 2).collect()] == ["z", "y"] and [c.sha for c in r.list_commits("r", 2, before=(at[1], "y")).collect()] == ["x"]
+    assert [c.sha for c in r.history("a").collect()] == ["x"]
