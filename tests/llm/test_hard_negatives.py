@@ -101,3 +101,13 @@ def test_packing_covers_all_codes_and_splits_large_ones():
 def test_an_empty_room_has_no_results():
     kinds = pa.table({"query_id": pa.array([], pa.int64())})
     assert H.best_in_room(kinds, kinds, None, 3, True).num_rows == 0
+
+
+def test_many_rooms_and_chunks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(V, "ROOM_ROWS", 16)
+    monkeypatch.setattr(V, "CHUNK_MOST", 9)
+    monkeypatch.setattr(H, "QUERIES_AT_ONCE", 4)
+    monkeypatch.setattr(H, "ROWS_AT_ONCE", 5)
+    rows = drawn(400, copies=60)
+    assert V.chunks_for(40, V.rooms_for(400), 4) == 5 and V.rooms_for(400) == 25
+    assert mined(spark, rows, every=10, arity=4, leaf_rows=12) == brute(rows, every=10)

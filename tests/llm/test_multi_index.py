@@ -76,3 +76,13 @@ def test_the_heap_stops_where_sorted_sums_do(seed):
 def test_one_task_holds_more_queries_than_one_matrix(spark):
     rows = drawn(1300, dim=4)
     assert found(spark, rows, every=1, k=2, recall=1.0, n_probes=2000) == brute(rows, 1, 2)
+
+
+def test_many_rooms_and_chunks_of_queries(spark, monkeypatch):
+    from changeloom.llm import vectors as V
+
+    monkeypatch.setattr(V, "ROOM_ROWS", 16)
+    monkeypatch.setattr(V, "CHUNK_MOST", 9)
+    monkeypatch.setattr(M, "QUERIES_AT_ONCE", 4)
+    rows = drawn(300) + [(i, [1.0, 2.0, 3.0, 4.0, 0.1, 0.2, 0.3, 0.4]) for i in range(1000, 1090)]
+    assert found(spark, rows, recall=1.0, n_probes=200) == brute(rows, 5, 4)

@@ -95,3 +95,10 @@ def test_tiles_find_just_the_pairs_one_edit_apart(words):
     got = [(r["word"], r["near"]) for b in S.near_in_order(iter([batch])) for r in b.to_pylist()]
     assert sorted(got) == sorted((a, b) for a in words for b in words if one_edit(a, b))
     assert len(np.unique(list(map(hash, got)))) == len(got)
+
+
+def test_plan_stays_apart_by_group(spark):
+    """Words travel to their halves by one shuffle, and no task is handed a whole table."""
+    words = spark.createDataFrame([("abcdefgh", 3), ("abcdefgi", 4)], "word string, n long")
+    plan = S.near_words(words)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(longer" in plan and "SinglePartition" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
