@@ -216,14 +216,34 @@ def mounted_routes(mounts: DataFrame, routes: DataFrame, max_depth: int = 8) ->
     return routes.join(found, "router").select("router", "method", F.regexp_replace(F.concat("prefix", "path"), "/{2,}", "/").alias("path"))
 
 
+#: Services of one selector, and workloads of the same labels, that one task pairs at most.
+PAIR_BLOCK = 4096
+
+
+def _kinds(rows: DataFrame, key: str, entries: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """(kinds: kind, entries; rows: kind, block, key): the distinct maps, and whose they are, rows of one map dealt to blocks."""
+    listed = cut(rows.select(key, F.array_sort(F.map_entries(entries)).alias("entries")).where(F.size("entries") >= least).distinct(), "maps")
+    kinds = cut(listed.groupBy("entries").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks")).withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    return kinds, listed.join(kinds, "entries").select("kind", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int").alias("block"), key)
+
+
 def selected_workloads(services: DataFrame, workloads: DataFrame) -> DataFrame:
-    """(service, workload) where all entries of the service's selector map are labels of the workload.
+    """(service, workload) where all entries of the service's selector map are labels of the workload; repeated rows count once.
 
-    Entries are joined as rows: a pair matches if as many entries meet as the selector has. Empty selectors match nothing.
+    Distinct selectors meet distinct labels by the selector's rarest entry, and the others are looked up there; rows only join
+    the kinds that fit, block by block, so what travels is the input and the work is the result. Empty selectors match nothing, nor do null values.
     """
-    wanted = services.select("service", F.size("selector").alias("n"), F.explode("selector").alias("k", "v"))
-    has = workloads.select("workload", F.explode("labels").alias("k", "v"))
-    return wanted.join(has, ["k", "v"]).groupBy("service", "workload", "n").agg(F.count("*").alias("_m")).where("_m = n").select("service", "workload")
+    asked, wanting = _kinds(services, "service", "selector", 1)
+    given, having = _kinds(workloads, "workload", "labels", 1)
+    has = given.select(F.col("kind").alias("_has"), F.col("entries").alias("_labels"), F.col("blocks").alias("_h"), F.explode("entries").alias("entry"))
+    seen = has.groupBy("entry").agg(F.count("*").alias("n"))
+    rare = asked.select("kind", "entries", "blocks", F.explode("entries").alias("entry")).join(seen, "entry").groupBy("kind", "entries", "blocks").agg(F.min_by("entry", F.struct("n", "entry")).alias("entry"))
+    fits = F.forall("entries", lambda e: e["value"].isNotNull()) & (F.size(F.array_except("entries", "_labels")) == 0)
+    met = cut(rare.join(has, "entry").where(fits).select("kind", "blocks", "_has", "_h"), "selected-kinds")
+    cells = met.select("kind", "_has", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_i"), "_h").select("kind", "_has", "_i", F.explode(F.sequence(F.lit(0), F.col("_h") - 1)).alias("_j"))
+    left = cells.join(wanting.withColumnRenamed("block", "_i"), ["kind", "_i"])
+    right = cells.join(having.select(F.col("kind").alias("_has"), F.col("block").alias("_j"), "workload"), ["_has", "_j"])
+    return left.join(right, ["kind", "_has", "_i", "_j"]).select("service", "workload")
 
 
 def images_to_builds(images: DataFrame, builds: DataFrame) -> DataFrame:

@@ -94,3 +94,14 @@ def test_replay(df):
     ops = [("d", 1, 1, "create_table", "t", None, None, None, None), ("d", 1, 2, "add_column", "t", "a", None, "int", True), ("d", 1, 3, "add_column", "t", "b", None, "text", False), ("d", 3, 1, "rename_table", "t", None, "u", None, None), ("d", 2, 1, "rename_column", "t", "a", "z", None, None), ("d", 4, 1, "drop_column", "u", "b", None, None, None), ("d", 5, 1, "alter_type", "u", "z", None, "bigint", None), ("d", 6, 1, "drop_table", "nope", None, None, None, None), ("e", 1, 1, "create_table", "k", None, None, None, None), ("e", 1, 2, "add_column", "k", "id", None, "int", None)]
     got = replay.replay(df(ops, "database string, ord int, seq int, op string, table string, column string, to string, type string, nullable boolean"))
     assert rows(got) == [("d", "u", "z", "bigint", True, 1), ("e", "k", "id", "int", None, 0)]
+
+
+def test_selected_workloads_meet_by_kind_and_block(df, monkeypatch):
+    monkeypatch.setattr(snapshots, "PAIR_BLOCK", 3)
+    told = [(f"s{i}", {"env": "prod", "app": f"a{i % 2}"}) for i in range(8)] + [("s0", {"env": "prod", "app": "a0"}), ("none", {"app": None}), ("empty", {})]
+    labels = [(f"w{i}", {"env": "prod", "app": f"a{i % 4}", "x": "y"}) for i in range(20)] + [("w0", {"env": "prod", "app": "a0", "x": "y"}), ("w90", {"app": None})]
+    met, before = [], snapshots.cut
+    monkeypatch.setattr(snapshots, "cut", lambda d, name="step": (out := before(d, name), met.append(out.count()) if name == "selected-kinds" else None)[0])
+    got = rows(snapshots.selected_workloads(df(told, "service string, selector map<string,string>"), df(labels, "workload string, labels map<string,string>")))
+    assert got == sorted({(s, w) for s, a in told for w, b in labels if a and all(v is not None and b.get(k) == v for k, v in a.items())}, key=repr)
+    assert met == [2]
