@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from changeloom.checkpoints import cut
 from changeloom.operators.graph import chased
 
-#: Tables' lives up to this many are broadcast (about 200 bytes each), more are joined by a shuffle.
-BROADCAST_LIVES = 100_000
+#: Tables' lives up to this many are broadcast (about 1 KB each), more are joined by a shuffle.
+BROADCAST_LIVES = 10_000
 TABLE_OPS, COLUMN_OPS = ("create_table", "drop_table", "rename_table"), ("add_column", "drop_column", "rename_column", "alter_type", "set_not_null")
 MAKES, ENDS, MOVES = ("create_table", "add_column"), ("drop_table", "drop_column"), ("rename_table", "rename_column")
 
@@ -39,6 +39,11 @@ def numbered(ops: DataFrame) -> DataFrame:
     return cut(known.withColumn("pos", F.struct("ord", "seq", "op", "table", "column", "to", F.monotonically_increasing_id().alias("id"))), "operations")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, never to be broadcast: positions repeat so much that a table's files are a hundredth of its rows, and Spark goes by the files."""
+    return df.hint("merge")
+
+
 def lives(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """events (scope, pos, kind, name, to) to (status of each: pos, status) and the lives.
 
@@ -54,24 +59,24 @@ def lives(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     def with_state(found: DataFrame, failed: DataFrame | None) -> DataFrame:
         """found with `alive`: whether the name was in use before; moves in `failed` bring nothing."""
         if failed is not None:
-            found = found.join(failed.select("pos", F.lit(True).alias("_failed")), "pos", "left").withColumn("sets", F.when(~(F.col("arrives") & F.coalesce("_failed", F.lit(False))), F.col("sets"))).drop("_failed")
+            found = found.join(shuffled(failed.select("pos", F.lit(True).alias("_failed"))), "pos", "left").withColumn("sets", F.when(~(F.col("arrives") & F.coalesce("_failed", F.lit(False))), F.col("sets"))).drop("_failed")
         return found.withColumn("alive", F.coalesce(F.last("sets", ignorenulls=True).over(before), F.lit(False)))
 
     # Only names that something is moved to can hang on other moves.
     moved = cut(rows.where("kind = 'move'").select("scope", "name").distinct(), "moved-names")
     failed, n = None, -1
     if moved.limit(1).count():
-        near = cut(rows.join(moved, ["scope", "name"], "left_semi"), "moves")
+        near = cut(rows.join(shuffled(moved), ["scope", "name"], "left_semi"), "moves")
         while True:
             now = cut(with_state(near, failed).where("kind = 'move' AND NOT arrives AND NOT alive").select("pos"), "failed-moves")
-            gone = now.count() if failed is None else now.join(failed, "pos", "left_anti").count() + failed.join(now, "pos", "left_anti").count()
+            gone = now.count() if failed is None else now.join(shuffled(failed), "pos", "left_anti").count() + failed.join(shuffled(now), "pos", "left_anti").count()
             failed = now
             if not gone:
                 break
     seen = cut(with_state(rows, failed), "states")
 
     source, target = seen.where("NOT arrives"), seen.where("arrives").select("pos", F.col("alive").alias("taken"))
-    joined = source.join(target, "pos", "left")
+    joined = source.join(shuffled(target), "pos", "left")
     status = joined.select("pos", F.expr("CASE WHEN kind = 'make' THEN IF(alive, 'reflected', 'clean') WHEN kind = 'end' THEN IF(alive, 'clean', 'reflected') WHEN alive THEN 'clean' WHEN taken THEN 'reflected' ELSE 'conflict' END").alias("status"))
     starts = "(kind = 'make' AND NOT arrives AND NOT alive OR arrives AND sets)"
     stops = "(kind = 'end' AND alive OR kind = 'move' AND NOT arrives AND alive)"
@@ -80,14 +85,14 @@ def lives(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = cut(marks.select("scope", "name", F.col("pos").alias("start"), "stop"), "lives")
     # A life that a move starts goes on from the one that it stops under the name it leaves.
     moves = seen.where("kind = 'move' AND NOT arrives AND alive").select("scope", F.col("pos").alias("start"), "name")
-    links = moves.join(parts.select("scope", "name", F.col("stop").alias("start"), F.col("start").alias("back")), ["scope", "name", "start"]).select("start", "back")
-    roots = chased(parts.select("start").join(links, "start", "left").select("start", F.coalesce("back", "start").alias("root")))
-    return status, parts.join(roots, "start").select("scope", "name", "root", "start", "stop")
+    links = moves.join(shuffled(parts.select("scope", "name", F.col("stop").alias("start"), F.col("start").alias("back"))), ["scope", "name", "start"]).select("start", "back")
+    roots = chased(parts.select("start").join(shuffled(links), "start", "left").select("start", F.coalesce("back", "start").alias("root")))
+    return status, parts.join(shuffled(roots), "start").select("scope", "name", "root", "start", "stop")
 
 
 def few(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_LIVES + 1).count() <= BROADCAST_LIVES else df
+    """df, to be broadcast if it is small, and shuffled if not."""
+    return F.broadcast(df) if df.limit(BROADCAST_LIVES + 1).count() <= BROADCAST_LIVES else shuffled(df)
 
 
 def at_time(ops: DataFrame, alive: DataFrame, scope: str, name: str) -> DataFrame:
@@ -118,7 +123,7 @@ def resolved(ops: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     attributes = cut(at_time(attributes, column_lives, "table_life", "column").withColumnRenamed("life", "column_life"), "attributes")
     attribute_status = attributes.select("pos", F.when(F.col("column_life").isNull(), "conflict").otherwise("clean").alias("status"))
     status = table_status.unionByName(column_status).unionByName(attribute_status)
-    told = ops.join(placed.select("pos", "table_life"), "pos", "left").join(status, "pos", "left")
+    told = ops.join(shuffled(placed.select("pos", "table_life")), "pos", "left").join(shuffled(status), "pos", "left")
     return told.withColumn("status", F.coalesce("status", F.lit("conflict"))), table_lives, column_lives, attributes
 
 
@@ -141,5 +146,5 @@ def replay(ops: DataFrame) -> DataFrame:
     tables = table_lives.where("stop IS NULL").select("scope.database", F.col("name").alias("table"), F.col("root").alias("table_life"))
     columns = column_lives.where("stop IS NULL").select(F.col("scope").alias("table_life"), F.col("name").alias("column"), F.col("root").alias("life"))
     unfit = told.groupBy(F.col("database").alias("_database")).agg(F.count_if(F.col("status") != "clean").alias("conflicts"))
-    out = tables.join(columns, "table_life").join(state, "life").join(few(unfit), F.col("database").eqNullSafe(F.col("_database")))
+    out = tables.join(shuffled(columns), "table_life").join(shuffled(state), "life").join(few(unfit), F.col("database").eqNullSafe(F.col("_database")))
     return out.select("database", "table", "column", "type", "nullable", "conflicts")

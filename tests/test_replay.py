@@ -77,3 +77,10 @@ def test_whole_table(spark):
     ops = [tuple(r[c.split()[0]] for c in SCHEMA.split(", ")) for r in part_history(spark, SF).collect()]
     assert len(ops) > 150
     check(spark, ops)
+
+
+def test_positions_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(replay, "BROADCAST_LIVES", 0)
+    rows = [("d", 1, i, op, "t", f"c{i % 5}", f"r{i % 5}", "int", True) for i, op in enumerate(["create_table", *["add_column", "rename_column", "drop_column", "alter_type"] * 6])]
+    told = replay.checked(spark.createDataFrame(rows, "database string, ord int, seq int, op string, table string, column string, to string, type string, nullable boolean"))
+    assert "BroadcastHashJoin" not in told._jdf.queryExecution().executedPlan().toString() and told.count() == len(rows)
