@@ -36,7 +36,7 @@ WITH RECURSIVE {scores("s", "SELECT p_partkey AS id, p_name AS text FROM part",
 SELECT p_brand, p_partkey, p_name, CAST(round(score, 6) AS DOUBLE) AS score, CAST(rank AS BIGINT) AS rank FROM (SELECT p_brand, p_partkey, p_name, score, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_name, p_partkey) AS rank FROM part JOIN s ON id = p_partkey) WHERE rank <= 6
 """)
 def fuzzy_topk(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").withColumn("score", search.fuzzy("r wi", F.col("p_name"))).where("score IS NOT NULL")
+    rows = search.scored(table(spark, sf_dir, "part"), search.fuzzy("r wi", F.col("p_name")))
     return rounded(longs(search.top_by_kind(rows, "p_brand", 6, F.desc("score"), F.col("p_name"), F.col("p_partkey")).select("p_brand", "p_partkey", "p_name", "score", "rank"), "rank"))
 
 
@@ -48,8 +48,8 @@ WITH RECURSIVE {scores("w", f"SELECT id, path AS text FROM ({told(FILES)})", "li
 SELECT w.id, w.text AS path, CAST(round(CASE WHEN b.score + 20 >= w.score THEN b.score + 20 WHEN contains(w.text, '/') THEN w.score ELSE w.score + 20 END, 6) AS DOUBLE) AS score FROM w LEFT JOIN b ON b.id = w.id
 """)
 def path_scores(spark, sf_dir):
-    found = sql(spark, sf_dir, FILES, "part").withColumn("score", search.fuzzy_path("lib ts", F.col("path")))
-    return rounded(found.where("score IS NOT NULL"))
+    found = search.scored(sql(spark, sf_dir, FILES, "part"), search.fuzzy_path("lib ts", F.col("path")))
+    return rounded(found)
 
 
 @query(f"""
@@ -58,7 +58,7 @@ SELECT p_partkey AS id, CAST(round(greatest(n.score + 10, q.score) + CASE WHEN p
 """)
 def symbol_scores(spark, sf_dir):
     score = search.fuzzy_symbol("ob", F.col("p_name"), F.concat_ws(".", "p_brand", "p_name"), F.col("p_size") % 2 == 0)
-    return rounded(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), score.alias("score")).where("score IS NOT NULL"))
+    return rounded(search.scored(table(spark, sf_dir, "part"), score).select(F.col("p_partkey").alias("id"), "score"))
 
 
 @query(f"""
@@ -68,7 +68,7 @@ UNION ALL SELECT p_partkey, 30::DOUBLE FROM part WHERE p_partkey NOT IN (SELECT
 """)
 def component_scores(spark, sf_dir):
     score = search.fuzzy_component("d1", F.col("p_brand"), F.concat_ws(" ", "p_type", F.lit("d1"), "p_name"))
-    return rounded(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), score.alias("score")).where("score IS NOT NULL"))
+    return rounded(search.scored(table(spark, sf_dir, "part"), score).select(F.col("p_partkey").alias("id"), "score"))
 
 
 @query("""
@@ -76,7 +76,7 @@ SELECT o_orderkey AS id, CASE WHEN o_orderkey = 12 THEN 200::DOUBLE ELSE 120 END
 """)
 def number_scores(spark, sf_dir):
     score = search.fuzzy_number("#12", F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus") == "O")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), score.alias("score")).where("score IS NOT NULL")
+    return search.scored(table(spark, sf_dir, "orders"), score).select(F.col("o_orderkey").alias("id"), "score")
 
 
 @query(f"""
@@ -85,7 +85,7 @@ SELECT c.id, CAST(round(CASE WHEN starts_with(sha, 'dc1e') THEN 150.0 ELSE s.sco
 """)
 def commit_scores(spark, sf_dir):
     sha = F.concat(F.when(F.col("event_type") == "error", "dc1e").otherwise(""), F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 36))
-    return rounded(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), search.fuzzy_commit("dc1e", sha, F.col("event_type")).alias("score")).where("score IS NOT NULL"))
+    return rounded(search.scored(table(spark, sf_dir, "events"), search.fuzzy_commit("dc1e", sha, F.col("event_type"))).select(F.col("event_id").alias("id"), "score"))
 
 
 @query(f"""
@@ -96,7 +96,7 @@ FROM part LEFT JOIN s ON s.id = p_partkey LEFT JOIN e ON e.id = p_partkey WHERE
 def finding_scores(spark, sf_dir):
     assessment = F.element_at(F.array(*map(F.lit, ("defect", "concern", "unknown", "ok"))), F.col("p_size") % 4 + 1)
     score = search.fuzzy_finding("bolt", F.col("p_name"), F.concat_ws(" ", "p_type", "p_brand"), assessment, F.col("p_size") > 40, F.col("p_size") < 5)
-    return rounded(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), score.alias("score")).where("score IS NOT NULL"))
+    return rounded(search.scored(table(spark, sf_dir, "part"), score).select(F.col("p_partkey").alias("id"), "score"))
 
 
 @query(f"""
@@ -105,7 +105,7 @@ SELECT p_partkey AS id, CAST(round(coalesce(s.score, CASE WHEN h.score IS NOT NU
 """)
 def endpoint_scores(spark, sf_dir):
     score = search.fuzzy_endpoint("sbo", F.concat_ws(" /", "p_type", "p_name"), F.concat("p_brand", "p_name"))
-    return rounded(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), score.alias("score")).where("score IS NOT NULL"))
+    return rounded(search.scored(table(spark, sf_dir, "part"), score).select(F.col("p_partkey").alias("id"), "score"))
 
 
 ALL_SQL = """things AS (SELECT 'table' AS kind, 't' || p_partkey AS key, p_name AS title, p_brand AS path FROM part UNION ALL SELECT 'env', 'e' || s_suppkey, s_name, 'Brand#' || s_nationkey FROM supplier UNION ALL SELECT 'infra', 'i' || n_nationkey, n_name, 'none' FROM nation)"""
@@ -119,7 +119,7 @@ SELECT kind, key, title, CAST(round(score, 6) AS DOUBLE) AS score, CAST(rank AS
 """)
 def search_all_kinds(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    thing = lambda df, kind, key, title, path: df.select(F.lit(kind).alias("kind"), key.alias("key"), title.alias("title"), path.alias("path"), search.fuzzy("er", title).alias("score"))
+    thing = lambda df, kind, key, title, path: search.scored(df, search.fuzzy("er", title)).select(F.lit(kind).alias("kind"), key.alias("key"), title.alias("title"), path.alias("path"), "score")
     sources = [
         thing(parts, "table", F.concat(F.lit("t"), "p_partkey"), F.col("p_name"), F.col("p_brand")),
         thing(table(spark, sf_dir, "supplier"), "env", F.concat(F.lit("e"), "s_suppkey"), F.col("s_name"), F.concat(F.lit("Brand#"), "s_nationkey")),
