@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from changeloom.functions.paths import ancestors, base_name, dir_name
 from changeloom.functions.text import criterion_key, words
 from changeloom.operators.graph import reach, rolled_up
-from changeloom.operators.relational import keep_newest, latest_by
+from changeloom.operators.relational import keep_newest, latest_by, spread
 
 # --- resolution ------------------------------------------------------------------------------------------------
 
@@ -143,7 +143,7 @@ def block_diff(blocks: DataFrame, before: str, after: str, *keys: str) -> DataFr
     What goes and comes between two lines that stay is told in the order of a walk that takes the new side first where both do. Null sides are empty texts' lines: none.
     """
     lines = lambda c: F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.split(c, "\n", -1))
-    rows = blocks.select(*keys, lines(before).alias("_a"), lines(after).alias("_b"))
+    rows = spread(blocks).select(*keys, lines(before).alias("_a"), lines(after).alias("_b"))
     trimmed = lambda c: F.transform(c, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     paired = rows.withColumn("_p", lcs_pairs(trimmed("_a"), trimmed("_b"), old_first=False)).where("_p IS NOT NULL")
     kept = F.transform("_p", lambda p: F.struct(p["old"].alias("i"), p["new"].alias("j")))
