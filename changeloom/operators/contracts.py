@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from changeloom.checkpoints import cut
 from changeloom.functions.declarations import declared, indent, plain_form
-from changeloom.operators.relational import latest_by
+from changeloom.operators.relational import latest_by, spread
 
 #: Lines that a signature and a block have at most, columns that a declaration is indented at most, and the length of names that are too short to be looked for (fixed values).
 SIGNATURE_LINES, BLOCK_LINES, INDENT, SHORT = 10, 40, 8, 2
@@ -23,7 +23,7 @@ def hunks(patches: DataFrame) -> DataFrame:
     """path, status, hunk (its number), old, new of patches (path, status, patch): the sides as arrays of (body, changed)."""
     text = F.concat(F.lit("\n"), F.regexp_replace("patch", "\r\n", "\n"))
     bodies = F.slice(F.split(text, r"\n@@ [^\n]*@@[^\n]*"), 2, 1 << 30)
-    rows = patches.where("path IS NOT NULL AND patch IS NOT NULL").select("path", F.coalesce("status", F.lit("modified")).alias("status"), F.posexplode(bodies).alias("hunk", "_h"))
+    rows = spread(patches.select("path", "status", "patch")).where("path IS NOT NULL AND patch IS NOT NULL").select("path", F.coalesce("status", F.lit("modified")).alias("status"), F.posexplode(bodies).alias("hunk", "_h"))
     lines = F.filter(F.slice(F.split("_h", "\n"), 2, 1 << 30), lambda x: (x != "") & ~x.startswith("\\"))
     side = lambda mark: F.transform(F.filter(lines, lambda x: ~x.startswith(mark)), lambda x: F.struct(F.substr(x, F.lit(2)).alias("body"), (~x.startswith(" ")).alias("changed")))
     return rows.select("path", "status", "hunk", side("+").alias("old"), side("-").alias("new"))
