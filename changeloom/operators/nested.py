@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changeloom.checkpoints import cut
 from changeloom.operators import graph
+from changeloom.operators.relational import spread
 
 
 def attributes(rows: DataFrame, json: str, keys: list[str], *, depth: int = 8, most: int | None = None) -> DataFrame:
@@ -18,7 +19,7 @@ def attributes(rows: DataFrame, json: str, keys: list[str], *, depth: int = 8, m
     each row's objects, in the order of keys. Texts that are no JSON and nulls have none. Repeated rows are opened each.
     """
     spark = rows.sparkSession
-    start = rows.select(*keys, F.monotonically_increasing_id().alias("_row"), F.try_parse_json(F.col(json)).alias("v")).where("v IS NOT NULL AND NOT is_variant_null(v)")
+    start = spread(rows).select(*keys, F.monotonically_increasing_id().alias("_row"), F.try_parse_json(F.col(json)).alias("v")).where("v IS NOT NULL AND NOT is_variant_null(v)")
     level = cut(start.select(*keys, "_row", F.lit("").alias("prefix"), "v", F.array().cast("array<int>").alias("place"), F.lit(False).alias("named")), "level")
     names, found = ", ".join(f"`{k}`" for k in keys), []
     kind, inner = "schema_of_variant(v)", "exists(try_variant_get(v, '$', 'array<variant>'), x -> schema_of_variant(x) RLIKE '^(OBJECT|ARRAY)')"
