@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from changeloom.operators import contracts, groups, review
+from changeloom.operators import contracts, groups, relational, review
 from changeloom.plans.registry import query, table
 from changeloom.plans.standins import edges, sql, told
 
@@ -90,6 +90,6 @@ def changed_words(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     old = F.concat_ws(" ", "p_name", F.concat(F.lit("("), "p_type", F.lit("),")), "p_brand", F.col("p_size").cast("string"))
     new = F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 3 == 0, "new"), F.concat(F.lit("("), "p_type", F.lit(");")), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), (F.col("p_size") + 1).cast("string"))
-    marks = p.select("p_partkey", review.word_ranges(old, new).alias("m"))
+    marks = relational.spread(p).select("p_partkey", review.word_ranges(old, new).alias("m"))
     told = lambda side: F.array_join(F.transform(f"m.{side}", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), " ")
     return marks.select("p_partkey", told("old").alias("old_ranges"), told("new").alias("new_ranges"))
