@@ -222,11 +222,28 @@ def merged_back(cards: DataFrame, card: str) -> DataFrame:
     return marked.select(F.when(F.col("_back"), card).otherwise(F.col("card")).alias("card"), "member", F.when(F.col("_back"), F.lit(own_origin)).otherwise(F.col("origin")).alias("origin"))
 
 
+#: Callers of a host, and what its routes lead to, that one task pairs at most.
+HOST_BLOCK = 2048
+
+
 def topology(routes: DataFrame, uses: DataFrame, calls: DataFrame) -> DataFrame:
-    """Edges of an infrastructure, one for each pair and kind: routes (from, to), uses (from, to), and calls (from, host) by the route of the host (host, to)."""
+    """Edges of an infrastructure, one for each pair and kind: routes (from, to), uses (from, to), and calls (from, host) by the route of the host (host, to).
+
+    A pair that meets over several hosts is told by the least of them, so pairs need no shuffle to be told once. Hosts are cut into blocks of
+    callers and of routes, and pairs of blocks meet.
+    """
     kind = lambda df, k: df.select("from", "to", F.lit(k).alias("kind"))
-    by_host = calls.join(routes.where("host IS NOT NULL").select("host", "to"), "host")
-    return kind(routes, "route").unionByName(kind(uses, "uses")).unionByName(kind(by_host, "calls")).where("`from` <> `to`").dropDuplicates(["from", "to", "kind"])
+    callers = cut(calls.where("host IS NOT NULL").groupBy("from").agg(F.array_sort(F.collect_set("host")).alias("_hosts")), "callers")
+    called = cut(routes.where("host IS NOT NULL").groupBy("to").agg(F.array_sort(F.collect_set("host")).alias("_at")), "called")
+    left, right = callers.select("from", "_hosts", F.explode("_hosts").alias("host")), called.select("to", "_at", F.explode("_at").alias("host"))
+    blocks = lambda df, name: df.groupBy("host").agg(F.ceil(F.count("*") / HOST_BLOCK).cast("int").alias(name))
+    dealt = cut(blocks(left, "_ln").join(blocks(right, "_rn"), "host"), "host-blocks")
+    left = left.join(dealt, "host").select("from", "_hosts", "host", F.pmod(F.xxhash64("from"), "_ln").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_rn") - 1)).alias("_j"))
+    right = right.join(dealt, "host").select("to", "_at", "host", F.explode(F.sequence(F.lit(0), F.col("_ln") - 1)).alias("_i"), F.pmod(F.xxhash64("to"), "_rn").alias("_j"))
+    first = F.get(F.array_intersect("_hosts", "_at"), 0)
+    by_host = left.withColumn("_i", F.col("_i").cast("int")).join(right.withColumn("_j", F.col("_j").cast("int")), ["host", "_i", "_j"]).where(((F.size("_hosts") == 1) | (F.size("_at") == 1) | (first == F.col("host"))) & (F.col("from") != F.col("to")))
+    told = kind(routes, "route").unionByName(kind(uses, "uses")).where("`from` <> `to`").dropDuplicates(["from", "to", "kind"])
+    return told.unionByName(kind(by_host, "calls"))
 
 
 def journeys(routes: DataFrame, endpoints: DataFrame, reads: DataFrame) -> DataFrame:
