@@ -57,3 +57,18 @@ def test_plan_carries_no_sets_through_the_meeting(spark):
     finally:
         relational.cut = before
     assert heads and "_set" not in heads[0]
+
+
+def test_no_candidate_is_joined_or_shuffled(spark, monkeypatch):
+    plans, before = [], relational.cut
+    monkeypatch.setattr(relational, "cut", lambda d, name="step": (plans.append(d._jdf.queryExecution().optimizedPlan().toString()) if name == "similar-sets" else None, before(d, name))[1])
+    monkeypatch.setattr(relational, "SET_TOKENS", 300)
+    df = spark.createDataFrame(drawn(3)[:-1], SCHEMA)
+    relational.similar_links(df, "g", "id", "ts", 0.5)
+    assert len(plans) == 1 and plans[0].count("Join ") == 1  # the numbers of blocks
+
+
+def test_tokens_that_hold_what_parts_tokens(spark):
+    rows = [("g", 1, ["a\0b", "c"]), ("g", 2, ["a", "b", "c"]), ("g", 3, ["a\0b", "c", "c"]), ("g", 4, ["a\1\3b", "c"])]
+    got = relational.similar_pairs(spark.createDataFrame(rows, "g string, id int, ts array<string>"), "g", "id", "ts", 0.5).collect()
+    assert [(r.left_id, r.right_id, r.score) for r in got] == [(1, 3, 1.0)]
