@@ -51,9 +51,9 @@ def edge_added_removed(spark, sf_dir):
 
 def _two_sides(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), "l_linenumber")
-    b = lines.where("src % 10 <> 0 AND l_linenumber <> 2").select("src", "dst").distinct()
-    h = lines.where("src % 7 <> 0 AND l_linenumber <> 3").select("src", "dst").distinct()
-    return b, h, h.select(F.col("src").alias("id")).union(h.select("dst")).distinct()
+    b = lines.where("src % 10 <> 0 AND l_linenumber <> 2").select("src", "dst")
+    h = lines.where("src % 7 <> 0 AND l_linenumber <> 3").select("src", "dst")
+    return b, h, h.select(F.col("src").alias("id")).union(h.select("dst"))
 
 
 @query("""
