@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.functions.text import content_id, entropy
+from changeloom.operators.relational import TASK_ROWS
 
 #: Shapes of vendor tokens by kind (fixed values).
 TOKENS = [
@@ -86,8 +89,9 @@ def cobertura_lines(reports: DataFrame, key: str = "report") -> DataFrame:
 
 
 def merged_coverage(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Most hits of each line, then lines, hit and missed of each file."""
-    best = lines.groupBy(*keys, "line").agg(F.max("hits").alias("hits"))
+    """Most hits of each line, then lines, hit and missed of each file; lines are dealt by their number, before they are grouped and after."""
+    n = max(1, math.ceil(lines.count() / TASK_ROWS))
+    best = lines.repartition(n, *keys, "line").groupBy(*keys, "line").agg(F.max("hits").alias("hits")).repartition(n, *keys)
     return best.groupBy(*keys).agg(F.count("*").alias("n_lines"), F.count_if(F.col("hits") > 0).alias("n_hit"), F.count_if(F.col("hits") == 0).alias("n_missed"))
 
 

@@ -1,6 +1,6 @@
 """What a task holds does not grow with the input, and results stay."""
 
-from changeloom.operators import relational
+from changeloom.operators import relational, scans
 
 
 def n_tasks(frame):
@@ -23,3 +23,10 @@ def test_edges_are_grouped_once(spark, monkeypatch):
     got = relational.edge_changes(base, head, nodes)
     assert told(got) == [("a", "c", "added"), ("b", "c", "removed")]  # as EXCEPT has it, an edge of both sides is not new, whatever its ends
     assert n_tasks(got.where("change = 'added'")) >= 5
+
+
+def test_coverage_is_dealt_by_the_number_of_lines(spark, monkeypatch):
+    monkeypatch.setattr(scans, "TASK_ROWS", 2)
+    lines = spark.createDataFrame([("a", 1, 0), ("a", 1, 2), ("a", 2, 0), ("b", 1, None), ("b", 1, 0), ("c", 1, None), ("c", 3, 1)], "file string, line int, hits int")
+    got = scans.merged_coverage(lines, ["file"])
+    assert told(got) == [("a", 2, 1, 1), ("b", 1, 0, 1), ("c", 2, 1, 0)] and n_tasks(got) == 4
