@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,24 +35,60 @@ def grep(files: DataFrame, pattern: str, *keep: str, whole_word: bool = False) -
     return lines_of(files.where(F.col("text").rlike(found)), "text", *keep).where(F.col("content").rlike(found))
 
 
+#: What a line of a diff says: the paths of a file, without what follows them, and where a hunk stands. Line ends within a line end a path, as in the engine's patterns.
+OLD_PATH, NEW_PATH = (re.compile(rf"{mark} ([^\r\u0085\u2028\u2029]*)[\r\u0085\u2028\u2029]?\Z") for mark in ("---", r"\+\+\+"))
+HUNK = re.compile(r"@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@")
+
+
+def diff_spans(text: str) -> list[tuple[str, str, int, int]]:
+    """file, side, first and last line of what the hunks of a diff cover, without overlaps."""
+
+    def path(found):
+        name = re.sub("^[ab]/", "", found[1].strip(" ")) if found else ""
+        return None if name == "/dev/null" else name
+
+    spans, old, file = {}, None, None
+    for line in text.split("\n"):
+        if line.startswith("--- "):
+            old = path(OLD_PATH.match(line)) or ""
+        elif line.startswith("+++ "):
+            new = path(NEW_PATH.match(line))
+            file = new if new is not None else old or file
+        elif file is not None and (hunk := HUNK.match(line)):
+            for side, start, n in (("old", hunk[1], hunk[2]), ("new", hunk[3], hunk[4])):
+                if int(n or 1) > 0:
+                    spans.setdefault((file, side), []).append((int(start), int(start) + int(n or 1) - 1))
+    out = []
+    for (name, side), found in spans.items():
+        first, last = None, None
+        for start, end in sorted(found):
+            if last is not None and start <= last + 1:
+                last = max(last, end)
+                continue
+            if last is not None:
+                out.append((name, side, first, last))
+            first, last = start, end
+        out.append((name, side, first, last))
+    return out
+
+
 def diff_lines(diffs: DataFrame, key: str = "diff_id") -> DataFrame:
-    """Unified diffs (key, text) to key, file, side, line: the lines that were removed (old) and added (new).
+    """Unified diffs (key, text), a row each, to key, file, side, line: the lines that were removed (old) and added (new), once each.
 
-    A deleted file's lines are named by its old path.
+    A deleted file's lines are named by its old path. A text is read in its row, and only the spans of its hunks leave it.
     """
-    rows = lines_of(diffs, "text", key)
-    order = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    path = lambda p: F.nullif(F.regexp_replace(F.trim(F.regexp_extract("content", p, 1)), "^[ab]/", ""), F.lit("/dev/null"))
-    old, new = F.col("content").startswith("--- "), F.col("content").startswith("+++ ")
-    seen = rows.withColumn("_old", F.last(F.when(old, F.coalesce(path(r"^--- (.*)$"), F.lit(""))), ignorenulls=True).over(order))
-    file = F.when(new, F.coalesce(path(r"^\+\+\+ (.*)$"), F.nullif("_old", F.lit(""))))
-    seen = seen.withColumn("file", F.last(file, ignorenulls=True).over(order))
-    hunk = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
-    number = lambda i, other: F.coalesce(F.nullif(F.regexp_extract("content", hunk, i), F.lit("")), F.lit(other)).cast("int")
-    hunks = seen.where(F.col("content").rlike(hunk) & F.col("file").isNotNull())
-    sides = F.array(F.struct(F.lit("old").alias("side"), number(1, "0").alias("start"), number(2, "1").alias("n")), F.struct(F.lit("new").alias("side"), number(3, "0").alias("start"), number(4, "1").alias("n")))
-    spans = hunks.select(key, "file", F.explode(sides).alias("s")).where("s.n > 0")
-    return spans.select(key, "file", F.col("s.side").alias("side"), F.explode(F.expr("sequence(s.start, s.start + s.n - 1)")).alias("line")).distinct()
+    types = {f.name: f.dataType.simpleString() for f in diffs.schema}
+
+    def read(batches):
+        for batch in batches:
+            found = [(i, *span) for i, text in enumerate(batch["text"].to_pylist()) if text is not None for span in diff_spans(text)]
+            which, *columns = zip(*found, strict=True) if found else ((),) * 5
+            told = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch[key].take(pa.array(which, pa.int64())), *told], names=[key, "file", "side", "first", "last"])
+
+    spans = diffs.select(key, "text").mapInArrow(read, f"`{key}` {types[key]}, file string, side string, first int, last int")
+    return spans.select(key, "file", "side", F.explode(F.sequence("first", "last")).alias("line"))
+
 
 
 def may_hold_secret(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from changeloom.operators import scans
+from changeloom.operators import relational, scans
 from changeloom.plans.registry import query, table
 from changeloom.plans.standins import longs
 
@@ -13,7 +13,7 @@ from changeloom.plans.standins import longs
 def joined(rows, key: Column, order: list[str], part: Column, before: str = "", after: str = "", between: str = "\n"):
     """One text of each key: its rows' parts in order."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct(*order, part.alias("part")))), lambda x: x["part"])
-    return rows.groupBy(key.alias("report")).agg(F.concat(F.lit(before), F.array_join(parts, between), F.lit(after)).alias("text"))
+    return relational.dealt(rows, key).groupBy(key.alias("report")).agg(F.concat(F.lit(before), F.array_join(parts, between), F.lit(after)).alias("text"))
 
 
 LINES = "SELECT l_suppkey AS report, 'src/f' || (l_partkey % 40) AS file, l_linenumber AS line, CAST(max(l_quantity) AS BIGINT) - 10 AS hits FROM lineitem GROUP BY 1, 2, 3"

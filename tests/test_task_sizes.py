@@ -30,3 +30,10 @@ def test_coverage_is_dealt_by_the_number_of_lines(spark, monkeypatch):
     lines = spark.createDataFrame([("a", 1, 0), ("a", 1, 2), ("a", 2, 0), ("b", 1, None), ("b", 1, 0), ("c", 1, None), ("c", 3, 1)], "file string, line int, hits int")
     got = scans.merged_coverage(lines, ["file"])
     assert told(got) == [("a", 2, 1, 1), ("b", 1, 0, 1), ("c", 2, 1, 0)] and n_tasks(got) == 4
+
+
+def test_diffs_are_read_in_their_rows(spark):
+    text = "--- a/x\n+++ b/x\n@@ -1,3 +5 @@\n@@ -2,4 +0,0 @@\n--- a/y \n+++ /dev/null\t\n@@ -7 +7,2 @@\n+++ /dev/null\n@@ -9 +1,0 @@\n@@@ -1 +1 @@"
+    got = scans.diff_lines(spark.createDataFrame([(1, text), (2, None), (3, "@@ -1 +1 @@"), (4, "+++ /dev/null\n@@ -1 +1 @@")], "diff_id int, text string"))
+    assert told(got) == sorted([(1, "x", "old", n) for n in range(1, 6)] + [(1, "x", "new", 5), (1, "/dev/null\t", "old", 7), (1, "/dev/null\t", "new", 7), (1, "/dev/null\t", "new", 8), (1, "y", "old", 9)], key=repr)
+    assert "Window" not in plan(got) and "Aggregate" not in plan(got)
