@@ -1,6 +1,7 @@
 """What a task holds does not grow with the input, and results stay."""
 
 from changeloom.operators import relational, scans
+from changeloom.plans.registry import QUERIES
 
 
 def n_tasks(frame):
@@ -25,6 +26,13 @@ def test_edges_are_grouped_once(spark, monkeypatch):
     assert n_tasks(got.where("change = 'added'")) >= 5
 
 
+def test_hubs_are_dealt_by_the_number_of_edges(spark, monkeypatch):
+    dealt, keys = relational.dealt, []
+    monkeypatch.setattr(relational, "dealt", lambda rows, *k: (keys.append(k), dealt(rows, *k))[1])
+    QUERIES["hub_degree"](spark, "/root/testdata/sf0.001")
+    assert keys == [("src", "dst")]
+
+
 def test_coverage_is_dealt_by_the_number_of_lines(spark, monkeypatch):
     monkeypatch.setattr(scans, "TASK_ROWS", 2)
     lines = spark.createDataFrame([("a", 1, 0), ("a", 1, 2), ("a", 2, 0), ("b", 1, None), ("b", 1, 0), ("c", 1, None), ("c", 3, 1)], "file string, line int, hits int")
