@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changeloom.checkpoints import cut
 from changeloom.functions import kinds
 from changeloom.functions.paths import ancestors, base_name, dir_name, extension
 from changeloom.operators.relational import keep_newest, latest_by
@@ -26,13 +27,36 @@ def history_page(commits: DataFrame, n: int = 50, before: DataFrame | None = Non
     return keep_newest(rows, ["repo"], n, F.col("authored_at").desc_nulls_last(), F.col("sha"))
 
 
+#: Paths up to this many are broadcast (some 100 bytes each), more are joined by a shuffle.
+BROADCAST_PATHS = 100_000
+
+
+def day_of(rows: DataFrame, column: str) -> Column:
+    """What orders as the column does, with fewer values: days of times, the first ten characters of texts, else the value."""
+    kind = rows.schema[column].dataType.typeName()
+    if kind == "timestamp":
+        return F.floor(F.unix_micros(column) / 86_400_000_000)
+    if kind == "timestamp_ntz":
+        return F.to_date(column)
+    return F.substring(column, 1, 10) if kind == "string" else F.col(column)
+
+
 def path_history(touched: DataFrame, paths: DataFrame, n: int = 20) -> DataFrame:
     """Of each path (path: a file, a folder, or empty for all) the n newest commits of touched (sha, authored_at, file) that touch it or something under it: path, nth, sha, authored_at.
 
-    A file is opened to the folders above it, which meet the paths by equality.
+    A file is opened to the folders above it, which meet the paths by equality. The commits of a path and day are counted first, by bits of their hashes and so never too many: days before
+    those that surely hold n are left out before commits are sorted or told apart.
     """
     opened = touched.where("file IS NOT NULL").select("sha", "authored_at", F.explode(ancestors(F.col("file"))).alias("path"))
-    found = opened.join(paths.select("path").distinct(), "path").select("path", "sha", "authored_at").distinct()
+    wanted = paths.select("path").distinct()
+    met = opened.join(wanted, "path").withColumn("_day", day_of(touched, "authored_at"))
+    bits = F.expr("bit_or(shiftleft(1L, cast(pmod(xxhash64(sha), 64) AS int)))")
+    days = met.groupBy("path", "_day").agg(F.bit_count(bits).alias("k"))
+    newer = Window.partitionBy("path").orderBy(F.col("_day").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    since = cut(days.withColumn("_sum", F.sum("k").over(newer)).where(F.col("_sum") >= n).groupBy("path").agg(F.max_by(F.struct("_day"), -F.col("_sum")).alias("_since")), "since")
+    few = since.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
+    late = F.col("_since").isNull() | F.col("_since._day").isNull() | (F.col("_day") >= F.col("_since._day"))
+    found = met.join(F.broadcast(since) if few else since.hint("merge"), "path", "left").where(late).select("path", "sha", "authored_at").distinct()
     return keep_newest(found, ["path"], n, F.col("authored_at").desc_nulls_last(), F.col("sha"))
 
 

@@ -1,6 +1,11 @@
 """What a task holds does not grow with the input, and results stay."""
 
-from changeloom.operators import relational, scans
+import random
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from changeloom.operators import catalogs, relational, scans
 from changeloom.plans.registry import QUERIES
 
 
@@ -45,3 +50,22 @@ def test_diffs_are_read_in_their_rows(spark):
     got = scans.diff_lines(spark.createDataFrame([(1, text), (2, None), (3, "@@ -1 +1 @@"), (4, "+++ /dev/null\n@@ -1 +1 @@")], "diff_id int, text string"))
     assert told(got) == sorted([(1, "x", "old", n) for n in range(1, 6)] + [(1, "x", "new", 5), (1, "/dev/null\t", "old", 7), (1, "/dev/null\t", "new", 7), (1, "/dev/null\t", "new", 8), (1, "y", "old", 9)], key=repr)
     assert "Window" not in plan(got) and "Aggregate" not in plan(got)
+
+
+def test_old_days_are_left_out_before_commits_are_sorted(spark, monkeypatch):
+    rng = random.Random(5)
+    start = datetime(2020, 1, 1)
+    rows = [(f"s{rng.randrange(900)}", start + timedelta(hours=rng.randrange(5000)) if rng.random() < 0.98 else None, f"a/{rng.randrange(3)}/f{rng.randrange(9)}") for _ in range(2000)]
+    rows += [("late", None, "b/x"), ("early", start, "b/x")]
+    since, before = [], catalogs.cut
+    monkeypatch.setattr(catalogs, "cut", lambda d, name="step": (since.append(out := before(d, name)), out)[1])
+    for kind in ("timestamp", "timestamp_ntz", "string", "long"):
+        as_ = {"string": lambda t: str(t), "long": lambda t: int(t.timestamp())}.get(kind, lambda t: t)
+        told_ = [(s, None if t is None else as_(t), f) for s, t, f in rows]
+        got = catalogs.path_history(spark.createDataFrame(told_, f"sha string, authored_at {kind}, file string"), spark.createDataFrame([("",), ("a/1",), ("b",)], "path string"), 20)
+        for path in ("", "a/1", "b"):
+            of = {(s, t) for s, t, f in told_ if path == "" or f.startswith(path + "/")}
+            first = sorted((x for x in of if x[1] is not None), key=lambda x: x[0])
+            first = sorted(first, key=lambda x: x[1], reverse=True) + sorted(x for x in of if x[1] is None)
+            assert [(r.sha, r.authored_at) for r in got.where(F.col("path") == path).orderBy("nth").collect()] == first[:20]
+        assert since.pop().count() == 2  # of b there are fewer than 20
