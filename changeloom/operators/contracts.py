@@ -112,20 +112,30 @@ def changed_contracts(patches: DataFrame) -> DataFrame:
     return out.unionByName(moved.select(F.col("to").alias("path"), "name", "kind", F.lit("changed").alias("change"), "before", "after", "moved_from"))
 
 
-#: Names up to this many are broadcast (under 100 bytes each), more are joined by a shuffle.
+#: Contracts up to this many are broadcast (some 100 bytes each), more are joined by a shuffle.
 BROADCAST_NAMES = 100_000
+#: Words are counted by so many buckets; one with more than this part of all words is hot: fewer than HOT_PART of all can be.
+WORD_BUCKETS, HOT_PART = 65_536, 256
 
 
 def left_behind(contracts: DataFrame, lines: DataFrame, edited: DataFrame) -> DataFrame:
     """name, contract_path, change, path, line: lines (path, line, content) that mention a changed contract and were not edited along (edited: path, line).
 
     A name that several files' contracts have is told for each; its own file is left out, as its declaration stands there. A line is opened to its distinct words, which meet the names
-    by equality, so a frequent word costs one row a line. Null paths, lines and names: left out.
+    by equality. Words of hot buckets do not travel: their bucket's contracts, some 256 in 65 536 of all, are broadcast to them. Null paths, lines and names: left out.
     """
     names = contracts.where("name IS NOT NULL").select("name", F.col("path").alias("contract_path"), "change").distinct()
-    known = names.select(F.col("name").alias("word")).distinct()
-    few = known.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+    names = cut(names, "names")
     words = F.array_distinct(F.regexp_extract_all("content", F.lit(r"([\w$]+)"), F.lit(1)))
-    opened = lines.where("path IS NOT NULL AND line IS NOT NULL").select("path", "line", F.explode(words).alias("word"))
-    met = opened.join(F.broadcast(known) if few else known, "word", "left_semi").join(edited.select("path", "line").distinct(), ["path", "line"], "left_anti")
-    return met.withColumnRenamed("word", "name").join(names, "name").where("path <> contract_path").select("name", "contract_path", "change", "path", "line").distinct()
+    opened = lines.where("path IS NOT NULL AND line IS NOT NULL").select("path", "line", F.explode(words).alias("name"))
+    if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
+        met = opened.join(F.broadcast(names), "name")
+    else:
+        bucket = F.pmod(F.xxhash64("name"), F.lit(WORD_BUCKETS))
+        counted = opened.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+        hot = [r["bucket"] for r in counted.withColumn("all", F.sum("n").over(Window.partitionBy())).where(F.col("n") * HOT_PART > F.col("all")).collect()]
+        met = opened.where(~bucket.isin(hot)).join(names.where(~bucket.isin(hot)).hint("merge"), "name")
+        if hot:
+            met = met.unionByName(opened.where(bucket.isin(hot)).join(F.broadcast(names.where(bucket.isin(hot))), "name"))
+    kept = met.where("path <> contract_path").join(edited.select("path", "line").hint("merge"), ["path", "line"], "left_anti")
+    return kept.select("name", "contract_path", "change", "path", "line").distinct()

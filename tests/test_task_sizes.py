@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from changeloom.operators import catalogs, relational, scans
+from changeloom.operators import catalogs, contracts, relational, scans
 from changeloom.plans.registry import QUERIES
 
 
@@ -52,6 +52,18 @@ def test_diffs_are_read_in_their_rows(spark):
     assert "Window" not in plan(got) and "Aggregate" not in plan(got)
 
 
+def test_hot_words_do_not_travel(spark, monkeypatch):
+    made = spark.createDataFrame([("return", "a.ts", "changed"), ("f1", "a.ts", "removed"), ("f1", "b.ts", "changed"), ("f2", "b.ts", "changed")], "name string, path string, change string")
+    lines = spark.createDataFrame([(f"l{i % 7}.ts", i, f"return f{i % 5}(f1, x{i})") for i in range(60)] + [("a.ts", 1, "f1 f2"), (None, 1, "f1")], "path string, line int, content string")
+    edited = lines.where("line % 9 = 0").select("path", "line")
+    want = told(contracts.left_behind(made, lines, edited))
+    monkeypatch.setattr(contracts, "BROADCAST_NAMES", 0)
+    monkeypatch.setattr(contracts, "HOT_PART", 5)
+    got = contracts.left_behind(made, lines, edited)
+    assert told(got) == want and len(want) > 100
+    assert "strategy=broadcast" in plan(got) and "strategy=merge" in plan(got)
+
+
 def test_old_days_are_left_out_before_commits_are_sorted(spark, monkeypatch):
     rng = random.Random(5)
     start = datetime(2020, 1, 1)
