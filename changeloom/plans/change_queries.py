@@ -57,7 +57,7 @@ def named_parts(spark, sf_dir):
 def part_imports(spark, sf_dir):
     files = named_parts(spark, sf_dir)
     of = lambda end: files.select(F.col("id").alias(end), F.col("path").alias(f"{end}_path"))
-    return edges(spark, sf_dir).select("src", "dst").join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"))
+    return edges(spark, sf_dir).select("src", "dst").join(of("src").hint("merge"), "src").join(of("dst").hint("merge"), "dst").select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"))
 
 
 @query()

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from changeloom.operators import catalogs, contracts, relational, scans
+from changeloom.operators import catalogs, contracts, groups, relational, scans
 from changeloom.plans.registry import QUERIES
 
 
@@ -81,3 +81,12 @@ def test_old_days_are_left_out_before_commits_are_sorted(spark, monkeypatch):
             first = sorted(first, key=lambda x: x[1], reverse=True) + sorted(x for x in of if x[1] is None)
             assert [(r.sha, r.authored_at) for r in got.where(F.col("path") == path).orderBy("nth").collect()] == first[:20]
         assert since.pop().count() == 2  # of b there are fewer than 20
+
+
+def test_files_are_not_broadcast(spark, monkeypatch):
+    plans, before = {}, groups.cut
+    monkeypatch.setattr(groups, "cut", lambda d, name="step": (plans.setdefault(name, plan(d)), before(d, name))[1])
+    files = spark.createDataFrame([("m", f"m/user{i % 5}Page{i}.ts") for i in range(40)], "module string, path string")
+    imports = files.selectExpr("path AS src").join(files.selectExpr("path AS dst").limit(3))
+    groups.split_large(files, imports)
+    assert plans["imports"].count("strategy=merge") == 2 and "strategy=merge" in plans["stems"] and "strategy=merge" in plans["moving"]
