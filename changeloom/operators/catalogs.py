@@ -49,12 +49,12 @@ def path_history(touched: DataFrame, paths: DataFrame, n: int = 20) -> DataFrame
     """
     opened = touched.where("file IS NOT NULL").select("sha", "authored_at", F.explode(ancestors(F.col("file"))).alias("path"))
     wanted = paths.select("path").distinct()
-    met = opened.join(wanted, "path").withColumn("_day", day_of(touched, "authored_at"))
+    few = wanted.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
+    met = opened.join(F.broadcast(wanted) if few else wanted, "path").withColumn("_day", day_of(touched, "authored_at"))
     bits = F.expr("bit_or(shiftleft(1L, cast(pmod(xxhash64(sha), 64) AS int)))")
     days = met.groupBy("path", "_day").agg(F.bit_count(bits).alias("k"))
     newer = Window.partitionBy("path").orderBy(F.col("_day").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     since = cut(days.withColumn("_sum", F.sum("k").over(newer)).where(F.col("_sum") >= n).groupBy("path").agg(F.max_by(F.struct("_day"), -F.col("_sum")).alias("_since")), "since")
-    few = since.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
     late = F.col("_since").isNull() | F.col("_since._day").isNull() | (F.col("_day") >= F.col("_since._day"))
     found = met.join(F.broadcast(since) if few else since.hint("merge"), "path", "left").where(late).select("path", "sha", "authored_at").distinct()
     return keep_newest(found, ["path"], n, F.col("authored_at").desc_nulls_last(), F.col("sha"))

@@ -81,6 +81,7 @@ def test_old_days_are_left_out_before_commits_are_sorted(spark, monkeypatch):
             first = sorted(first, key=lambda x: x[1], reverse=True) + sorted(x for x in of if x[1] is None)
             assert [(r.sha, r.authored_at) for r in got.where(F.col("path") == path).orderBy("nth").collect()] == first[:20]
         assert since.pop().count() == 2  # of b there are fewer than 20
+        assert plan(got).count("strategy=broadcast") == 2  # a path that every file is under is in no single task
 
 
 def test_files_are_not_broadcast(spark, monkeypatch):
