@@ -35,3 +35,13 @@ def test_new_cycles_reads_its_edges_once(spark, plans):
     assert got == [(i * 10 + 3, i * 10 + 1, 3) for i in range(6)] + [(103, 104, None), (113, 114, None)]
     assert read.value == len(base) + len(RINGS)
     assert not [n for n, p in plans if "BroadcastExchange" in p and n != "cycles"]
+
+
+def test_import_cycles_broadcasts_no_tables_that_grow(spark, plans):
+    got = {(r.id, r.group) for r in graph.cycle_groups(spark.createDataFrame(RINGS + TAIL, "src int, dst int")).collect()}
+    assert got == {(i * 10 + x, i * 10 + g) for i in range(6) for x, g in [(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)]} | {(100 + i, 100) for i in range(20)}
+    # What is left of parts that are told apart holds a broadcast, of the few large parts only.
+    assert {n for n, p in plans if "BroadcastExchange" in p} <= {"cycles"}
+    assert "Join" in "".join(p for n, p in plans if n == "components")
+    first = next(p for n, p in plans if n == "round")
+    assert "LeftSemi" in first and [n for n, _ in plans].index("round") < [n for n, _ in plans].index("ends")  # cut down before parts are told apart
