@@ -45,3 +45,13 @@ def test_import_cycles_broadcasts_no_tables_that_grow(spark, plans):
     assert "Join" in "".join(p for n, p in plans if n == "components")
     first = next(p for n, p in plans if n == "round")
     assert "LeftSemi" in first and [n for n, _ in plans].index("round") < [n for n, _ in plans].index("ends")  # cut down before parts are told apart
+
+
+def test_reach_of_tests_broadcasts_no_tables_that_grow(spark, plans, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", 3)
+    ids = lambda xs: spark.createDataFrame([(x,) for x in xs], "id int")
+    edges = spark.createDataFrame(RINGS + TAIL + [(1, 9), (9, 5)], "src int, dst int")
+    found = graph.reach_of_tests(edges, ids([4, 200, 201]), ids([100]), ids([1, 5, 9, 101, 300]), first=2)
+    assert {(r.id, r.n_tests, r.min_hops, tuple(r.tests)) for r in found.collect()} == {(1, 1, 1, (4,)), (5, 1, 3, (4,)), (9, 1, 2, (4,)), (101, 2, 2, (200, 201)), (300, 2, 2, (200, 201))}
+    plans.append(("result", found._jdf.queryExecution().executedPlan().toString()))
+    assert {n for n, p in plans if "BroadcastExchange" in p} <= {"cycles"}
