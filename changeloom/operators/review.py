@@ -95,40 +95,71 @@ def access(reads: Column, writes: Column) -> Column:
 # --- lines -----------------------------------------------------------------------------------------------------
 
 
-#: Cells of a table of common lengths, of lines (4 bytes each), and tokens of a line, up to which two sides are compared.
-LARGEST_TABLE, LONGEST_LINE, LEAST_ALIKE = 1 << 26, 400, 0.4
+#: Cells of a table of common lengths (4 bytes each) that are held at once, and the strips that a larger one is cut in; results don't depend on them.
+TABLE_CELLS, STRIPS = 1 << 24, 16
+#: Tokens of a line up to which words of two lines are compared, and the least part of them that is alike.
+LONGEST_LINE, LEAST_ALIKE = 400, 0.4
 TOKEN = re.compile(r"\w+|\s+|[^\w\s]", re.ASCII)
 
 
 def longest_common(a: list, b: list, old_first: bool = True) -> list[tuple[int, int]]:
-    """The positions that a longest common subsequence pairs. Where either side can be passed over, it is the old one, or else the new one."""
+    """The positions that a longest common subsequence pairs. Where either side can be passed over, it is the old one, or else the new one.
+
+    The table of common lengths is worked out from its end, and walked from its start. Of a large one only rows at the borders of strips are kept; a strip's
+    rows are worked out anew when the walk gets there, so memory grows with the lines of the new side (some STRIPS rows a level), and time with the table.
+    """
     same = {x: k for k, x in enumerate({*a, *b})}
     x, y = np.array([same[v] for v in a], np.int32), np.array([same[v] for v in b], np.int32)
-    left = np.zeros((len(a) + 1, len(b) + 1), np.int32)  # [i, j]: the longest of a[i:] and b[j:]
-    for i in range(len(a) - 1, -1, -1):
-        best = np.where(y == x[i], left[i + 1, 1:] + 1, left[i + 1, :-1])
-        left[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
-    pairs, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if x[i] == y[j]:
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif left[i + 1, j] >= left[i, j + 1] if old_first else left[i + 1, j] > left[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+    pairs = []
+
+    def above(row: np.ndarray, i: int, j: int) -> np.ndarray:
+        """The longest of a[i:] and b[j:], b[j + 1:], ...; row: those of a[i + 1:]."""
+        best = np.where(y[j:] == x[i], row[1:] + 1, row[:-1])
+        return np.append(np.maximum.accumulate(best[::-1])[::-1], np.int32(0))
+
+    def walked(i: int, end: int, j: int, below: np.ndarray) -> int:
+        """Pairs of a[i:end], from j on; where on the new side that ends. below: the row of end, from j on."""
+        start, first = i, j
+        if j == len(b):
+            return j
+        if end - i > 1 and (end - i) * len(below) > TABLE_CELLS:
+            borders = [*range(i, end, -(-(end - i) // STRIPS)), end]
+            rows, row = {end: below}, below
+            for k in range(end - 1, borders[1] - 1, -1):
+                row = above(row, k, first)
+                if k in borders:
+                    rows[k] = row
+            for upper, lower in zip(borders, borders[1:], strict=False):
+                j = walked(upper, lower, j, rows.pop(lower)[j - first :])
+            return j
+        left = [below]
+        for k in range(end - 1, start - 1, -1):
+            left.append(above(left[-1], k, first))
+        left.reverse()
+        while i < end and j < len(b):
+            past_old, past_new = left[i + 1 - start][j - first], left[i - start][j + 1 - first]
+            if x[i] == y[j]:
+                pairs.append((i, j))
+                i, j = i + 1, j + 1
+            elif past_old >= past_new if old_first else past_old > past_new:
+                i += 1
+            else:
+                j += 1
+        return j
+
+    walked(0, len(a), 0, np.zeros(len(b) + 1, np.int32))
     return pairs
 
 
 def lcs_pairs(old: Column, new: Column, old_first: bool = True) -> Column:
-    """The pairs of positions of two arrays of lines that a longest common subsequence keeps; null for sides whose table would pass LARGEST_TABLE, or of which one is null.
+    """The pairs of positions of two arrays of lines that a longest common subsequence keeps, of sides of any length; null if one is null.
 
     What both sides start with is paired without a table, as any longest one can start so.
     """
 
     @F.pandas_udf("array<struct<old: int, new: int>>")
     def inner(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None or len(x) * len(y) > LARGEST_TABLE else [{"old": i, "new": j} for i, j in longest_common(list(x), list(y), old_first)] for x, y in zip(a, b, strict=True)])
+        return pd.Series([None if x is None or y is None else [{"old": i, "new": j} for i, j in longest_common(list(x), list(y), old_first)] for x, y in zip(a, b, strict=True)])
 
     same = F.zip_with(old, new, lambda x, y: x.eqNullSafe(y) & x.isNotNull())
     ahead = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("int")
@@ -145,7 +176,7 @@ def block_diff(blocks: DataFrame, before: str, after: str, *keys: str) -> DataFr
     lines = lambda c: F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.split(c, "\n", -1))
     rows = spread(blocks).select(*keys, lines(before).alias("_a"), lines(after).alias("_b"))
     trimmed = lambda c: F.transform(c, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    paired = rows.withColumn("_p", lcs_pairs(trimmed("_a"), trimmed("_b"), old_first=False)).where("_p IS NOT NULL")
+    paired = rows.withColumn("_p", lcs_pairs(trimmed("_a"), trimmed("_b"), old_first=False))
     kept = F.transform("_p", lambda p: F.struct(p["old"].alias("i"), p["new"].alias("j")))
     # Gaps between pairs, the last one behind them: new lines come before old ones there.
     ends = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"))), kept, F.array(F.struct(F.size("_a").alias("i"), F.size("_b").alias("j"))))
