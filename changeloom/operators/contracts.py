@@ -7,6 +7,8 @@ deeper. All of that is one native expression a hunk, without a shuffle; a hunk i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from changeloom.checkpoints import cut
 from changeloom.functions.declarations import declared, indent, plain_form
 from changeloom.operators.relational import latest_by, spread
 
-#: Lines that a signature and a block have at most, columns that a declaration is indented at most, and the length of names that are too short to be looked for (fixed values).
+#: Lines that a signature and a block have at most unless they are read whole, columns that a declaration is indented at most, and the length of names that are too short to be looked for (fixed values).
 SIGNATURE_LINES, BLOCK_LINES, INDENT, SHORT = 10, 40, 8, 2
 LINE = "struct<body:string,changed:boolean>"
 
@@ -29,8 +31,22 @@ def hunks(patches: DataFrame) -> DataFrame:
     return rows.select("path", "status", "hunk", side("+").alias("old"), side("-").alias("new"))
 
 
-def signature_lines(lines: Column, at: Column) -> Column:
-    """Lines of the callable declared at `at` (from 1): to the one on which the brackets that it opens are closed."""
+def reached(lines: Column, at: Column, start: Column, step: Callable[[Column, Column], Column], most: int, whole: bool) -> Column:
+    """n of a fold over the lines from `at` on, until it is done: over `most` of them, or, if whole, over 16 times as many as before until it is done or they end."""
+
+    def fold(size: int) -> Column:
+        return F.aggregate(F.slice(lines, at, size), start, step)
+
+    def widened(size: int) -> Column:
+        if size > 1 << 20:
+            return fold(1 << 30)["n"]
+        return F.get(F.transform(F.array(fold(size)), lambda a: F.when(a["done"] | (F.size(lines) < at + size), a["n"]).otherwise(widened(size * 16))), 0)
+
+    return widened(most) if whole else fold(most)["n"]
+
+
+def signature_lines(lines: Column, at: Column, whole: bool = False) -> Column:
+    """Lines of the callable declared at `at` (from 1): to the one on which the brackets that it opens are closed, or the last."""
     count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
 
@@ -38,10 +54,10 @@ def signature_lines(lines: Column, at: Column) -> Column:
         depth = a["depth"] + count(x["body"], "(") - count(x["body"], ")")
         return F.when(a["done"], a).otherwise(F.struct(depth.alias("depth"), (a["n"] + 1).alias("n"), (depth <= 0).alias("done")))
 
-    return F.aggregate(F.slice(lines, at, SIGNATURE_LINES), start, step)["n"]
+    return reached(lines, at, start, step, SIGNATURE_LINES, whole)
 
 
-def block_lines(lines: Column, at: Column) -> Column:
+def block_lines(lines: Column, at: Column, whole: bool = False) -> Column:
     """Lines of the type or value declared at `at`: all that is blank or indented deeper, and a line that closes it."""
     own = indent(F.element_at(lines, at)["body"])
     start = F.struct(F.lit(1).alias("n"), F.lit(False).alias("done"))
@@ -51,16 +67,16 @@ def block_lines(lines: Column, at: Column) -> Column:
         closing = x["body"].rlike(r"^\s*(?:[}\])]|end\b)")
         return F.when(a["done"], a).otherwise(F.struct((a["n"] + (inside | closing).cast("int")).alias("n"), (~inside).alias("done")))
 
-    return F.aggregate(F.slice(lines, at + 1, BLOCK_LINES - 1), start, step)["n"]
+    return reached(lines, at + 1, start, step, BLOCK_LINES - 1, whole)
 
 
-def declarations(lines: Column) -> Column:
+def declarations(lines: Column, whole: bool = False) -> Column:
     """Of an array of (body, changed) the declarations: nth (line, from 1), name, kind, text, touched, own (whether its first line is changed)."""
 
     def one(x: Column, i: Column) -> Column:
         at = i + 1
         what = F.when(indent(x["body"]) <= INDENT, declared(x["body"]))
-        n = F.when(what["kind"] == "callable", signature_lines(lines, at)).otherwise(block_lines(lines, at))
+        n = F.when(what["kind"] == "callable", signature_lines(lines, at, whole)).otherwise(block_lines(lines, at, whole))
         span = F.slice(lines, at, n)
         text = F.rtrim(F.array_join(F.transform(span, lambda y: y["body"]), "\n"))
         text = F.when(what["kind"] == "callable", F.regexp_replace(text, r"\s*\{\s*$", "")).otherwise(text)
@@ -69,19 +85,19 @@ def declarations(lines: Column) -> Column:
     return F.filter(F.transform(lines, one), lambda d: d.isNotNull() & (F.length(d["name"]) > SHORT))
 
 
-def changed_contracts(patches: DataFrame) -> DataFrame:
+def changed_contracts(patches: DataFrame, whole: bool = False) -> DataFrame:
     """path, name, kind, change (changed or removed), before, after, moved_from of patches (path, status, patch).
 
     status: added, removed or modified. Of the declarations of a hunk, old and new ones of a name belong together: equal ones
     first, then the nearest signature by edit distance, then the first. A contract changes if its plain form does; one that no hunk of its file has on
     its new side, and whose own line was removed, is removed. A removed one that the patches write into just one other file, by its name
     and kind, moved there: if its form changed on the way, that file has it as changed, with moved_from. Each path and name is told once, by
-    its first hunk.
+    its first hunk. whole: signatures and blocks are read to their ends, not to SIGNATURE_LINES and BLOCK_LINES.
 
     Edge cases. Null paths and patches: left out; null status: modified. Added files are read for moves only. Repeated rows tell
     the same once. Names of one or two letters are left out. No rows: no rows. Extra columns are ignored.
     """
-    sides = cut(hunks(patches).select("path", "status", "hunk", declarations(F.col("old")).alias("old"), declarations(F.col("new")).alias("new")).where("size(old) + size(new) > 0"), "sides")
+    sides = cut(hunks(patches).select("path", "status", "hunk", declarations(F.col("old"), whole).alias("old"), declarations(F.col("new"), whole).alias("new")).where("size(old) + size(new) > 0"), "sides")
     of = lambda c: sides.select("path", "status", "hunk", F.explode(c).alias("d")).select("path", "status", "hunk", "d.*").distinct()
     old, new = of("old").where("status <> 'added'"), of("new")
     here = new.where("status <> 'removed'").select("path", "hunk", "name", F.col("nth").alias("n_nth"), F.col("text").alias("n_text"), F.col("touched").alias("n_touched"))

@@ -25,7 +25,7 @@ UNION ALL SELECT path, name, 'callable', 'removed', before, NULL, NULL FROM lost
 UNION ALL SELECT next_path, name, 'callable', 'changed', before, 'export function ' || name || '(a, ' || next_type || ')', path FROM lost WHERE p_partkey % 10 = 8 AND next_path IS NOT NULL AND next_type <> p_type
 """)
 def patch_contracts(spark, sf_dir):
-    return contracts.changed_contracts(sql(spark, sf_dir, PATCHES, "part"))
+    return contracts.changed_contracts(sql(spark, sf_dir, PATCHES, "part"), whole=True)
 
 
 #: Lines of other files that call the functions of parts, some of them edited.
