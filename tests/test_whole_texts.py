@@ -46,3 +46,14 @@ def test_patch_contracts_reads_whole_signatures(spark, monkeypatch):
     monkeypatch.setattr(change_queries, "PATCHES", LONG)
     rows = change_queries.patch_contracts(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 200 and all(r.change == "changed" and "  last: " in r.before and "  final: " in r.after and r.after.endswith("\n)") for r in rows)
+
+
+def test_contract_usages_follow_whole_signatures(spark, monkeypatch):
+    monkeypatch.setattr(change_queries, "PATCHES", LONG)
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity").collect()
+    edited = {(f"lib/{r.l_suppkey}.ts", r.l_orderkey) for r in lines if r.l_quantity > 45}
+    parts = {r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
+    calls = {(f"job{k}", f"lib/{r.l_suppkey}.ts", r.l_orderkey) for r in lines for k in (r.l_partkey, r.l_partkey + 1) if k in parts}
+    got = {(r.name, r.path, r.line) for r in change_queries.contract_usages(spark, sf).collect()}
+    assert got == {c for c in calls if c[1:] not in edited} and got
